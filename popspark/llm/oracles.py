@@ -49,3 +49,17 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 ORACLES["op5_decontamination"] = OP5
+
+OP2 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+s AS (SELECT *, length(text) + length(regexp_replace(text, '[^\\<\[\]]', '', 'g')) AS n,
+  CASE WHEN role IN ('user', 'assistant') THEN 13 ELSE 14 + length(role) + length(regexp_replace(role, '[^\\<\[\]]', '', 'g')) END AS marks FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(7 + sum(n + marks) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+ORACLES["op2_chat_format"] = OP2
