@@ -1,5 +1,9 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from popspark.llm.licenses import TEMPLATES
+
+TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(TEMPLATES))
+
 OP4 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
@@ -63,3 +67,29 @@ FROM s GROUP BY conv_id
 """
 
 ORACLES["op2_chat_format"] = OP2
+
+OP6 = (
+    r"""
+WITH t(template, license, text) AS (VALUES """
+    + TEMPLATE_ROWS
+    + r"""),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, string_split(text, chr(10)) AS ls, regexp_split_to_array(text, '\n[\x20\t]*\n') AS ps FROM d),
+u AS (SELECT doc_id, 'l' || (unnest(range(1, len(ls) + 1)) - 1) AS unit, unnest(ls) AS x FROM l
+  UNION ALL SELECT doc_id, 'p' || (unnest(range(1, len(ps) + 1)) - 1), unnest(ps) FROM l WHERE len(ps) > 1
+  UNION ALL SELECT doc_id, 'p0', array_to_string(ls, chr(10)) FROM l WHERE len(ps) = 1 AND len(ls) > 1),
+a AS (SELECT doc_id, unit, NULL AS template, x FROM u UNION ALL SELECT -1, license, template, text FROM t),
+w AS (SELECT doc_id, unit, template, list_filter(regexp_split_to_array(regexp_replace(lower(x) || ' ', '\.([^\p{L}\p{N}])', ' \1', 'g'), '[^\p{L}\p{N}.]+'), lambda x: x <> '') AS w FROM a),
+g AS (SELECT DISTINCT doc_id, unit, template, g FROM (SELECT doc_id, unit, template, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w)),
+n AS (SELECT doc_id, unit, template, count(*) AS n FROM g GROUP BY ALL),
+c AS (SELECT a.doc_id, a.unit, b.unit AS license, b.template, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.template IS NULL AND b.template IS NOT NULL GROUP BY ALL),
+s AS (SELECT c.doc_id, c.unit, license, 2.0 * c / (x.n + y.n) AS dice FROM c JOIN n x ON x.template IS NULL AND x.doc_id = c.doc_id AND x.unit = c.unit JOIN n y ON y.template = c.template),
+m AS (SELECT doc_id, arg_min(license, struct_pack(d := -dice, license := license)) AS license, max(dice) AS dice, count(DISTINCT unit) AS n_units,
+  string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
+  FROM (SELECT doc_id, unit, min(struct_pack(d := -dice, license := license)) AS b, b.license AS license, -b.d AS dice
+    FROM s WHERE dice >= 0.8 GROUP BY doc_id, unit) GROUP BY doc_id)
+SELECT d.doc_id, license, CAST(round(dice * 1000) AS BIGINT) AS dice_millis, coalesce(n_units, 0) AS n_units, coalesce(licenses, '') AS licenses FROM d LEFT JOIN m USING (doc_id)
+"""
+)
+
+ORACLES["op6_license_scan"] = OP6

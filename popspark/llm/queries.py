@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from popspark.llm import bpe, chat, decontaminate, pii, quality
+from popspark.llm import bpe, chat, decontaminate, licenses, pii, quality
 from popspark.llm.common import table
 
 
@@ -29,10 +29,15 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_of(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_chat_format": op2_chat_format,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
+    "op6_license_scan": op6_license_scan,
 }
