@@ -86,8 +86,7 @@ c AS (SELECT a.doc_id, a.unit, b.unit AS license, b.template, count(*) AS c FROM
 s AS (SELECT c.doc_id, c.unit, license, 2.0 * c / (x.n + y.n) AS dice FROM c JOIN n x ON x.template IS NULL AND x.doc_id = c.doc_id AND x.unit = c.unit JOIN n y ON y.template = c.template),
 m AS (SELECT doc_id, arg_min(license, struct_pack(d := -dice, license := license)) AS license, max(dice) AS dice, count(DISTINCT unit) AS n_units,
   string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
-  FROM (SELECT doc_id, unit, min(struct_pack(d := -dice, license := license)) AS b, b.license AS license, -b.d AS dice
-    FROM s WHERE dice >= 0.8 GROUP BY doc_id, unit) GROUP BY doc_id)
+  FROM (SELECT * FROM s WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) = 1) GROUP BY doc_id)
 SELECT d.doc_id, license, CAST(round(dice * 1000) AS BIGINT) AS dice_millis, coalesce(n_units, 0) AS n_units, coalesce(licenses, '') AS licenses FROM d LEFT JOIN m USING (doc_id)
 """
 )

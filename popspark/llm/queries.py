@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from popspark.llm import bpe, chat, decontaminate, licenses, pii, quality
+from popspark.llm import bpe, chat, decontaminate, licenses, pii, quality, separators
 from popspark.llm.common import table
 
 
@@ -33,6 +33,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_of(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = separators.counts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, separator=50256)
+    return found.select("doc_id", "n_tokens")
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_chat_format": op2_chat_format,
@@ -40,4 +46,5 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
     "op6_license_scan": op6_license_scan,
+    "op7_token_counts": op7_token_counts,
 }
