@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from popspark.llm import bpe, chat, decontaminate, licenses, pii, quality, separators
+from popspark.llm import bpe, chat, decontaminate, licenses, pii, quality, separators, toxicity
 from popspark.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["quality", "toxic"])
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_chat_format": op2_chat_format,
@@ -47,4 +51,5 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_license_scan": op6_license_scan,
     "op7_token_counts": op7_token_counts,
+    "op8_toxicity": op8_toxicity,
 }
