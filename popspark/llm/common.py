@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -48,3 +49,9 @@ def text_or_empty(column: str = "text") -> Column:
 def text_key(column: str = "text") -> Column:
     """SHA-256 of the whole text: equal keys stand for equal texts."""
     return F.unhex(F.sha2(text_or_empty(column), 256))
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that Spark's cleaner can drop shuffle files nobody reads any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from popspark.llm import bpe, chat, decontaminate, licenses, pii, quality, separators, toxicity
+from popspark.llm import bpe, chat, decontaminate, jaccard, licenses, pii, quality, separators, toxicity
 from popspark.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["quality", "toxic"])
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_chat_format": op2_chat_format,
@@ -52,4 +56,5 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
 }
