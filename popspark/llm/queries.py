@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from popspark.llm import bpe, chat, decontaminate, jaccard, licenses, pii, quality, separators, toxicity
+from popspark.llm import bpe, chat, decontaminate, jaccard, licenses, lines, pii, quality, separators, toxicity
 from popspark.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_chat_format": op2_chat_format,
@@ -57,4 +61,5 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_line_dedup": op10_line_dedup,
 }
