@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from popspark.llm import quality
+from popspark.llm import bpe, decontaminate, jaccard, lines, quality
 from popspark.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -18,12 +20,37 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every quality rule; the ledger is read in the same row, so nothing is shuffled."""
-    policy = quality.POLICIES["v1"]
-    return quality.ledger(docs).where(quality.passes(quality.BASE) & quality.passes(policy)).select(docs.columns)
+    return quality.kept_rows(docs, quality.POLICIES["v1"])
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One occurrence of each line stays. A document that had words and has none left goes."""
+    rows = lines.deduped(docs)
+    left = F.col("text").rlike(r"\w") | (F.col("n_dropped") == 0)
+    return rows.where(F.coalesce(left, F.lit(True))).select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: shingles of five words, similarity 0.8."""
+    return jaccard.one_of_each(docs, size=5, percent=80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more stands in windows of benchmark items go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded text."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("byte_bpe", token_stage),
 ]
 
 #: The SimHash stage isn't expressible in SQL; tests hold the run against brute force.

@@ -151,8 +151,8 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
     )
 
 
-def decontamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words).
+def verdicts(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+    """row, doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words).
 
     Ranges are merged in order of their start, so a word in many windows counts once.
     """
@@ -165,10 +165,23 @@ def decontamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, sha
         """aggregate(array_sort(ranges), struct(0L AS n, -1 AS upto),
         (acc, x) -> struct(acc.n + greatest(0, x.last - greatest(x.first - 1, acc.upto)) AS n, greatest(acc.upto, x.last) AS upto)).n"""
     )
-    counted = per_doc.select("doc_id", "n_words", covered.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
+    counted = per_doc.select("row", "doc_id", "key", "n_words", covered.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
+def decontamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+    """``verdicts`` without the columns that identify a row."""
+    return verdicts(docs, items, window, share).drop("row", "key")
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated."""
+    bad = stored(verdicts(docs, items, window, share).where("contaminated").select("row", F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")), "contaminated")
+    rows = docs.withColumn("_key", text_key()).withColumn("_row", F.xxhash64("doc_id", "_key"))
+    same = (F.col("_row") == F.col("row")) & F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("_key") == F.col("bad_key"))
+    return rows.join(bad, same, "left_anti").select(docs.columns)
+
+
 def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """query, doc_id, key, start: exact places of phrases (``query``, ``words``: array, lower case) in an index.
 

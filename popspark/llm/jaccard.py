@@ -304,11 +304,26 @@ def _bounded_by_leaders(pairs: DataFrame, seen: DataFrame, percent: int) -> Data
     return pairs.join(ruled, ["a", "b"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id: a row for each row of ``docs``."""
+def by_text(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """key, n, component, first_key: per distinct text its set's size, component id, and the text that stays of the component."""
     texts, labels = component_labels(docs, size, percent)
     known = texts.select("sid", "key", "first_id").join(labels, "sid")
-    named = known.groupBy("label").agg(F.min("first_id").alias("component"))
-    by_key = stored(known.join(named, "label").select("key", "n", "component"), "by-key")
-    rows = docs.select("doc_id", text_key().alias("key")).join(by_key, "key")
+    first = F.min(F.struct(F.col("first_id").isNull().alias("null"), "first_id", "key")).alias("m")
+    named = known.groupBy("label").agg(first).select("label", F.col("m.first_id").alias("component"), F.col("m.key").alias("first_key"))
+    return stored(known.join(named, "label").select("key", "n", "component", "first_key"), "by-key")
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id: a row for each row of ``docs``."""
+    rows = docs.select("doc_id", text_key().alias("key")).join(by_text(docs, size, percent), "key")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """The columns of ``docs``; of each component the row with the smallest doc_id stays, and all rows without a word."""
+    rows = docs.withColumn("_key", text_key()).join(by_text(docs, size, percent).withColumnRenamed("key", "_key").select("_key", F.col("n").alias("_n"), F.col("component").alias("_c"), F.col("first_key").alias("_f")), "_key")
+    empty = F.col("_n") == 0
+    first = F.col("doc_id").eqNullSafe(F.col("_c")) & (F.col("_key") == F.col("_f"))
+    kept = rows.where(empty | first)
+    # Only rows that repeat both doc_id and text can still be more than one of a component.
+    return kept.where(~empty).dropDuplicates(["doc_id", "_key"]).unionByName(kept.where(empty)).select(docs.columns)

@@ -157,6 +157,17 @@ def ablation(ledger_rows: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
+def kept_rows(docs: DataFrame, policy: Policy) -> DataFrame:
+    """The rows of ``docs`` that pass ``policy`` and the base rules.
+
+    A generator stands where a filter would: Spark would push a filter below the
+    ledger's steps and so evaluate each of them many times over.
+    """
+    ok = passes(BASE) & passes(policy)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return ledger(rows).select(F.inline(F.when(ok, F.array("_row"))))
+
+
 def quality_rules(docs: DataFrame, policy: Policy = POLICIES["v1"]) -> DataFrame:
     """doc_id, measurements, fail_bits, base_failed, kept. ``kept`` is false wherever a base rule fails."""
     rows = ledger(docs.select("doc_id", "text"))
