@@ -26,7 +26,15 @@ class Dataset:
 
 def from_tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An operator's result over the adapter views of the tables in ``sf_dir``."""
-    sql = statement(QUERIES[name], "spark")
+    return _over_tables(spark, sf_dir, statement(QUERIES[name], "spark"))
+
+
+def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the relations that operators read (geno, bands, ...), from the tables in ``sf_dir``."""
+    return _over_tables(spark, sf_dir, statement(f"SELECT * FROM {name}", "spark"))
+
+
+def _over_tables(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = [t for t in TABLES if f" {t} " in sql or f" {t}\n" in sql or f" {t})" in sql]
     for t in used:
         sql = _named(sql, t)

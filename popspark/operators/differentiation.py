@@ -16,7 +16,7 @@ query("fis_by_cell", f"""SELECT pop, locus, {r("b")} AS b, {r("c")} AS c, {r("CA
 query(
     "fis_multilocus",
     f"""SELECT pop, {r("max(f)")} AS f, {r("CASE WHEN count(*) > 2 THEN sqrt((count(*) - 1e0) / count(*) * sum((loo - m) * (loo - m))) END")} AS se, {r("CASE WHEN max(f) > 0 THEN 2 * max(f) / (1 + max(f)) ELSE 0e0 END")} AS selfing
-    FROM (SELECT pop, f, loo, avg(loo) OVER (PARTITION BY pop) AS m FROM (SELECT pop, 1 - sum(c) OVER w / (sum(b + c) OVER w) AS f, 1 - (sum(c) OVER w - c) / (sum(b + c) OVER w - b - c) AS loo
+    FROM (SELECT pop, f, loo, avg(loo) OVER (PARTITION BY pop) AS m FROM (SELECT pop, 1 - (sum(c) OVER w) / (sum(b + c) OVER w) AS f, 1 - ((sum(c) OVER w) - c) / ((sum(b + c) OVER w) - b - c) AS loo
     FROM fis_parts WHERE k >= 2 AND b + c <> 0 WINDOW w AS (PARTITION BY pop)) AS x) AS y GROUP BY pop""",
 )
 query("fis_nei_chesser", f"""SELECT pop, locus, {r("ho")} AS ho, {r("hs")} AS hs, {r("CASE WHEN hs > 0 THEN 1 - ho / hs END")} AS f FROM (SELECT pop, locus, ho, n / (n - 1e0) * (he - ho / (2e0 * n)) AS hs FROM cell_stats WHERE n >= 2) AS x""")
