@@ -212,8 +212,8 @@ def proximity_matches(index: DataFrame, queries: DataFrame, span: int) -> DataFr
     terms = need.select("query", F.size("ts").alias("m"), F.explode("ts").alias("term"))
     at = index.join(terms, "term").select("query", "m", "row", "doc_id", "key", "term", F.explode("positions").alias("pos"))
     opened = at.select("query", "m", "row", "doc_id", "key", F.col("pos").alias("begin"), F.explode(F.array(F.floor(F.col("pos") / span), F.floor(F.col("pos") / span) + 1)).alias("block"))
-    near = at.select("query", "row", "doc_id", "key", "term", "pos", F.floor(F.col("pos") / span).alias("block"))
-    same = [opened[c].eqNullSafe(near[c]) if c == "doc_id" else opened[c] == near[c] for c in ("query", "row", "doc_id", "key", "block")]
-    met = opened.join(near, same).where((near["pos"] >= opened["begin"]) & (near["pos"] < opened["begin"] + span))
-    held = met.groupBy(opened["query"], "m", opened["row"], opened["doc_id"], opened["key"], "begin").agg(F.size(F.collect_set("term")).alias("got"))
+    near = at.select(F.col("query").alias("q2"), F.col("row").alias("row2"), F.col("doc_id").alias("doc2"), F.col("key").alias("key2"), "term", "pos", F.floor(F.col("pos") / span).alias("block2"))
+    same = (F.col("query") == F.col("q2")) & (F.col("row") == F.col("row2")) & F.col("doc_id").eqNullSafe(F.col("doc2")) & (F.col("key") == F.col("key2")) & (F.col("block") == F.col("block2"))
+    met = opened.join(near, same).where((F.col("pos") >= F.col("begin")) & (F.col("pos") < F.col("begin") + span))
+    held = met.groupBy("query", "m", "row", "doc_id", "key", "begin").agg(F.size(F.collect_set("term")).alias("got"))
     return held.where("got = m").select("query", "doc_id", "key").distinct()
