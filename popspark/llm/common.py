@@ -39,7 +39,21 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the working table behind ``df``; only for tables whose readers have all been stored themselves."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded(keys: DataFrame, most: int) -> DataFrame:
+    """``keys``, to be broadcast only where a count shows at most ``most`` rows of a few numbers each."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
 def text_or_empty(column: str = "text") -> Column:

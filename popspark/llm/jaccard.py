@@ -14,9 +14,10 @@ set that shares most with others. A set that is highly similar to its leader tak
 the leader's links: it is in the leader's component without any pair inside that
 component being computed, so a list whose sets all belong together is skipped whole,
 and a group of thousands of copies costs thousands of comparisons, not millions. What
-is left are pairs across components. For those, the leader's computed overlap bounds the
-member's, |s & x| <= |R & x| + |s - R|, and a parity sketch bounds the overlap
-from above; only pairs that pass both are compared, exactly, on whole sets.
+is left are pairs across components. Sets held against one leader R are its family; their
+answers bound each other's, |s & x| <= min(|s & R|, |x & R|) + min(|s - R|, |x - R|), and a
+parity sketch bounds the overlap from above; only pairs that pass both are compared,
+exactly, on whole sets. Pairs of different families meet in the lists.
 
 Every pair that reaches the threshold therefore is either found or joins two sets
 already in one component. Rows: a row per document; rows that repeat a text are
@@ -36,14 +37,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popspark.llm.common import release, shared_dir, stored, text_key, text_or_empty
+from popspark.llm.common import bounded, discard, release, shared_dir, stored, text_key, text_or_empty
 from popspark.llm.graph import components
 
 #: Shingles known to be frequent: at most so many are broadcast (8 bytes each), each in at least HOT_SETS sets.
 HOT_SHINGLES = 1 << 20
 HOT_SETS = 24
+#: Ids that a broadcast may hold, 8 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Rounds of leaders; the pairs left over are all compared, so this is a matter of speed only.
-ROUNDS = 3
+ROUNDS = 2
+#: Sets of a family that a task compares with as many others.
+FAMILY_BLOCK = 2000
 
 _words: dict[bytes, int] = {}
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -205,7 +210,7 @@ def index_lists(texts: DataFrame, hot: np.ndarray, size: int, percent: int, buck
 
 def overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """a, b, na, nb, common: exact overlaps of the sets of distinct pairs (a, b), written."""
-    need = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    need = stored(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "need")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,9 +226,11 @@ def overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                 common.append(len(np.intersect1d(u, v, assume_unique=True)))
             yield pa.record_batch([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (na, nb, common))], names=["a", "b", "na", "nb", "common"])
 
-    sets = stored(texts.join(need, "sid", "left_semi").select("sid", "text").mapInArrow(make, "sid bigint, set binary"), "sets")
+    sets = stored(texts.join(bounded(need, BROADCAST_IDS), "sid", "left_semi").select("sid", "text").mapInArrow(make, "sid bigint, set binary"), "sets")
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("set").alias("sb")), "b")
-    return stored(both.select("a", "b", "sa", "sb").mapInArrow(meet, "a bigint, b bigint, na bigint, nb bigint, common bigint"), "overlaps")
+    out = stored(both.select("a", "b", "sa", "sb").mapInArrow(meet, "a bigint, b bigint, na bigint, nb bigint, common bigint"), "overlaps")
+    discard(sets)
+    return out
 
 
 def _linked(percent: int):
@@ -242,15 +249,17 @@ def component_labels(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple
     texts = distinct_texts(docs)
     release(spark)
     counted = stored(_sizes_and_counts(texts, size, percent, buckets), "counts")
-    sizes = counted.where("sid IS NOT NULL").select("sid", "n", "sketch")
+    sizes = stored(counted.where("sid IS NOT NULL").select("sid", "n", "sketch"), "sizes")
     hot = _frequent(counted)
+    discard(counted)
     release(spark)
     lists = index_lists(texts, hot, size, percent, buckets)
     release(spark)
     score = lists.groupBy("sid").agg(F.sum("len").alias("score"))
-    labels = links = seen = None
+    labels = seen = None
     fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
     left = stored(lists.join(score, "sid").withColumn("label", F.col("sid")), "entries")
+    discard(lists)
     for r in range(ROUNDS):
         # The first leader of a list is the set that shares most; later rounds try others of the same lists.
         rank = F.struct("score", "sid") if r == 0 else F.struct(F.xxhash64("sid", F.lit(r)).alias("score"), "sid")
@@ -262,46 +271,89 @@ def component_labels(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple
         found = overlaps(stored(best, "leaders"), texts, size)
         seen = found if seen is None else seen.unionByName(found)
         new = found.where(_linked(percent)).select("a", "b")
-        links = new if links is None else links.unionByName(new)
+        # Earlier links come in as the stars that they were reduced to.
+        links = new if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new)
         labels = stored(components(links), "labels")
         entries = left.drop("label").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         mixed_lists = entries.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-        left = stored(entries.join(mixed_lists, "token", "left_semi"), "entries")
+        past, left = left, stored(entries.join(mixed_lists, "token", "left_semi"), "entries")
+        discard(past)
         release(spark)
         if new.isEmpty():
             break
-    # Pairs across components: every one that size and position allow.
-    one, two = left.select("token", "sid", "n", "pos", "label"), left.select("token", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
+    # What is left are pairs across components. Sets that were held against one leader are compared as its family ...
+    told = stored(seen, "seen")
+    lead = told.groupBy("a").agg(F.max(F.struct("common", "b")).alias("m")).select(F.col("a").alias("sid"), F.col("m.b").alias("family"), F.col("m.common").alias("common"))
+    open_sets = left.select("sid", "n", "label").distinct().join(lead, "sid", "left")
+    close = family_pairs(stored(open_sets.where("family IS NOT NULL").join(sizes.select("sid", "sketch"), "sid"), "open"), percent)
+    # ... and all others wherever they meet in a list, if size and position allow.
+    listed = stored(left.join(lead.select("sid", "family"), "sid", "left"), "open-lists")
+    one, two = listed.select("token", "sid", "n", "pos", "label", "family"), listed.select("token", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"), F.col("family").alias("family2"))
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / (100 + percent))
     room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    across = one.join(two, "token").where((F.col("sid") < F.col("sid2")) & (F.col("label") != F.col("label2")) & fits & (room >= need))
+    other = F.coalesce(F.col("family") != F.col("family2"), F.lit(True))
+    across = one.join(two, "token").where((F.col("sid") < F.col("sid2")) & (F.col("label") != F.col("label2")) & other & fits & (room >= need))
     pairs = across.groupBy("sid", "sid2").agg(F.first("n").alias("n"), F.first("n2").alias("n2"))
-    pairs = pairs.join(seen.select(F.least("a", "b").alias("sid"), F.greatest("a", "b").alias("sid2")), ["sid", "sid2"], "left_anti")
     pairs = stored(pairs.select(F.col("sid").alias("a"), F.col("sid2").alias("b"), "n", "n2"), "across")
-    pairs = _bounded_by_leaders(pairs, stored(seen, "seen"), percent)
     side = lambda c: sizes.select(F.col("sid").alias(c), F.col("sketch").alias(f"s{c}"))
     differ = F.pandas_udf(_sketch_bound, "bigint")
     passed = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", differ("sa", "sb"))
-    passed = passed.where(F.col("n") + F.col("n2") - F.col("apart") >= 2 * need).select("a", "b")
+    passed = passed.where(F.col("n") + F.col("n2") - F.col("apart") >= 2 * need).select("a", "b").unionByName(close)
+    answered = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    passed = passed.join(answered, ["a", "b"], "left_anti")
     last = overlaps(stored(passed, "passed"), texts, size)
-    labels = stored(components(links.unionByName(last.where(_linked(percent)).select("a", "b"))), "labels")
+    before = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    labels = stored(components(before.unionByName(last.where(_linked(percent)).select("a", "b"))), "labels")
     every = sizes.select("sid", "n").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     return texts, every.select("sid", "n", F.coalesce("label", "sid").alias("label"))
 
 
-def _bounded_by_leaders(pairs: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
-    """Pairs that a leader's computed answers don't rule out.
+def family_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """a < b: pairs of one family that its leader's answers and the sketches don't rule out.
 
-    If s was held against leader R and x against the same R, then of the shingles of s
-    at most |s - R| lie outside R, and of those inside at most |R & x| are in x.
+    ``members`` has family (the leader's sid), sid, n, label, common (shingles shared with the leader), sketch.
+    Of the shingles of s at most n - common lie outside the leader, and of those inside at
+    most the smaller common are in the other set: pairs that this keeps apart
+    need no comparison. Large families are cut into blocks, and a task takes two blocks,
+    so it holds 2 * FAMILY_BLOCK sets' sketches at most and puts out only what passes.
     """
-    told = seen.select(F.col("a").alias("s"), F.col("b").alias("lead"), "na", "common")
-    one = told.select(F.col("s").alias("a"), "lead", F.col("na").alias("na1"), F.col("common").alias("c1"))
-    two = told.select(F.col("s").alias("b"), F.col("lead").alias("lead2"), F.col("na").alias("na2"), F.col("common").alias("c2"))
-    most = F.least(F.col("na1") - F.col("c1") + F.least("c1", "c2"), F.col("na2") - F.col("c2") + F.least("c1", "c2"))
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / (100 + percent))
-    ruled = pairs.join(one, "a").join(two, "b").where((F.col("lead") == F.col("lead2")) & (most < need)).select("a", "b").distinct()
-    return pairs.join(ruled, ["a", "b"], "left_anti")
+    size = members.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    rows = members.join(size.select("family", "k"), "family").withColumn("own", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("k")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("family", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "sid", "n", "label", "common", "sketch")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        cross = int(part["i"].iloc[0]) != int(part["j"].iloc[0])
+        part = part.sort_values("sid")
+        sid, n, label, common, own = (part[c].to_numpy(np.int64) for c in ("sid", "n", "label", "common", "own"))
+        bits = min(map(len, part["sketch"]))
+        folded = []
+        for x in part["sketch"]:
+            v = np.frombuffer(x, np.uint8)
+            while len(v) > bits:
+                v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+            folded.append(v)
+        sketches = np.stack(folded)
+        sketches = sketches.view(np.uint64) if bits % 8 == 0 else sketches
+        out_a, out_b = [], []
+        for k in range(len(sid) - 1):
+            rest = slice(k + 1, None)
+            need = -(-percent * (n[k] + n[rest]) // (100 + percent))
+            least = np.minimum(common[k], common[rest])
+            most = np.minimum(n[k] - common[k], n[rest] - common[rest]) + least
+            ok = (label[rest] != label[k]) & (most >= need) & (100 * np.minimum(n[k], n[rest]) >= percent * np.maximum(n[k], n[rest]))
+            if cross:
+                ok &= own[rest] != own[k]
+            at = np.flatnonzero(ok)
+            if len(at):
+                differ = np.bitwise_count(sketches[k + 1 + at] ^ sketches[k]).sum(axis=1, dtype=np.int64)
+                at = at[n[k] + n[k + 1 + at] - differ >= 2 * need[at]]
+                out_a.append(np.full(len(at), sid[k]))
+                out_b.append(sid[k + 1 + at])
+        join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+        return pd.DataFrame({"a": join(out_a), "b": join(out_b)})
+
+    return rows.groupBy("family", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
 def by_text(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
