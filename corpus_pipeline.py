@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from popspark.llm import bpe, decontaminate, jaccard, lines, quality
 from popspark.llm.common import stored, table
@@ -25,9 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of each line stays. A document that had words and has none left goes."""
-    rows = lines.deduped(docs)
-    left = F.col("text").rlike(r"\w") | (F.col("n_dropped") == 0)
-    return rows.where(F.coalesce(left, F.lit(True))).select(docs.columns)
+    return lines.with_text_left(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

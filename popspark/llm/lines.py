@@ -5,7 +5,7 @@ lines are one line from the start. Each gets a SimHash of its words of
 BLOCKS * BLOCK_BITS bits, cut into blocks; lines whose fingerprints differ in fewer than
 BLOCKS bits agree in a block for certain, and others often do. Lines that agree in a
 block, differ in at most MOST_BITS bits (unrelated ones in half of all) and have an edit
-similarity of ``SIMILARITY`` (1 - distance / longer length) are linked. Of each
+similarity in words of ``SIMILARITY`` (1 - distance / words of the longer) are linked. Of each
 connected group the first occurrence (by doc_id, nulls last, then line) stays.
 
 Within a block, lines are first held against one leader, so a family of thousands costs
@@ -19,8 +19,8 @@ treated alike. Other columns pass through; ``text`` and ``n_chars`` are rewritte
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,72 +29,100 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popspark.llm.common import release, stored, text_key, text_or_empty
+from popspark.llm.common import bounded, discard, release, stored, text_key, text_or_empty
 from popspark.llm.graph import components
 
 SIMILARITY = 0.8
-BLOCKS, BLOCK_BITS = 8, 24
-MOST_BITS = 64
-#: Pairs of longer lines are compared in Python, by bit-parallel rows, which suits long strings.
-LONG_LINE = 2048
+BLOCKS, BLOCK_BITS = 5, 25
+MOST_BITS = 42
+#: Bits that a word's hash gives, of which the blocks use BLOCKS * BLOCK_BITS.
+BYTES = 128
+#: Line keys that a broadcast may hold, some tens of bytes each; more are joined by a shuffle.
+BROADCAST_LINES = 1_000_000
 LAST_ID = (1 << 63) - 1
 
-WORD = re.compile(r"\w+")
-_rows: dict[str, bytes] = {}
+# Signs that count as space.
+SIGNS = ".,;:!?\"'()[]{}"
+#: Words kept by a worker with their bits; the table starts anew when full.
+MOST_WORDS = 200_000
+
+
+def words_by_line(text: str) -> list[list[str]]:
+    """The words of each line, in lower case and without the signs."""
+    low = text.lower()
+    for sign in SIGNS:
+        if sign in low:
+            low = low.replace(sign, " ")
+    return [line.split() for line in low.split("\n")]
 
 
 def normalised(line: str) -> str:
-    return " ".join(WORD.findall(line.lower()))
+    return " ".join(words_by_line(line)[0])
+
+
+class WordBits:
+    """A row of BYTES zeros and ones per word, kept as 64-bit numbers of eight each, so that sums run eight wide."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.rows = np.empty((0, BYTES // 8), np.uint64)
+
+    def places(self, words: list[str]) -> np.ndarray:
+        if len(self.place) > MOST_WORDS:
+            self.__init__()
+        place, known = self.place, len(self.place)
+        at = np.array([place.setdefault(w, len(place)) for w in words], np.int64)
+        if len(place) > known:
+            new = b"".join([xxhash.xxh3_128_digest(w) for w in list(place)[known:]])
+            self.rows = np.concatenate([self.rows, np.unpackbits(np.frombuffer(new, np.uint8)).view(np.uint64).reshape(-1, BYTES // 8)])
+        return at
+
 
+_words = WordBits()
 
-def word_bits(words: list[str]) -> np.ndarray:
-    """One row of BLOCKS * BLOCK_BITS zeros and ones per word."""
-    if len(_rows) > 300_000:
-        _rows.clear()
-    get, size = _rows.get, BLOCKS * BLOCK_BITS // 8
-    out = []
-    for w in words:
-        b = get(w)
-        if b is None:
-            data = w.encode()
-            b = _rows[w] = (xxhash.xxh3_128_digest(data) + xxhash.xxh3_128_digest(data, seed=1))[:size]
-        out.append(b)
-    return np.unpackbits(np.frombuffer(b"".join(out), np.uint8).reshape(len(words), size), axis=1)
+
+def telling(words: list[str]) -> list[str]:
+    """The words that make a fingerprint: the long ones, or all where they are under half."""
+    long = [w for w in words if len(w) > 3]
+    return long if 2 * len(long) >= len(words) else words
 
 
 def fingerprints(lines: list[list[str]]) -> np.ndarray:
     """BLOCKS block values (int32) for each list of words; none may be empty."""
     if not lines:
         return np.empty((0, BLOCKS), np.int32)
-    place: dict[str, int] = {}
-    at = np.array([place.setdefault(w, len(place)) for ws in lines for w in ws])
-    bits, size = word_bits(list(place)), np.array([len(ws) for ws in lines])
+    told = [telling(ws) for ws in lines]
+    at = _words.places([w for ws in told for w in ws])
+    size = np.array([len(ws) for ws in told])
     start = np.cumsum(size) - size
-    # Sums of at most 255 words stay within a byte, where they are quickest.
-    pieces = np.concatenate([np.arange(s, s + n, 255) for s, n in zip(start, size)])
-    first = np.cumsum(-(-size // 255)) - (-(-size // 255))
-    ones = np.empty((len(pieces), bits.shape[1]), np.uint8)
-    step = 2000
-    for i in range(0, len(pieces), step):
-        a, b = pieces[i], pieces[i + step] if i + step < len(pieces) else len(at)
-        ones[i : i + step] = np.add.reduceat(bits[at[a:b]], pieces[i : i + step] - a, axis=0, dtype=np.uint8)
-    total = np.add.reduceat(ones, first, axis=0, dtype=np.int64)
-    fp = (2 * total > size[:, None]).reshape(len(lines), BLOCKS, BLOCK_BITS)
-    return (fp * (1 << np.arange(BLOCK_BITS))).sum(axis=2).astype(np.int32)
-
-
-def distance(a: str, b: str) -> int:
-    """Edit distance of two strings, a row of the table at a time as the bits of one number."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    a, b = a[head:], b[head:]
-    while a and b and a[-1] == b[-1]:
-        n = 64 if a[-64:] == b[-64:] and min(len(a), len(b)) >= 64 else 1
-        a, b = a[:-n], b[:-n]
+    # Sums of at most 255 words stay within a byte.
+    extra = -(-size // 255)
+    first = np.cumsum(extra) - extra
+    pieces = np.repeat(start, extra) + 255 * (np.arange(extra.sum()) - np.repeat(first, extra))
+    sums = np.add.reduceat(_words.rows[at], pieces, axis=0).view(np.uint8)
+    total = np.add.reduceat(sums, first, axis=0, dtype=np.int32)
+    fp = (2 * total > size[:, None])[:, : BLOCKS * BLOCK_BITS].reshape(len(lines), BLOCKS, BLOCK_BITS)
+    return (fp @ (1 << np.arange(BLOCK_BITS))).astype(np.int32)
+
+
+def trimmed(a: Sequence, b: Sequence) -> tuple[Sequence, Sequence]:
+    """Both without the beginning and the end that they share."""
+    for side in (1, -1):
+        low, high = 0, min(len(a), len(b))
+        while low < high:
+            mid = (low + high + 1) // 2
+            same = a[low:mid] == b[low:mid] if side == 1 else a[len(a) - mid : len(a) - low] == b[len(b) - mid : len(b) - low]
+            low, high = (mid, high) if same else (low, mid - 1)
+        a, b = (a[low:], b[low:]) if side == 1 else (a[: len(a) - low], b[: len(b) - low])
+    return a, b
+
+
+def distance(a: Sequence, b: Sequence) -> int:
+    """Edit distance of two sequences, a row of the table at a time as the bits of one number."""
+    a, b = trimmed(a, b)
     if not a or not b:
         return max(len(a), len(b))
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     full, top, up, down, score = (1 << len(a)) - 1, 1 << (len(a) - 1), (1 << len(a)) - 1, 0, len(a)
@@ -109,9 +137,20 @@ def distance(a: str, b: str) -> int:
     return score
 
 
-def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
+def similar(a: Sequence, b: Sequence, least: float = SIMILARITY) -> bool:
     n = max(len(a), len(b))
-    return min(len(a), len(b)) >= least * n and distance(a, b) <= n - least * n + 1e-9
+    most = n - least * n + 1e-9
+    if n - min(len(a), len(b)) > most:
+        return False
+    a, b = trimmed(a, b)
+    # What is left bounds the distance from above; from below, an edit changes one element of each bag.
+    if max(len(a), len(b)) <= most:
+        return True
+    bag = Counter(a)
+    bag.subtract(b)
+    if max(sum(v for v in bag.values() if v > 0), -sum(v for v in bag.values() if v < 0)) > most:
+        return False
+    return distance(a, b) <= most
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -119,8 +158,8 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id (nulls as the largest id), rid, line, k1, k2 (128 bits of the normalised line), len, b0 ... of each line with a word."""
-    names = ["doc_id", "rid", "line", "k1", "k2", "len", *(f"b{i}" for i in range(BLOCKS))]
+    """doc_id (nulls as the largest id), rid, line, k1, k2 (128 bits of the normalised line), len, norm, b0 ... of each line with a word."""
+    names = ["doc_id", "rid", "line", "k1", "k2", "len", "norm", *(f"b{i}" for i in range(BLOCKS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -128,53 +167,64 @@ def line_table(docs: DataFrame) -> DataFrame:
                 b = whole.slice(i, 500)
                 words, out = [], []
                 for d, r, t in zip(*(c.to_pylist() for c in b.columns)):
-                    for k, line in enumerate(t.split("\n")):
-                        ws = WORD.findall(line.lower())
+                    for k, ws in enumerate(words_by_line(t)):
                         if ws:
                             norm = " ".join(ws)
                             h = xxhash.xxh3_128_intdigest(norm)
                             words.append(ws)
-                            out.append((d, r, k, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), len(norm)))
+                            out.append((d, r, k, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), len(norm), norm))
                 fp = fingerprints(words)
-                cols = list(zip(*out)) or [()] * 6
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+                cols = list(zip(*out)) or [()] * 7
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
                 yield pa.record_batch([*(pa.array(c, k) for c, k in zip(cols, kinds)), *(pa.array(fp[:, j], pa.int32()) for j in range(BLOCKS))], names=names)
 
     rows = identified(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col("_rid").alias("rid"), F.col("_text").alias("text"))
     blocks = ", ".join(f"b{i} int" for i in range(BLOCKS))
-    return rows.mapInArrow(run, f"doc_id bigint, rid bigint, line int, k1 bigint, k2 bigint, len int, {blocks}")
-
-
-def _line_texts(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t in b.column(0):
-                for line in t.as_py().split("\n"):
-                    if norm := normalised(line):
-                        h = xxhash.xxh3_128_intdigest(norm)
-                        out.append(((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), norm))
-            cols = list(zip(*out)) or [()] * 3
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["k1", "k2", "norm"])
-
-    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "k1 bigint, k2 bigint, norm string")
+    return rows.mapInArrow(run, f"doc_id bigint, rid bigint, line int, k1 bigint, k2 bigint, len int, norm string, {blocks}")
 
 
-def _verified(pairs: DataFrame, uniq: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, uniq: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     """a, b of those pairs (distinct) whose lines have the edit similarity."""
-    need = stored(pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct().join(uniq.select("lid", "k1", "k2"), "lid"), "need")
-    texts = stored(_line_texts(docs).join(need, ["k1", "k2"]).groupBy("lid").agg(F.first("norm").alias("norm")), "norms")
+    need = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
+    need = stored(need.join(uniq.select("lid", "k1", "k2"), "lid"), "need")
+    texts = stored(lines.select("k1", "k2", "norm").join(bounded(need, BROADCAST_LINES), ["k1", "k2"]).groupBy("lid").agg(F.first("norm").alias("norm")), "norms")
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("norm").alias("y")), "b")
-    longer = F.greatest(F.length("x"), F.length("y"))
-    most = F.floor(longer * (1 - least) + 1e-9).cast("int")
-    short = both.where(longer <= LONG_LINE).where(F.expr(f"levenshtein(x, y, CAST(floor(greatest(length(x), length(y)) * {1 - least} + 1e-9) AS INT)) >= 0")).select("a", "b")
 
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similar(p, q, least) for p, q in zip(x, y)], dtype="bool")
+        return pd.Series([similar(p.split(), q.split(), least) for p, q in zip(x, y)], dtype="bool")
 
-    long = both.where((longer > LONG_LINE) & (F.abs(F.length("x") - F.length("y")) <= most)).where(close("x", "y")).select("a", "b")
-    return stored(short.unionByName(long), "similar")
+    out = stored(both.where(close("x", "y")).select("a", "b"), "similar")
+    discard(texts)
+    return out
+
+
+def block_lists(uniq: DataFrame) -> DataFrame:
+    """list, lid, len, lead, size: the entries of blocks that two lines or more share; ``lead`` has the smallest lid."""
+    buckets = 2 * int(uniq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lid, size = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.uint32)
+            lists = np.concatenate([(b.column(2 + i).to_numpy().astype(np.int64) << 8) | i for i in range(BLOCKS)])
+            lids, sizes = np.tile(lid, BLOCKS), np.tile(size, BLOCKS)
+            bucket = (lists >> 8) % buckets
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            parts = [(k, order[cut[k] : cut[k + 1]]) for k in range(buckets) if cut[k] < cut[k + 1]]
+            yield pa.record_batch([pa.array([k for k, _ in parts], pa.int32()), *(pa.array([v[at].tobytes() for _, at in parts], pa.binary()) for v in (lists, lids, sizes))], names=["bucket", "lists", "lids", "sizes"])
+
+    def gather(part: pd.DataFrame) -> pd.DataFrame:
+        lists, lids, sizes = (np.concatenate([np.frombuffer(x, kind) for x in part[c]]) for c, kind in (("lists", np.int64), ("lids", np.int64), ("sizes", np.uint32)))
+        order = np.lexsort((lids, lists))
+        lists, lids, sizes = lists[order], lids[order], sizes[order]
+        first = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
+        count = np.diff(np.concatenate([first, [len(lists)]]))
+        keep = np.repeat(count > 1, count)
+        return pd.DataFrame({"list": lists[keep], "lid": lids[keep], "len": sizes[keep].astype(np.int32), "lead": np.repeat(lids[first], count)[keep], "size": np.repeat(count, count)[keep]})
+
+    posted = uniq.select("lid", "len", *[f"b{i}" for i in range(BLOCKS)]).mapInArrow(post, "bucket int, lists binary, lids binary, sizes binary")
+    return stored(posted.groupBy("bucket").applyInPandas(gather, "list bigint, lid bigint, len int, lead bigint, size bigint"), "block-lists")
 
 
 def groups(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -183,10 +233,7 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataF
     first = F.min(F.struct("doc_id", "rid", "line")).alias("first")
     uniq = lines.groupBy("k1", "k2", "len").agg(first, *[F.first(f"b{i}").alias(f"b{i}") for i in range(BLOCKS)])
     uniq = stored(uniq.withColumn("lid", F.monotonically_increasing_id()), "uniq")
-    blocks = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"b{i}").alias("v")) for i in range(BLOCKS)])
-    posted = uniq.select("lid", "len", F.inline(blocks))
-    many = posted.groupBy("i", "v").agg(F.count("*").alias("n"), F.min("lid").alias("lead")).where("n > 1").select("i", "v", "lead")
-    lists = stored(posted.join(many, ["i", "v"]), "block-lists")
+    lists = block_lists(uniq)
     release(docs.sparkSession)
     side = uniq.select(F.col("lid").alias("lead"), F.col("len").alias("len2"), *[F.col(f"b{i}").alias(f"o{i}") for i in range(BLOCKS)])
     own = uniq.select(F.col("lid").alias("sid"), F.col("len").alias("len1"), *[F.col(f"b{i}").alias(f"b{i}") for i in range(BLOCKS)])
@@ -197,17 +244,19 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataF
         return stored(pairs.join(own, "sid").join(side, "lead").where(fits & (differ <= MOST_BITS)).select(F.col("sid").alias("a"), F.col("lead").alias("b")), "near-lines")
 
     stars = lists.where("lid <> lead").select(F.col("lid").alias("sid"), "lead").distinct()
-    links = _verified(near(stars), uniq, docs, least)
+    links = _verified(near(stars), uniq, lines, least)
     labels = stored(components(links), "labels")
-    labelled = lists.join(labels.withColumnRenamed("node", "lid"), "lid", "left").withColumn("label", F.coalesce("label", "lid"))
-    apart = labelled.groupBy("i", "v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("i", "v")
-    left = stored(labelled.join(apart, ["i", "v"], "left_semi").select("i", "v", "lid", "len", "label"), "open-lists")
-    one, two = left.select("i", "v", F.col("lid").alias("sid"), F.col("len").alias("len1"), "label"), left.select("i", "v", F.col("lid").alias("lead"), F.col("len").alias("len2"), F.col("label").alias("label2"))
-    across = one.join(two, ["i", "v"]).where((F.col("sid") < F.col("lead")) & (F.col("label") != F.col("label2")) & fits).select("sid", "lead").distinct()
+    # A list of two has been answered by its star; of the longer ones those are open whose lines aren't in one component.
+    labelled = lists.where("size > 2").join(labels.withColumnRenamed("node", "lid"), "lid", "left").select("list", "lid", "len", F.coalesce("label", "lid").alias("label"))
+    apart = labelled.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
+    left = stored(labelled.join(apart, "list", "left_semi"), "open-lists")
+    one, two = left.select("list", F.col("lid").alias("sid"), F.col("len").alias("len1"), "label"), left.select("list", F.col("lid").alias("lead"), F.col("len").alias("len2"), F.col("label").alias("label2"))
+    across = one.join(two, "list").where((F.col("sid") < F.col("lead")) & (F.col("label") != F.col("label2")) & fits).select("sid", "lead").distinct()
     # Stars stand as (member, leader) with the smaller id as leader; pairs seen there have been answered.
     across = across.join(stars.select(F.col("lead").alias("sid"), F.col("sid").alias("lead")), ["sid", "lead"], "left_anti")
-    more = _verified(near(across), uniq, docs, least)
-    labels = stored(components(links.unionByName(more)), "labels")
+    more = _verified(near(across), uniq, lines, least)
+    before = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    labels = stored(components(before.unionByName(more)), "labels")
     named = uniq.join(labels.withColumnRenamed("node", "lid"), "lid", "left").withColumn("label", F.coalesce("label", "lid"))
     kept = named.groupBy("label").agg(F.min("first").alias("kept"))
     return lines, stored(named.select("k1", "k2", "label").join(kept, "label").select("k1", "k2", F.col("kept").alias("first")), "places")
@@ -220,23 +269,36 @@ def dropped_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return extra.groupBy("rid").agg(F.collect_set("line").alias("drop"))
 
 
-def deduped(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The columns of ``docs`` with the kept lines as ``text``, and n_lines, n_dropped; n_chars is counted anew if it is there."""
+def _cut(docs: DataFrame, least: float) -> DataFrame:
+    """row (all columns of ``docs``), text_kept, n_lines, n_dropped."""
     gone = dropped_lines(docs, least)
-    both = identified(docs.drop("n_lines", "n_dropped")).join(gone.withColumnRenamed("rid", "_rid"), "_rid", "left")
-    cut = F.pandas_udf(_cut, "string")
-    rows = both.select("*", F.when(F.col("drop").isNull(), F.col("text")).otherwise(cut("_text", "drop")).alias("_kept"))
-    rows = rows.withColumn("n_lines", F.size(F.split("_text", "\n")).cast("long")).withColumn("n_dropped", F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long"))
-    columns = [F.col("_kept").alias("text") if c == "text" else F.length("_kept").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return rows.select(*columns, "n_lines", "n_dropped")
-
-
-def _cut(text: pd.Series, drop: pd.Series) -> pd.Series:
-    out = []
-    for t, d in zip(text, drop):
-        gone = set(() if d is None else d)
-        out.append(t if not gone else "\n".join(line for k, line in enumerate(t.split("\n")) if k not in gone))
-    return pd.Series(out, dtype="object")
+    rows = identified(docs).select(F.struct(*docs.columns).alias("row"), F.col("text").alias("source"), F.split("_text", "\n").alias("ls"), "_rid")
+    both = rows.join(gone, rows["_rid"] == gone["rid"], "left")
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(ls) - 1), drop), i -> ls[i]), '\\n')")
+    return both.select(
+        "row",
+        F.when(F.col("drop").isNull(), F.col("source")).otherwise(kept).alias("text_kept"),
+        F.size("ls").cast("long").alias("n_lines"),
+        F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_dropped"),
+    )
+
+
+def _columns(docs: DataFrame) -> list:
+    """The columns of ``docs`` out of ``row``, with the kept text and its length in characters as n_chars."""
+    new = {"text": F.col("text_kept"), "n_chars": F.coalesce(F.length("text_kept"), F.lit(0)).cast("long")}
+    return [new.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
+
+
+def deduped(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The columns of ``docs`` with the kept lines as ``text``, and n_lines, n_dropped instead of any columns of these names."""
+    own = [c for c, name in zip(_columns(docs), docs.columns) if name not in ("n_lines", "n_dropped")]
+    return _cut(docs, least).select(*own, "n_lines", "n_dropped")
+
+
+def with_text_left(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The columns of ``docs`` with the kept lines as ``text``; documents that lost every line with a word go."""
+    left = (F.col("n_dropped") == 0) | F.col("text_kept").rlike(r"[^\s.,;:!?\"'()\[\]{}]")
+    return _cut(docs, least).where(left).select(_columns(docs))
 
 
 def line_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -103,7 +103,7 @@ def test_line_dedup(spark, corpus):
         (i, j)
         for i in range(len(norms))
         for j in range(i)
-        if (fp[i] == fp[j]).any() and np.bitwise_count(fp[i] ^ fp[j]).sum() <= lines.MOST_BITS and lines.similar(norms[i], norms[j])
+        if (fp[i] == fp[j]).any() and np.bitwise_count(fp[i] ^ fp[j]).sum() <= lines.MOST_BITS and lines.similar(norms[i].split(), norms[j].split())
     ]
     top = by_links(len(norms), links)
     kept = {}
