@@ -6,7 +6,9 @@ and dots, so case, punctuation and spacing don't count. For bigram sets A and B
 Dice coefficient is 2 |A & B| / (|A| + |B|). It can only reach t if
 |A| <= (2 - t) / t * |B| and the reverse, so units outside every template's
 size bounds are dropped before any bigram is made, and pairs outside them after.
-Bigrams of the units then probe the templates' bigrams as an inverted list. All of
+Before that, a document must hold one of a few required words: a match shares at least
+t / (2 - t) of its template's bigrams, so words that touch all but fewer of them can't
+all be missing. Bigrams of the units then probe the templates' bigrams as an inverted list. All of
 it is DataFrame work; no Python runs on executors.
 
 Null and empty texts have no units; a unit of one word has no bigram and matches
@@ -76,6 +78,22 @@ def _bounds(sizes: list[int], size: Column, threshold: float) -> Column:
     return ok
 
 
+def required_words(grams: list[list[str]], threshold: float) -> list[str]:
+    """Words of which every matching text holds at least one, as part of its lower-cased characters.
+
+    Per template, words are taken until the bigrams without them are too few for a
+    match; long words and numbers first, as they are rare in other texts.
+    """
+    taken: dict[str, None] = {}
+    for bigrams in grams:
+        pairs = [set(g.split(" ")) for g in bigrams]
+        least = -(-threshold * len(pairs) // (2 - threshold))
+        while len(open_pairs := [p for p in pairs if p.isdisjoint(taken)]) >= least:
+            words = sorted(set().union(*open_pairs))
+            taken[max(words, key=lambda w: (len(w) >= 7 or w[0].isdigit(), sum(w in p for p in open_pairs), len(w)))] = None
+    return list(taken)
+
+
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, key, unit, license, common, size, template_size, dice: the best match of each unit that has one.
 
@@ -83,9 +101,14 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     """
     spark = docs.sparkSession
     known = template_table(spark, templates)
-    sizes = sorted({r["size"] for r in known.select("size").collect()})
+    grams = [r["grams"] for r in known.orderBy("template").collect()]
+    sizes = sorted({len(g) for g in grams})
     least = int(-(-threshold * min(sizes) // (2 - threshold)))
-    one = docs.select("doc_id", text_or_empty().alias("t")).select("doc_id", text_key("t").alias("key"), F.split("t", "\n").alias("ls"), F.split("t", r"\n[\x20\t]*\n").alias("ps"))
+    low = F.lower(text_or_empty())
+    held = F.lit(False)
+    for w in required_words(grams, threshold):
+        held = held | F.contains(low, F.lit(w))
+    one = docs.where(held).select("doc_id", text_or_empty().alias("t")).select("doc_id", text_key("t").alias("key"), "t").dropDuplicates(["doc_id", "key"]).select("doc_id", "key", F.split("t", "\n").alias("ls"), F.split("t", r"\n[\x20\t]*\n").alias("ps"))
     lines = F.transform("ls", lambda x, i: F.struct(F.concat(F.lit("l"), i.cast("string")).alias("unit"), x.alias("t")))
     paragraphs = F.when(F.size("ps") > 1, F.transform("ps", lambda x, i: F.struct(F.concat(F.lit("p"), i.cast("string")).alias("unit"), x.alias("t")))).otherwise(F.array_compact(F.array(F.when(F.size("ls") > 1, F.struct(F.lit("p0").alias("unit"), F.array_join("ls", "\n").alias("t"))))))
     units = one.select("doc_id", "key", F.explode(F.concat(lines, paragraphs)).alias("u")).select("doc_id", "key", "u.unit", "u.t")
