@@ -180,7 +180,7 @@ def test_toxicity_on_held_out_rows(spark):
     rnd = random.Random(4)
     rows, labels = [], []
     for i in range(600):
-        bad, toxic = i % 4 == 0, i % 5 == 0
+        bad, toxic = i % 3 == 0, i % 5 == 0
         text = words(rnd, 60) + (["junkword"] * 2 if bad else []) + ([rnd.choice(("nasty", "vile", "awful"))] if toxic else [])
         rnd.shuffle(text)
         rows.append((i, " ".join(text)))
