@@ -9,8 +9,12 @@ similarity in words of ``SIMILARITY`` (1 - distance / words of the longer) are l
 connected group the first occurrence (by doc_id, nulls last, then line) stays.
 
 Within a block, lines are first held against one leader, so a family of thousands costs
-thousands of comparisons; then every pair across components that the blocks still
-hold is compared, so no link between components is missed.
+thousands of comparisons. Blocks find only a part of the near lines, so the query and the
+pipeline go on (``whole``): lines of n words that reach the similarity differ in at most a
+fifth of them, so they share one of the n / 5 + 1 words that come first in one order of all
+words, the rarest first. Every pair across components that shares such a word and passes the
+bounds of size and of differing words, which lose none, is compared: no pair is missed.
+Without ``whole`` the pairs across components that the blocks hold are compared instead.
 
 Lines without a word are never dropped and never linked. Null texts are empty: one line
 without a word. A document is the pair of doc_id and text: rows that repeat both are
@@ -26,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from popspark.llm.common import bounded, discard, release, stored, text_key, text_or_empty
@@ -40,6 +44,9 @@ BYTES = 128
 #: Line keys that a broadcast may hold, some tens of bytes each; more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 LAST_ID = (1 << 63) - 1
+#: Lines whose words are counted for the order of words, and words that have a place of their own in it. An order only: no word is left out.
+COUNTED_LINES = 200_000
+ORDERED_WORDS = 1 << 18
 
 # Signs that count as space.
 SIGNS = ".,;:!?\"'()[]{}"
@@ -227,7 +234,115 @@ def block_lists(uniq: DataFrame) -> DataFrame:
     return stored(posted.groupBy("bucket").applyInPandas(gather, "list bigint, lid bigint, len int, lead bigint, size bigint"), "block-lists")
 
 
-def groups(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def word_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) and counts of the most frequent words, of about COUNTED_LINES lines."""
+    share = max(1, texts.count() // COUNTED_LINES)
+    some = texts.where(F.pmod(F.xxhash64("lid"), F.lit(share)) == 0).select(F.explode(F.split("norm", " ")).alias("w"))
+    top = some.groupBy(F.xxhash64("w").alias("h")).count().where("count > 1").orderBy(F.desc("count"), "h").limit(ORDERED_WORDS).toArrow()
+    h, n = top["h"].to_numpy().view(np.uint64), top["count"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+class WordHashes(dict):
+    """The hash of each word (as Spark's xxhash64); the table starts anew when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > MOST_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+_hashes = WordHashes()
+
+
+def first_words(lines: list[list[str]], hot: np.ndarray, count: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, token) of the words that come first in each line, and size and sketch of each line.
+
+    A word that repeats in a line is a new token each time. The sketch holds, for 64 classes of
+    tokens, whether their number is odd: two sketches differ in at most as many bits as tokens differ.
+    """
+    size = np.array([len(ws) for ws in lines], np.int64)
+    line = np.repeat(np.arange(len(lines)), size)
+    word = np.array([_hashes[w] for ws in lines for w in ws], np.uint64)
+    order = np.lexsort((word, line))
+    line, word = line[order], word[order]
+    new = np.concatenate([[True], (line[1:] != line[:-1]) | (word[1:] != word[:-1])])
+    begin = np.flatnonzero(new)
+    nth = np.arange(len(word)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(word)]])))
+    token = (word + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+    bits = np.bincount(line * 64 + (token >> np.uint64(58)).astype(np.int64), minlength=64 * len(lines)).reshape(-1, 64) & 1
+    sketch = np.packbits(bits.astype(np.uint8), axis=1).view(np.uint64).ravel()
+    at = np.minimum(np.searchsorted(hot, word), max(0, len(hot) - 1))
+    often = np.where(hot[at] == word, count[at], 0) if len(hot) else np.zeros(len(word), np.int64)
+    order = np.lexsort((token, often, line))
+    place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    order = order[place < np.repeat((size - least * size + 1e-9).astype(np.int64) + 1, size)]
+    return line[order], token[order], size, sketch
+
+
+def pairs_of_lists(token: np.ndarray, lid: np.ndarray, label: np.ndarray, size: np.ndarray, sketch: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs (a < b) of a common token, of different labels, within the bounds of size and sketch."""
+    order = np.lexsort((size, token))
+    token, lid, label, size, sketch = token[order], lid[order], label[order], size[order], sketch[order]
+    i, step, found = np.arange(len(token) - 1), 1, [np.empty((0, 2), np.int64)]
+    while len(i):
+        j = i + step
+        # Sizes ascend within a token: a pair out of bounds ends its line's run.
+        on = (token[i] == token[j]) & (size[i] >= least * size[j] - 1e-9)
+        i, j = i[on], j[on]
+        most = 2 * (size[j] - least * size[j] + 1e-9).astype(np.int64) - (size[j] - size[i])
+        near = (label[i] != label[j]) & (np.bitwise_count(sketch[i] ^ sketch[j]) <= most)
+        found.append(np.stack([np.minimum(lid[i[near]], lid[j[near]]), np.maximum(lid[i[near]], lid[j[near]])], axis=1))
+        step += 1
+        i = i[i + step < len(token)]
+    both = np.unique(np.concatenate(found), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def near_by_words(texts: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """a, b: every pair of lines (lid, norm) in different components that may reach the similarity."""
+    buckets = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot, count = word_counts(texts)
+    kinds = {"token": np.uint64, "lid": np.int64, "label": np.int64, "size": np.int32, "sketch": np.uint64}
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 5000):
+                b = whole.slice(i, 5000)
+                lid, label = b.column(0).to_numpy(), b.column(1).to_numpy()
+                at, token, size, sketch = first_words([t.split(" ") for t in b.column(2).to_pylist()], hot, count, least)
+                cols = (token, lid[at], label[at], size[at].astype(np.int32), sketch[at])
+                bucket = (token >> np.uint64(20)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                parts = [(k, order[cut[k] : cut[k + 1]]) for k in range(buckets) if cut[k] < cut[k + 1]]
+                yield pa.record_batch([pa.array([k for k, _ in parts], pa.int32()), *(pa.array([v[o].tobytes() for _, o in parts], pa.binary()) for v in cols)], names=["bucket", *kinds])
+
+    def gather(part: pd.DataFrame) -> pd.DataFrame:
+        cols = [np.concatenate([np.frombuffer(x, kind) for x in part[c]]) for c, kind in kinds.items()]
+        a, b = pairs_of_lists(*cols, least)
+        return pd.DataFrame({"a": a, "b": b})
+
+    rows = texts.join(labels.withColumnRenamed("node", "lid"), "lid", "left").select("lid", F.coalesce("label", "lid").alias("label"), "norm")
+    posted = rows.mapInArrow(post, "bucket int, token binary, lid binary, label binary, size binary, sketch binary")
+    return stored(posted.groupBy("bucket").applyInPandas(gather, "a bigint, b bigint").distinct(), "near-by-words")
+
+
+def across_blocks(lists: DataFrame, labels: DataFrame, stars: DataFrame, fits: Column) -> DataFrame:
+    """sid, lead: the pairs across components that the blocks hold, besides the stars."""
+    # A list of two has been answered by its star; of the longer ones those are open whose lines aren't in one component.
+    labelled = lists.where("size > 2").join(labels.withColumnRenamed("node", "lid"), "lid", "left").select("list", "lid", "len", F.coalesce("label", "lid").alias("label"))
+    apart = labelled.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
+    left = stored(labelled.join(apart, "list", "left_semi"), "open-lists")
+    one, two = left.select("list", F.col("lid").alias("sid"), F.col("len").alias("len1"), "label"), left.select("list", F.col("lid").alias("lead"), F.col("len").alias("len2"), F.col("label").alias("label2"))
+    across = one.join(two, "list").where((F.col("sid") < F.col("lead")) & (F.col("label") != F.col("label2")) & fits).select("sid", "lead").distinct()
+    # Stars stand as (member, leader) with the smaller id as leader; pairs seen there have been answered.
+    return across.join(stars.select(F.col("lead").alias("sid"), F.col("sid").alias("lead")), ["sid", "lead"], "left_anti")
+
+
+def groups(docs: DataFrame, least: float = SIMILARITY, whole: bool = True) -> tuple[DataFrame, DataFrame]:
     """(lines, places): ``line_table``, and k1, k2, first: the kept occurrence of each normalised line's group."""
     lines = stored(line_table(docs), "lines")
     first = F.min(F.struct("doc_id", "rid", "line")).alias("first")
@@ -246,15 +361,13 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataF
     stars = lists.where("lid <> lead").select(F.col("lid").alias("sid"), "lead").distinct()
     links = _verified(near(stars), uniq, lines, least)
     labels = stored(components(links), "labels")
-    # A list of two has been answered by its star; of the longer ones those are open whose lines aren't in one component.
-    labelled = lists.where("size > 2").join(labels.withColumnRenamed("node", "lid"), "lid", "left").select("list", "lid", "len", F.coalesce("label", "lid").alias("label"))
-    apart = labelled.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
-    left = stored(labelled.join(apart, "list", "left_semi"), "open-lists")
-    one, two = left.select("list", F.col("lid").alias("sid"), F.col("len").alias("len1"), "label"), left.select("list", F.col("lid").alias("lead"), F.col("len").alias("len2"), F.col("label").alias("label2"))
-    across = one.join(two, "list").where((F.col("sid") < F.col("lead")) & (F.col("label") != F.col("label2")) & fits).select("sid", "lead").distinct()
-    # Stars stand as (member, leader) with the smaller id as leader; pairs seen there have been answered.
-    across = across.join(stars.select(F.col("lead").alias("sid"), F.col("sid").alias("lead")), ["sid", "lead"], "left_anti")
-    more = _verified(near(across), uniq, lines, least)
+    if whole:
+        keys = uniq.select("lid", "k1", "k2")
+        texts = stored(lines.select("k1", "k2", "norm").join(keys, ["k1", "k2"]).groupBy("lid").agg(F.first("norm").alias("norm")), "texts")
+        more = _verified(near_by_words(texts, labels, least), uniq, lines, least)
+        discard(texts)
+    else:
+        more = _verified(near(across_blocks(lists, labels, stars, fits)), uniq, lines, least)
     before = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     labels = stored(components(before.unionByName(more)), "labels")
     named = uniq.join(labels.withColumnRenamed("node", "lid"), "lid", "left").withColumn("label", F.coalesce("label", "lid"))
@@ -262,16 +375,16 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataF
     return lines, stored(named.select("k1", "k2", "label").join(kept, "label").select("k1", "k2", F.col("kept").alias("first")), "places")
 
 
-def dropped_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def dropped_lines(docs: DataFrame, least: float = SIMILARITY, whole: bool = True) -> DataFrame:
     """rid, drop: the line numbers to drop of each document that loses any."""
-    lines, places = groups(docs, least)
+    lines, places = groups(docs, least, whole)
     extra = lines.join(places, ["k1", "k2"]).where(F.struct("doc_id", "rid", "line") != F.col("first"))
     return extra.groupBy("rid").agg(F.collect_set("line").alias("drop"))
 
 
-def _cut(docs: DataFrame, least: float) -> DataFrame:
+def _cut(docs: DataFrame, least: float, whole: bool = True) -> DataFrame:
     """row (all columns of ``docs``), text_kept, n_lines, n_dropped."""
-    gone = dropped_lines(docs, least)
+    gone = dropped_lines(docs, least, whole)
     rows = identified(docs).select(F.struct(*docs.columns).alias("row"), F.col("text").alias("source"), F.split("_text", "\n").alias("ls"), "_rid")
     both = rows.join(gone, rows["_rid"] == gone["rid"], "left")
     kept = F.expr("array_join(transform(array_except(sequence(0, size(ls) - 1), drop), i -> ls[i]), '\\n')")
@@ -289,10 +402,10 @@ def _columns(docs: DataFrame) -> list:
     return [new.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
 
 
-def deduped(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The columns of ``docs`` with the kept lines as ``text``, and n_lines, n_dropped instead of any columns of these names."""
+def deduped(docs: DataFrame, least: float = SIMILARITY, whole: bool = False) -> DataFrame:
+    """By the blocks alone unless ``whole``: the columns of ``docs`` with the kept lines as ``text``, and n_lines, n_dropped instead of any columns of these names."""
     own = [c for c, name in zip(_columns(docs), docs.columns) if name not in ("n_lines", "n_dropped")]
-    return _cut(docs, least).select(*own, "n_lines", "n_dropped")
+    return _cut(docs, least, whole).select(*own, "n_lines", "n_dropped")
 
 
 def with_text_left(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -303,5 +416,5 @@ def with_text_left(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def line_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 (of the lines that stay, joined by newlines)."""
-    rows = deduped(docs.select("doc_id", "text"), least)
+    rows = deduped(docs.select("doc_id", "text"), least, whole=True)
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(text_or_empty(), 256).alias("kept_sha256"))

@@ -119,6 +119,28 @@ def test_line_dedup(spark, corpus):
     assert lines.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_finds_every_near_line(spark):
+    rnd = random.Random(12)
+    docs, texts = [], []
+    for n, changed in ((50, 1), (20, 1), (10, 1), (20, 2), (10, 2), (20, 4), (5, 1)) * 12:
+        base = words(rnd, n)
+        other = list(base)
+        for k in rnd.sample(range(n), changed):
+            other[k] = "other" + str(rnd.randint(0, 999))
+        texts += [base, other]
+    texts += [base[:4], base[:2] + base[2:3] * 2]
+    docs = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    top = by_links(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if lines.similar(texts[i], texts[j])])
+    first = {}
+    for i, k in enumerate(top):
+        first.setdefault(k, i)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id for r in lines.line_dedup(frame).where("n_dropped = 0").collect()}
+    assert got == set(first.values()) and len(got) < 90
+    by_blocks = lines.deduped(frame).where("n_dropped = 0").count()
+    assert by_blocks > len(got)
+
+
 def test_line_distance():
     rnd = random.Random(2)
     for _ in range(300):
