@@ -165,7 +165,7 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id (nulls as the largest id), rid, line, k1, k2 (128 bits of the normalised line), len, norm, b0 ... of each line with a word."""
+    """doc_id (nulls as the largest id), rid, line, k1, k2 (128 bits of the normalised line), len (in words), norm, b0 ... of each line with a word."""
     names = ["doc_id", "rid", "line", "k1", "k2", "len", "norm", *(f"b{i}" for i in range(BLOCKS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                             norm = " ".join(ws)
                             h = xxhash.xxh3_128_intdigest(norm)
                             words.append(ws)
-                            out.append((d, r, k, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), len(norm), norm))
+                            out.append((d, r, k, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), len(ws), norm))
                 fp = fingerprints(words)
                 cols = list(zip(*out)) or [()] * 7
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
@@ -352,7 +352,7 @@ def groups(docs: DataFrame, least: float = SIMILARITY, whole: bool = True) -> tu
     release(docs.sparkSession)
     side = uniq.select(F.col("lid").alias("lead"), F.col("len").alias("len2"), *[F.col(f"b{i}").alias(f"o{i}") for i in range(BLOCKS)])
     own = uniq.select(F.col("lid").alias("sid"), F.col("len").alias("len1"), *[F.col(f"b{i}").alias(f"b{i}") for i in range(BLOCKS)])
-    fits = F.least("len1", "len2") >= least * F.greatest("len1", "len2")
+    fits = F.least("len1", "len2") >= least * F.greatest("len1", "len2") - 1e-9
     differ = F.expr(" + ".join(f"bit_count(b{i} ^ o{i})" for i in range(BLOCKS)))
 
     def near(pairs: DataFrame) -> DataFrame:

@@ -141,6 +141,19 @@ def test_line_dedup_finds_every_near_line(spark):
     assert by_blocks > len(got)
 
 
+def test_line_size_is_bounded_in_words(spark):
+    rnd = random.Random(13)
+    texts = []
+    for _ in range(20):
+        base = words(rnd, 50)
+        texts += [base, base[:20] + ["www/" + "x" * 900] + base[21:]]
+    fp = lines.fingerprints(texts)
+    linked = sum((fp[i] == fp[i + 1]).any() and np.bitwise_count(fp[i] ^ fp[i + 1]).sum() <= lines.MOST_BITS for i in range(0, 40, 2))
+    frame = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id bigint, text string")
+    assert linked > 5 and lines.deduped(frame).where("n_dropped = 1").count() == linked
+    assert lines.line_dedup(frame).where("n_dropped = 1").count() == 20
+
+
 def test_line_distance():
     rnd = random.Random(2)
     for _ in range(300):
