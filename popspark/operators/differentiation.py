@@ -1,6 +1,6 @@
 """Hardy-Weinberg, F-statistics, AMOVA and multiple testing."""
 
-from popspark.plans.compose import query, r, series, step
+from popspark.plans.compose import query, r, step
 
 query("genotype_table", "SELECT pop, locus, least(a1, a2) AS a, greatest(a1, a2) AS b, count(*) AS n FROM geno GROUP BY pop, locus, least(a1, a2), greatest(a1, a2)")
 step("genotypes", "SELECT pop, locus, least(a1, a2) AS a, greatest(a1, a2) AS b, count(*) AS n FROM geno GROUP BY pop, locus, least(a1, a2), greatest(a1, a2)")
@@ -109,19 +109,5 @@ step(
 )
 query("pairwise_gst", f"""SELECT p1, p2, {r("(ht - hs) / nullif(ht, 0)")} AS gst, {r("(ht - hs) / nullif(ht, 0) / nullif((1 - hs) / (1 + hs), 0)")} AS gst_hedrick, {r("2 * (ht - hs) / nullif(1 - hs, 0)")} AS jost_d FROM pair_nei""")
 
-#: Homogeneity of allele counts among populations, by locus. With an even number of degrees of freedom the tail is a finite sum.
+#: Homogeneity of allele counts among populations, by locus; ``multiple`` gives the p values and their corrections.
 step("homogeneity", "SELECT locus, sum((n - e) * (n - e) / e) AS chi2, CAST((count(DISTINCT pop) - 1) * (count(DISTINCT allele) - 1) AS INT) AS df FROM (SELECT g.locus, g.pop, g.allele, g.n, 2e0 * g.inds * a.n / t.g AS e FROM grid AS g JOIN alleles AS a ON a.locus = g.locus AND a.allele = g.allele JOIN ss_total AS t ON t.locus = g.locus) AS x GROUP BY locus")
-step(
-    "homogeneity_p",
-    f"""SELECT locus, chi2, df, least(1e0, sum(exp(i * ln(chi2 / 2) - chi2 / 2 - lf))) AS p FROM (SELECT locus, chi2, df, i, sum(ln(greatest(i, 1) * 1e0)) OVER (PARTITION BY locus ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lf
-    FROM (SELECT locus, chi2, df, {series("0", "CAST(greatest(df / 2, 1) AS INT) - 1")} AS i FROM homogeneity) AS x) AS y GROUP BY locus, chi2, df""",
-)
-query("genic_differentiation", f"""SELECT locus, {r("chi2")} AS chi2, df, {r("p")} AS p FROM homogeneity_p WHERE df % 2 = 0""")
-query(
-    "adjusted_p",
-    f"""SELECT locus, {r("p")} AS p, {r("least(1e0, p * m)")} AS bonferroni, {r("max(least(1e0, p * (m - k + 1))) OVER (ORDER BY p, locus ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")} AS holm,
-    {r("min(least(1e0, p * m / k)) OVER (ORDER BY p DESC, locus DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")} AS bh,
-    {r("min(least(1e0, p * m * cm / k)) OVER (ORDER BY p DESC, locus DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")} AS bys
-    FROM (SELECT locus, p, k, m, sum(1e0 / k) OVER () AS cm FROM (SELECT locus, p, row_number() OVER (ORDER BY p, locus) AS k, count(*) OVER () * 1e0 AS m FROM homogeneity_p WHERE df % 2 = 0) AS x) AS y""",
-)
-query("fisher_combined", f"""SELECT {r("-2 * sum(ln(greatest(p, 1e-300)))")} AS chi2, 2 * count(*) AS df FROM homogeneity_p WHERE df % 2 = 0""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from popspark.dataset import from_tables, relation
 from popspark.functions.special import chi2_p
-from popspark.operators import matrices, resampling
+from popspark.operators import matrices, multiple, resampling
 
 
 def hwe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,18 @@ def hwe_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_tables(spark, sf_dir, "hwe_chi_square").withColumn("p", F.round(chi2_p(F.col("chi2"), F.col("df").cast("double")), 6))
 
 
+def genic_differentiation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiple.genic_differentiation(relation(spark, sf_dir, "homogeneity"))
+
+
+def adjusted_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiple.adjusted_p(relation(spark, sf_dir, "homogeneity"))
+
+
+def fisher_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiple.fisher_combined(relation(spark, sf_dir, "homogeneity"))
+
+
 def null_alleles_em(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.null_alleles_em(from_tables(spark, sf_dir, "genotype_table"))
 
@@ -52,4 +64,4 @@ def upgma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrices.upgma(_nei(spark, sf_dir))
 
 
-OTHER = {f.__name__: f for f in (hwe_exact, hwe_p_values, null_alleles_em, permuted_theta, theta_bootstrap, mantel_distance, pcoa_populations, neighbour_joining, upgma)}
+OTHER = {f.__name__: f for f in (hwe_exact, hwe_p_values, genic_differentiation, adjusted_p, fisher_combined, null_alleles_em, permuted_theta, theta_bootstrap, mantel_distance, pcoa_populations, neighbour_joining, upgma)}

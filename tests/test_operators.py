@@ -7,7 +7,7 @@ import pytest
 
 from popspark.dataset import QUERIES, Dataset, duck_sql
 from popspark.functions import special
-from popspark.operators import matrices, resampling
+from popspark.operators import matrices, multiple, resampling
 
 M1 = [(1, "A", 1, 1), (2, "A", 1, 2), (3, "A", 2, 2), (4, "B", 1, 2), (5, "B", 2, 2), (6, "B", 2, 2)]
 M2 = [(1, "A", 1, 1), (2, "A", 1, 1), (3, "A", 1, 2), (4, "B", 1, 2), (5, "B", 2, 2), (6, "B", 2, 2)]
@@ -63,6 +63,17 @@ def test_distances(m1, m2):
     assert [m2.result("population_distances").first()[c] for c in names] == pytest.approx([0.955511, 0.875469, 0.454320, 0.784465, 2 / 3, 2 / 3], abs=1e-6)
 
 
+def test_homogeneity_of_every_locus(spark):
+    tables = spark.createDataFrame([(1, 5.0, 1), (2, 6.0, 2), (3, 0.4, 3), (4, 0.0, 0)], "locus int, chi2 double, df int")
+    want = {k: special.gamma_tail(df / 2, chi2 / 2) for k, chi2, df in ((1, 5.0, 1), (2, 6.0, 2), (3, 0.4, 3))}
+    assert {r["locus"]: r["p"] for r in multiple.genic_differentiation(tables).collect()} == pytest.approx(want, abs=1e-6)
+    got = {r["locus"]: r for r in multiple.adjusted_p(tables).collect()}
+    assert [got[k]["holm"] for k in (1, 2, 3)] == pytest.approx([3 * want[1], 2 * want[2], want[3]], abs=1e-5)
+    assert [got[k]["bh"] for k in (1, 2, 3)] == pytest.approx([1.5 * want[2], 1.5 * want[2], want[3]], abs=1e-5)
+    one = multiple.fisher_combined(tables).first()
+    assert one["df"] == 6 and one["chi2"] == pytest.approx(-2 * sum(map(math.log, want.values())), abs=1e-5)
+
+
 def test_empty_data(spark):
     empty = dataset(spark, [])
     for name in ("diversity_cells", "theta_by_locus", "population_distances", "locus_qc"):
