@@ -35,24 +35,26 @@ query(
 )
 step("own_singles", "SELECT s.pop, s.ind, sum(CASE WHEN b.n = 1 THEN 1e0 ELSE 0e0 END) AS u FROM sites AS s JOIN base_counts AS b ON b.pop = s.pop AND b.site = s.site AND b.base = s.base GROUP BY s.pop, s.ind")
 query("r2_statistic", f"""SELECT u.pop, {r("sqrt(avg((u.u - q.k / 2) * (u.u - q.k / 2))) / max(q.s)")} AS r2 FROM own_singles AS u JOIN seq_stats AS q ON q.pop = u.pop WHERE q.s > 0 GROUP BY u.pop""")
-#: Haplotypes over the first four sites, so that some are shared.
-step("hap4", "SELECT ind, pop, concat(max(CASE WHEN site = 1 THEN base END), max(CASE WHEN site = 2 THEN base END), max(CASE WHEN site = 3 THEN base END), max(CASE WHEN site = 4 THEN base END)) AS h FROM sites WHERE site <= 4 GROUP BY ind, pop")
-step("hap4_n", "SELECT pop, h, count(*) * 1e0 AS n, sum(count(*)) OVER (PARTITION BY pop) * 1e0 AS total FROM hap4 GROUP BY pop, h")
-step("hap4_all", "SELECT DISTINCT h FROM hap4")
-step("hap4_d", "SELECT x.h AS g, y.h AS h, CASE WHEN substr(x.h, 1, 1) <> substr(y.h, 1, 1) THEN 1e0 ELSE 0e0 END + CASE WHEN substr(x.h, 2, 1) <> substr(y.h, 2, 1) THEN 1e0 ELSE 0e0 END + CASE WHEN substr(x.h, 3, 1) <> substr(y.h, 3, 1) THEN 1e0 ELSE 0e0 END + CASE WHEN substr(x.h, 4, 1) <> substr(y.h, 4, 1) THEN 1e0 ELSE 0e0 END AS d FROM hap4_all AS x CROSS JOIN hap4_all AS y")
-query("haplotypes", f"""SELECT h, count(DISTINCT pop) AS n_pops, CAST(sum(n) AS BIGINT) AS n FROM hap4_n GROUP BY h""")
-query("haplotype_diversity_sequences", f"""SELECT pop, count(*) AS n_haplotypes, {r("max(total) / (max(total) - 1) * (1 - sum(n * n) / (max(total) * max(total)))")} AS hd FROM hap4_n WHERE total > 1 GROUP BY pop""")
+#: Haplotypes over all sites, in the order of the sites.
+step("haps", "SELECT ind, pop, $joined(base ; site)$ AS h FROM sites GROUP BY ind, pop")
+step("haps_n", "SELECT pop, h, count(*) * 1e0 AS n, sum(count(*)) OVER (PARTITION BY pop) * 1e0 AS total FROM haps GROUP BY pop, h")
+step("haps_all", "SELECT DISTINCT h FROM haps")
+query("haplotypes", f"""SELECT h, count(DISTINCT pop) AS n_pops, CAST(sum(n) AS BIGINT) AS n FROM haps_n GROUP BY h""")
+query("haplotype_diversity_sequences", f"""SELECT pop, count(*) AS n_haplotypes, {r("max(total) / (max(total) - 1) * (1 - sum(n * n) / (max(total) * max(total)))")} AS hd FROM haps_n WHERE total > 1 GROUP BY pop""")
 step("pair_diff", "SELECT x.pop, x.ind AS i, y.ind AS j, sum(CASE WHEN x.base <> y.base THEN 1 ELSE 0 END) AS d FROM sites AS x JOIN sites AS y ON x.pop = y.pop AND x.site = y.site AND x.ind < y.ind GROUP BY x.pop, x.ind, y.ind")
 step("mismatch", "SELECT pop, d, count(*) / (sum(count(*)) OVER (PARTITION BY pop) * 1e0) AS f FROM pair_diff GROUP BY pop, d")
 query("mismatch_distribution", f"""SELECT pop, CAST(d AS BIGINT) AS d, {r("f")} AS f FROM mismatch""")
 step("mismatch_full", f"SELECT g.pop, g.d, coalesce(m.f, 0e0) AS f FROM (SELECT pop, {series('0', 'most + 1')} AS d FROM (SELECT pop, CAST(max(d) AS INT) AS most FROM mismatch GROUP BY pop) AS x) AS g LEFT JOIN mismatch AS m ON m.pop = g.pop AND m.d = g.d")
 query("raggedness", f"""SELECT pop, {r("sum((f - e) * (f - e))")} AS r FROM (SELECT pop, d, f, coalesce(lag(f) OVER (PARTITION BY pop ORDER BY d), 0e0) AS e FROM mismatch_full) AS x GROUP BY pop""")
-step("pp_freq", "SELECT p.pop, q.h, coalesce(n.n, 0e0) / p.total AS f, p.total AS n FROM (SELECT pop, max(total) AS total FROM hap4_n GROUP BY pop) AS p CROSS JOIN hap4_all AS q LEFT JOIN hap4_n AS n ON n.pop = p.pop AND n.h = q.h")
+step("pp_freq", "SELECT p.pop, q.h, coalesce(n.n, 0e0) / p.total AS f, p.total AS n FROM (SELECT pop, max(total) AS total FROM haps_n GROUP BY pop) AS p CROSS JOIN haps_all AS q LEFT JOIN haps_n AS n ON n.pop = p.pop AND n.h = q.h")
 step("pp_mean", "SELECT h, avg(f) AS m FROM pp_freq GROUP BY h")
 step("pp_dev", "SELECT x.pop, x.h, x.f, x.n, m.m, x.f - m.m AS e FROM pp_freq AS x JOIN pp_mean AS m ON m.h = x.h")
 step("pp_pop", "SELECT pop, max(n) / (max(n) - 1) * (1 - sum(f * f)) AS hs, sum(e * e) AS e2 FROM pp_dev GROUP BY pop")
-step("pp_pairs", "SELECT x.pop, max(x.n) / (max(x.n) - 1) * sum(x.f * y.f * d.d) AS vs, sum(x.e * y.e * d.d) AS ed FROM pp_dev AS x JOIN pp_dev AS y ON x.pop = y.pop JOIN hap4_d AS d ON d.g = x.h AND d.h = y.h GROUP BY x.pop")
-step("pp_total", "SELECT sum(x.m * y.m * d.d) AS vt FROM pp_mean AS x CROSS JOIN pp_mean AS y JOIN hap4_d AS d ON d.g = x.h AND d.h = y.h")
+#: Two haplotypes differ by the number of sites at which their bases do, so sums over pairs of haplotypes are sums over sites of base frequencies.
+step("pp_bases", "SELECT p.pop, p.n, b.site, b.base, coalesce(c.n, 0e0) / p.n AS f FROM n_seqs AS p CROSS JOIN (SELECT DISTINCT site, base FROM base_counts) AS b LEFT JOIN base_counts AS c ON c.pop = p.pop AND c.site = b.site AND c.base = b.base")
+step("pp_base_mean", "SELECT site, base, avg(f) AS m FROM pp_bases GROUP BY site, base")
+step("pp_pairs", "SELECT x.pop, max(x.n) / (max(x.n) - 1) * (max(l.l) - sum(x.f * x.f)) AS vs, -sum((x.f - m.m) * (x.f - m.m)) AS ed FROM pp_bases AS x JOIN pp_base_mean AS m ON m.site = x.site AND m.base = x.base CROSS JOIN n_sites AS l GROUP BY x.pop")
+step("pp_total", "SELECT max(l.l) - sum(m.m * m.m) AS vt FROM pp_base_mean AS m CROSS JOIN n_sites AS l")
 step("pp_m2", "SELECT sum(m * m) AS m2 FROM pp_mean")
 step("pp_sums", "SELECT avg(p.hs) AS hs, avg(q.vs) AS vs, sum(p.e2) AS e2, sum(q.ed) AS ed, count(*) * 1e0 AS np FROM pp_pop AS p JOIN pp_pairs AS q ON q.pop = p.pop")
 query(
@@ -60,17 +62,18 @@ query(
     f"""SELECT {r("hs")} AS hs, {r("ht")} AS ht, {r("1 - hs / ht")} AS gst, {r("vs")} AS vs, {r("vt")} AS vt, {r("1 - vs / vt")} AS nst
     FROM (SELECT s.hs, s.vs, 1 - m.m2 + s.e2 / (s.np * (s.np - 1)) AS ht, t.vt - s.ed / (s.np * (s.np - 1)) AS vt FROM pp_sums AS s CROSS JOIN pp_m2 AS m CROSS JOIN pp_total AS t) AS x""",
 )
-step("all_diff", "SELECT x.pop AS p1, y.pop AS p2, x.ind AS i, y.ind AS j, sum(CASE WHEN x.base <> y.base THEN 1e0 ELSE 0e0 END) AS d FROM sites AS x JOIN sites AS y ON x.site = y.site AND x.ind < y.ind WHERE x.ind < 200 AND y.ind < 200 GROUP BY x.pop, y.pop, x.ind, y.ind")
-step("pop_diff", "SELECT least(p1, p2) AS p1, greatest(p1, p2) AS p2, avg(d) AS d FROM all_diff GROUP BY least(p1, p2), greatest(p1, p2)")
+#: Differences summed over pairs of sequences: within a population each pair counts twice.
+step("base_pairs", "SELECT x.pop AS p1, y.pop AS p2, sum(CASE WHEN x.base <> y.base THEN x.n * y.n ELSE 0e0 END) AS d FROM base_counts AS x JOIN base_counts AS y ON x.site = y.site AND x.pop <= y.pop GROUP BY x.pop, y.pop")
+step("pop_diff", "SELECT b.p1, b.p2, b.d / (x.n * CASE WHEN b.p1 = b.p2 THEN y.n - 1 ELSE y.n END) AS d FROM base_pairs AS b JOIN n_seqs AS x ON x.pop = b.p1 JOIN n_seqs AS y ON y.pop = b.p2 WHERE b.p1 <> b.p2 OR x.n > 1")
 query("dxy_da", f"""SELECT x.p1, x.p2, {r("x.d / l")} AS dxy, {r("greatest(0e0, x.d - (a.d + b.d) / 2) / l")} AS da FROM pop_diff AS x JOIN pop_diff AS a ON a.p1 = x.p1 AND a.p2 = x.p1 JOIN pop_diff AS b ON b.p1 = x.p2 AND b.p2 = x.p2 CROSS JOIN n_sites WHERE x.p1 < x.p2""")
 step(
     "pair_types",
     """SELECT x.ind AS i, y.ind AS j, avg(CASE WHEN concat(x.base, y.base) IN ('AG', 'GA', 'CT', 'TC') THEN 1e0 ELSE 0e0 END) AS p, avg(CASE WHEN x.base <> y.base AND concat(x.base, y.base) NOT IN ('AG', 'GA', 'CT', 'TC') THEN 1e0 ELSE 0e0 END) AS q
-    FROM sites AS x JOIN sites AS y ON x.site = y.site AND x.ind < y.ind WHERE x.ind < 100 AND y.ind < 100 GROUP BY x.ind, y.ind""",
+    FROM sites AS x JOIN sites AS y ON x.site = y.site AND x.ind < y.ind GROUP BY x.ind, y.ind""",
 )
 query("k2p_distance", f"""SELECT i, j, {r("CASE WHEN 1 - 2 * p - q > 0 AND 1 - 2 * q > 0 THEN -0.5e0 * ln(1 - 2 * p - q) - 0.25e0 * ln(1 - 2 * q) ELSE 3e0 END")} AS k2p FROM pair_types""")
 query(
     "phi_st_sequences",
     f"""SELECT {r("sb / (sb + msw)")} AS phi_st FROM (SELECT ((sst - ssw) / (np - 1) - ssw / (n - np)) / n0 AS sb, ssw / (n - np) AS msw FROM (SELECT t.sst, w.ssw, w.np, t.n, (t.n - w.n2 / t.n) / (w.np - 1) AS n0
-    FROM (SELECT sum(d) / 200 AS sst, 200e0 AS n FROM all_diff) AS t CROSS JOIN (SELECT sum(d.ss / c.n) AS ssw, count(*) * 1e0 AS np, sum(c.n * c.n) AS n2 FROM (SELECT p1 AS pop, sum(d) AS ss FROM all_diff WHERE p1 = p2 GROUP BY p1) AS d JOIN (SELECT pop, count(DISTINCT ind) * 1e0 AS n FROM sites WHERE ind < 200 GROUP BY pop) AS c ON c.pop = d.pop) AS w) AS x) AS y""",
+    FROM (SELECT sum(CASE WHEN b.p1 = b.p2 THEN b.d / 2 ELSE b.d END) / max(t.n) AS sst, max(t.n) AS n FROM base_pairs AS b CROSS JOIN (SELECT sum(n) AS n FROM n_seqs) AS t) AS t CROSS JOIN (SELECT sum(b.d / (2 * c.n)) AS ssw, count(*) * 1e0 AS np, sum(c.n * c.n) AS n2 FROM base_pairs AS b JOIN n_seqs AS c ON c.pop = b.p1 WHERE b.p1 = b.p2) AS w) AS x) AS y""",
 )

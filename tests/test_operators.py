@@ -74,6 +74,32 @@ def test_homogeneity_of_every_locus(spark):
     assert one["df"] == 6 and one["chi2"] == pytest.approx(-2 * sum(map(math.log, want.values())), abs=1e-5)
 
 
+def test_sequences_of_any_id_and_site(spark):
+    rnd = np.random.default_rng(6)
+    seqs = {1000 + 7 * i: ("ABC"[i % 3], "".join(rnd.choice(list("ACGT"), 9, p=[0.7, 0.1, 0.1, 0.1]))) for i in range(24)}
+    seqs[5000] = ("A", seqs[1000][1])
+    sites = spark.createDataFrame([(i, p, k + 1, b) for i, (p, s) in seqs.items() for k, b in enumerate(s)], "ind bigint, pop string, site int, base string")
+    data = Dataset(spark, sites=sites)
+    ids, d = sorted(seqs), lambda i, j: sum(x != y for x, y in zip(seqs[i][1], seqs[j][1]))
+    within = lambda p, q: [d(i, j) for i in ids for j in ids if (i < j or p != q) and seqs[i][0] == p and seqs[j][0] == q]
+    for row in data.result("dxy_da").collect():
+        x, a, b = (np.mean(within(*k)) for k in ((row["p1"], row["p2"]), (row["p1"], row["p1"]), (row["p2"], row["p2"])))
+        assert (row["dxy"], row["da"]) == pytest.approx((x / 9, max(0, x - (a + b) / 2) / 9), abs=1e-6)
+    n, sizes = len(ids), [sum(p == q for p, _ in seqs.values()) for q in "ABC"]
+    sst, ssw = sum(d(i, j) for i in ids for j in ids if i < j) / n, sum(sum(within(q, q)) / m for q, m in zip("ABC", sizes))
+    msw, n0 = ssw / (n - 3), (n - sum(m * m for m in sizes) / n) / 2
+    sb = ((sst - ssw) / 2 - msw) / n0
+    assert data.result("phi_st_sequences").first()["phi_st"] == pytest.approx(sb / (sb + msw), abs=1e-6)
+    assert data.result("k2p_distance").count() == n * (n - 1) / 2
+    assert {r["h"]: r["n"] for r in data.result("haplotypes").collect()} == {s: sum(t == s for _, t in seqs.values()) for _, s in seqs.values()}
+    haps = sorted({s for _, s in seqs.values()})
+    f = np.array([[sum((p, s) == (q, h) for p, s in seqs.values()) / m for h in haps] for q, m in zip("ABC", sizes)])
+    diff, m, e = np.array([[sum(x != y for x, y in zip(g, h)) for h in haps] for g in haps]), f.mean(axis=0), f - f.mean(axis=0)
+    vs = np.mean([k / (k - 1) * (v @ diff @ v) for k, v in zip(sizes, f)])
+    got = data.result("pons_petit").first()
+    assert (got["vs"], got["vt"]) == pytest.approx((vs, m @ diff @ m - sum(v @ diff @ v for v in e) / 6), abs=1e-6)
+
+
 def test_empty_data(spark):
     empty = dataset(spark, [])
     for name in ("diversity_cells", "theta_by_locus", "population_distances", "locus_qc"):
