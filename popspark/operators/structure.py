@@ -3,11 +3,10 @@
 from popspark.plans.compose import query, r, step
 
 step("global_k", "SELECT locus, count(*) AS k FROM alleles GROUP BY locus")
-step("assign_inds", "SELECT g.* FROM geno AS g WHERE g.ind % 100 = 0")
 #: Rannala and Mountain's criterion; in the home population the individual's own copies are left out.
 step(
     "assign_terms",
-    """SELECT g.ind, g.pop AS home, c.pop, g.locus, CASE WHEN g.a1 = g.a2 THEN 2 * ln(x.f) ELSE ln(2 * x.f * y.f) END AS ll FROM assign_inds AS g JOIN cells AS c ON c.locus = g.locus AND c.n >= 5
+    """SELECT g.ind, g.pop AS home, c.pop, g.locus, CASE WHEN g.a1 = g.a2 THEN 2 * ln(x.f) ELSE ln(2 * x.f * y.f) END AS ll FROM geno AS g JOIN cells AS c ON c.locus = g.locus AND c.n >= 5
     JOIN assign_freqs AS x ON x.pop = c.pop AND x.locus = g.locus AND x.allele = g.a1 AND x.own = CASE WHEN c.pop <> g.pop THEN 0 WHEN g.a1 = g.a2 THEN 2 ELSE 1 END
     JOIN assign_freqs AS y ON y.pop = c.pop AND y.locus = g.locus AND y.allele = g.a2 AND y.own = CASE WHEN c.pop <> g.pop THEN 0 WHEN g.a1 = g.a2 THEN 2 ELSE 1 END""",
 )

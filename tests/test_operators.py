@@ -100,6 +100,29 @@ def test_sequences_of_any_id_and_site(spark):
     assert (got["vs"], got["vt"]) == pytest.approx((vs, m @ diff @ m - sum(v @ diff @ v for v in e) / 6), abs=1e-6)
 
 
+def test_every_individual_of_every_population(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(1001 + 2 * i, "PQ"[i % 2], "R", l, int(rnd.integers(3)), int(rnd.integers(3))) for i in range(14) for l in (1, 2, 3, 4)]
+    geno = spark.createDataFrame(rows, "ind bigint, pop string, region string, locus int, a1 bigint, a2 bigint")
+    flat = lambda name: spark.createDataFrame([(1000 + i, "P", name, int(rnd.integers(2))) for i in range(6)], f"ind bigint, pop string, {name} string, x int")
+    places = spark.createDataFrame([(1000 + i, "P", float(i), 2.0 * i) for i in range(6)], "ind bigint, pop string, lat double, lon double")
+    data = Dataset(spark, geno=geno, bands=flat("band"), hap=flat("locus").withColumnRenamed("x", "allele"), traits=flat("trait").withColumnRenamed("x", "v"), places=places)
+    of = {i: {r[3]: r[4:] for r in rows if r[0] == i} for i in {r[0] for r in rows}}
+    shared = lambda x, y: 2 if sorted(x) == sorted(y) else int(bool(set(x) & set(y)))
+    pairs = {p: [(i, j) for i in sorted(of) for j in sorted(of) if i < j and (i, p) in {r[:2] for r in rows} and (j, p) in {r[:2] for r in rows}] for p in "PQ"}
+    got = {(r["i"], r["j"]): r["dps"] for r in data.result("individual_distances").collect()}
+    assert got == pytest.approx({(i, j): np.mean([1 - shared(of[i][l], of[j][l]) / 2 for l in of[i]]) for p in "PQ" for i, j in pairs[p]}, abs=1e-6)
+    assert {(r["i"], r["j"]) for r in data.result("loiselle_kinship").collect()} == set(got)
+    d = {p: np.array([[2 - shared(of[i][l], of[j][l]) for l in (1, 2, 3, 4)] for i, j in pairs[p]]) for p in "PQ"}
+    ia = {p: np.var(v.sum(axis=1), ddof=1) / np.var(v, axis=0, ddof=1).sum() - 1 for p, v in d.items()}
+    assert {r["pop"]: r["ia"] for r in data.result("index_of_association").collect()} == pytest.approx(ia, abs=1e-6)
+    rd = {(r["pop"], r["l1"], r["l2"]): r["rd"] for r in data.result("pairwise_rd").collect()}
+    assert len(rd) == 12 and rd["Q", 1, 3] == pytest.approx(np.corrcoef(d["Q"][:, 0], d["Q"][:, 2])[0, 1], abs=1e-6)
+    assert all(data.result(name).count() == 15 for name in ("band_distances", "gower", "haploid_p_distance"))
+    assert data.result("kinship_slope").first()["n"] == 15 and sum(r["n"] for r in data.result("correlogram").collect()) == 15
+    assert data.result("assignment").count() == 14 and sum(r["n"] for r in data.result("assignment_matrix").collect()) == 14
+
+
 def test_empty_data(spark):
     empty = dataset(spark, [])
     for name in ("diversity_cells", "theta_by_locus", "population_distances", "locus_qc"):
