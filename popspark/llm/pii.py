@@ -2,7 +2,7 @@
 
 A transducer rewrites a text and keeps, for every character it puts out, the range of
 source characters that it came from. Three run in a row: homoglyphs (letters, digits
-and signs that look like ASCII ones), spelled digits ("four five double-two"), and
+and signs that look like ASCII ones), spelled digits ("plus four five double-two"), and
 at/dot disguises ("name [at] host dot org"). The detectors run over the source and
 over the rewritten text; spans of the latter are mapped back to source characters.
 
@@ -114,17 +114,17 @@ DIGIT_WORDS = {
 TIMES = {"double": 2, "triple": 3}
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _ITEM = rf"(?:(?:{'|'.join(TIMES)})[ -])?{_WORD}\b|[0-9]+\b"
-#: At least three items with one spelled digit among them; a sign between items stays.
-SPELLED = re.compile(rf"(?<!\w)(?:{_ITEM})(?:[ ,-]{{1,2}}(?:{_ITEM})|[ ]?(?:\.|dot|point)[ ]?(?:{_ITEM})){{2,}}", re.I)
+#: At least three items with one spelled digit or a spelled plus among them; a sign between items stays.
+SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,-]{{1,2}})?(?:{_ITEM})(?:[ ,-]{{1,2}}(?:{_ITEM})|[ ]?(?:\.|dot|point)[ ]?(?:{_ITEM})){{2,}}", re.I)
 #: Items that follow each other in such a run.
 SPELLED_ITEMS = frozenset([*DIGIT_WORDS, *TIMES, "dot", "point"])
-SPELLED_PART = re.compile(rf"(?:(?P<times>{'|'.join(TIMES)})[ -])?(?P<word>{_WORD})\b|(?P<digits>[0-9]+)|(?P<dot>[ ]?(?:\.|dot|point)[ ]?)|(?P<gap>[ ,-]+)", re.I)
+SPELLED_PART = re.compile(rf"(?P<plus>plus[ ,-]{{1,2}})|(?:(?P<times>{'|'.join(TIMES)})[ -])?(?P<word>{_WORD})\b|(?P<digits>[0-9]+)|(?P<dot>[ ]?(?:\.|dot|point)[ ]?)|(?P<gap>[ ,-]+)", re.I)
 
 _AT = r"\s*[\[({<]\s*(?:at|arroba|@)\s*[\])}>]\s*|\s+(?:at|arroba)\s+|\s+@\s*|@\s+"
 _DOT = r"\s*[\[({<]\s*(?:dot|punto|point|punkt|\.)\s*[\])}>]\s*|\s+(?:dot|punto|point|punkt)\s+"
 #: A name, an at sign in some guise, and a host whose parts meet at dots in some guise; one guise at least.
 DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])(?P<name>[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)?)(?P<at>@|{_AT})(?P<host>[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+)", re.I
+    rf"(?<![A-Za-z0-9._%+-])(?P<name>[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*)(?P<at>@|{_AT})(?P<host>[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+)", re.I
 )
 #: After a plain "at", the host of an address with plain dots.
 PLAIN_HOST = re.compile(r"at\s+[A-Za-z0-9-]+\.[A-Za-z0-9]", re.I)
@@ -178,11 +178,13 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
     edits: list[tuple[int, int, str]] = []
     for run in SPELLED.finditer(text):
         parts = list(SPELLED_PART.finditer(text, run.start(), run.end()))
-        if not any(p["word"] for p in parts):
+        if not any(p["word"] or p["plus"] for p in parts):
             continue
         for p in parts:
             if p["word"]:
                 edits.append((p.start(), p.end(), str(DIGIT_WORDS[p["word"].lower()]) * TIMES.get((p["times"] or "").lower(), 1)))
+            elif p["plus"]:
+                edits.append((p.start(), p.end(), "+"))
             elif p["dot"]:
                 edits.append((p.start(), p.end(), "."))
             elif p["gap"]:

@@ -112,6 +112,14 @@ def test_personal_data_base_and_disguises(spark):
     assert got[5].spans == got[6].spans == ""
 
 
+def test_personal_data_long_names_and_spelled_plus():
+    for text in ("john.q.public [at] example [dot] org", "a.b.c@example [dot] org", "john dot q dot public at example dot org"):
+        assert pii.written(pii.all_spans(text)[1]) == f"email:0:{len(text)}"
+    for text in ("plus four nine nine five five five six five zero three", "Plus 1 499 555 6503", "plus one, four-nine-nine five five five six five zero three"):
+        assert pii.written(pii.all_spans("call " + text)[1]) == f"phone:5:{5 + len(text)}"
+    assert pii.all_spans("this plus one two three") == ([], [])
+
+
 def test_personal_data_offsets_survive_rewriting():
     text = "x jane [at] site (dot) org y"
     out = pii.rewritten(text)
