@@ -11,7 +11,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -145,6 +145,15 @@ def bootstrap_loci(parts: DataFrame, numerator: str, denominator: str, replicate
     return value.agg(F.percentile("t", 0.025).alias("low"), F.percentile("t", 0.975).alias("high"))
 
 
+def numbered(rows: DataFrame, keys: list[str], h: Column) -> DataFrame:
+    """``rows`` with k, numbers from 1 within ``keys`` by the hash ``h`` and ind: row numbers within ranges of the hash, after the counts of the ranges before."""
+    rows = rows.withColumn("_h", h).withColumn("_part", F.shiftright(F.col("_h"), 56))
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = rows.groupBy(*keys, "_part").count().select(*keys, "_part", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_h", "ind"))
+    return rows.join(ranges, [*keys, "_part"]).withColumn("k", F.col("_before") + place).drop("_h", "_part", "_before")
+
+
 def permuted_theta(geno: DataFrame, replicates: int = 199) -> DataFrame:
     """theta, p: individuals are shuffled among populations, replicate by replicate; loci stay together.
 
@@ -153,9 +162,9 @@ def permuted_theta(geno: DataFrame, replicates: int = 199) -> DataFrame:
     """
     inds = geno.select("ind", "pop").distinct()
     reps = geno.sparkSession.range(replicates + 1).select(F.col("id").cast("int").alias("b"))
-    slots = inds.select("pop", F.row_number().over(Window.orderBy("pop", "ind")).alias("k"))
+    slots = numbered(inds, [], F.xxhash64("ind")).select("pop", "k")
     dealt = inds.select("ind").crossJoin(F.broadcast(reps)).where("b > 0")
-    dealt = dealt.select("b", "ind", F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("b", "ind"), "ind")).alias("k"))
+    dealt = numbered(dealt.select("b", "ind"), ["b"], F.xxhash64("b", "ind"))
     moved = dealt.join(slots, "k").select("b", "ind", "pop").unionByName(inds.select(F.lit(0).alias("b"), "ind", "pop"))
     genos = geno.select("ind", "locus", F.explode(F.array(F.struct(F.col("a1").alias("a")), F.struct(F.col("a2").alias("a")))).alias("x"), (F.col("a1") != F.col("a2")).cast("int").alias("het"))
     counts = moved.join(genos, "ind").groupBy("b", "locus", "pop", F.col("x.a").alias("a")).agg(F.count("*").alias("c"), F.sum("het").alias("h"))

@@ -11,7 +11,7 @@ from popspark.operators import matrices, multiple, resampling
 
 
 def hwe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampling.hwe_exact(relation(spark, sf_dir, "geno"), 199)
+    return resampling.hwe_exact(relation(spark, sf_dir, "geno"), 1000)
 
 
 def hwe_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def null_alleles_em(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def permuted_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampling.permuted_theta(relation(spark, sf_dir, "geno"), 19)
+    return resampling.permuted_theta(relation(spark, sf_dir, "geno"), 999)
 
 
 def theta_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def theta_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mantel_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = from_tables(spark, sf_dir, "pairwise_theta"), from_tables(spark, sf_dir, "population_km")
-    return resampling.mantel(x.join(y, ["p1", "p2"]).select("p1", "p2", F.col("theta").alias("x"), F.col("km").alias("y")), 199)
+    return resampling.mantel(x.join(y, ["p1", "p2"]).select("p1", "p2", F.col("theta").alias("x"), F.col("km").alias("y")), 999)
 
 
 def _nei(spark: SparkSession, sf_dir: str) -> DataFrame:

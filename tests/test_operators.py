@@ -4,10 +4,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from popspark.dataset import QUERIES, Dataset, duck_sql
 from popspark.functions import special
 from popspark.operators import matrices, multiple, resampling
+from popspark.plans import registry
 
 M1 = [(1, "A", 1, 1), (2, "A", 1, 2), (3, "A", 2, 2), (4, "B", 1, 2), (5, "B", 2, 2), (6, "B", 2, 2)]
 M2 = [(1, "A", 1, 1), (2, "A", 1, 1), (3, "A", 1, 2), (4, "B", 1, 2), (5, "B", 2, 2), (6, "B", 2, 2)]
@@ -161,6 +163,20 @@ def test_permuted_theta(spark):
     assert got["theta"] == pytest.approx(want["theta"], abs=1e-5) and got["p"] == pytest.approx(1 / 40)
 
 
+def test_registered_replicates_and_numbers(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(registry, "relation", lambda *a: spark.range(1))
+    monkeypatch.setattr(registry, "from_tables", lambda *a: spark.createDataFrame([(1, 2, 0.1)], f"p1 int, p2 int, {a[2].split(chr(95))[1]} double"))
+    for name in ("permuted_theta", "mantel", "hwe_exact"):
+        monkeypatch.setattr(resampling, name, lambda df, n, name=name: seen.update({name: n}))
+    for f in (registry.permuted_theta, registry.mantel_distance, registry.hwe_exact):
+        f(spark, "")
+    assert seen == {"permuted_theta": 999, "mantel": 999, "hwe_exact": 1000}
+    rows = spark.range(500).selectExpr("id AS ind", "CAST(id % 2 AS INT) AS b")
+    got = resampling.numbered(rows, ["b"], F.xxhash64("b", "ind")).collect()
+    assert sorted((r["b"], r["k"]) for r in got) == [(b, k) for b in (0, 1) for k in range(1, 251)]
+
+
 def test_mantel(spark):
     pairs = [(i, j, float(abs(i - j)), float(abs(i - j)) + 0.1 * ((i * j) % 3)) for i in range(8) for j in range(i)]
     got = resampling.mantel(spark.createDataFrame(pairs, "p1 int, p2 int, x double, y double"), 99, 20).first()
