@@ -1,24 +1,34 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line kept per group.
 
-A line is normalised to its words in lower case, joined by single spaces. Equal normalised
-lines are one line from the start. Each gets a SimHash of its words of
-BLOCKS * BLOCK_BITS bits, cut into blocks; lines whose fingerprints differ in fewer than
-BLOCKS bits agree in a block for certain, and others often do. Lines that agree in a
-block, differ in at most MOST_BITS bits (unrelated ones in half of all) and have an edit
-similarity in words of ``SIMILARITY`` (1 - distance / words of the longer) are linked. Of each
-connected group the first occurrence (by doc_id, nulls last, then line) stays.
-
-Within a block, lines are first held against one leader, so a family of thousands costs
-thousands of comparisons. Blocks find only a part of the near lines, so the query and the
-pipeline go on (``whole``): lines of n words that reach the similarity differ in at most a
-fifth of them, so they share one of the n / 5 + 1 words that come first in one order of all
-words, the rarest first. Every pair across components that shares such a word and passes the
-bounds of size and of differing words, which lose none, is compared: no pair is missed.
-Without ``whole`` the pairs across components that the blocks hold are compared instead.
+A line is normalised to its words (``wordarrays``) in lower case. Equal normalised lines are
+one line from the start. Two lines are linked if their edit similarity in words (1 - distance
+/ words of the longer) reaches ``least``, 0.8 at least. Of each connected group the first
+occurrence (by doc_id, nulls last, then line) stays.
+
+Candidates come from lists of one kind of posting:
+
+* Blocks: a line has a SimHash of 64 bits, cut into two blocks of 32; fingerprints that differ
+  in one bit agree in a block for certain, others with some probability. Measured over all
+  pairs at 0.8, SimHash finds well under half of them with any number of blocks that keeps lists
+  short, so it can't be the only way:
+* Runs: an edit spoils at most three of the n - 2 runs of three words. Lines that reach the
+  similarity therefore share one of the first 3 (1 - least) n + 1 distinct runs of each in one
+  order of all runs. The order puts frequent runs last and runs of long words first; any order
+  would be right. Lines of five and four words also post their runs of two. No pair is missed
+  but those that 80 bits of a posting (size class, 48 parities of words, 16 bits of the line's
+  key) take for one line: two in 65,536 pairs of lines with the same words in another order.
+
+Lists of at most LIST lines give all pairs that the bounds of size and of differing words
+leave, neither of which loses a pair. Longer lists are first held against one leader. A line
+is verified against one of its candidates first; pairs inside a component need no
+comparison, so a family of thousands costs thousands of comparisons. Then the pairs across
+components, those of the longer lists included, are verified.
 
 Lines without a word are never dropped and never linked. Null texts are empty: one line
-without a word. A document is the pair of doc_id and text: rows that repeat both are
-treated alike. Other columns pass through; ``text`` and ``n_chars`` are rewritten.
+without a word. A document is the pair of doc_id and text (by 128 bits); rows that repeat both are
+treated alike. Ids of any type that can be compared; other columns, of any name, pass
+through; ``text`` and ``n_chars`` are rewritten. Rows must come in the same order when a task
+runs again, as they do from files: an occurrence in a posting is named by its task and place.
 """
 
 from __future__ import annotations
@@ -29,89 +39,46 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from popspark.llm.common import bounded, discard, release, stored, text_key, text_or_empty
+from popspark.llm import wordarrays
+from popspark.llm.common import bounded, discard, release, stored, text_or_empty
 from popspark.llm.graph import components
 
 SIMILARITY = 0.8
-BLOCKS, BLOCK_BITS = 5, 25
-MOST_BITS = 42
-#: Bits that a word's hash gives, of which the blocks use BLOCKS * BLOCK_BITS.
-BYTES = 128
-#: Line keys that a broadcast may hold, some tens of bytes each; more are joined by a shuffle.
-BROADCAST_LINES = 1_000_000
-LAST_ID = (1 << 63) - 1
-#: Lines whose words are counted for the order of words, and words that have a place of their own in it. An order only: no word is left out.
-COUNTED_LINES = 200_000
-ORDERED_WORDS = 1 << 18
-
-# Signs that count as space.
-SIGNS = ".,;:!?\"'()[]{}"
-#: Words kept by a worker with their bits; the table starts anew when full.
-MOST_WORDS = 200_000
+BLOCKS = 2
+#: Lines of a list of which all pairs are formed at once; longer lists have a leader.
+LIST = 16
+#: Lines of a longer list that a task holds against as many others.
+LIST_BLOCK = 4096
+#: Lines that share one number of postings' blobs.
+MOST_LINES = 1 << 16
+#: Slots of the table of frequent runs, and how many of them are broadcast. An order only: no run is left out.
+SLOT_BITS, ORDERED_SLOTS = 22, 1 << 18
+#: Documents with a dropped or wanted line, or line ids, that a broadcast may hold; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Size classes: sizes of a class differ by three in a hundred at most; the last has no upper end.
+CLASSES = 256
+LOW = np.ceil(1.03 ** np.arange(CLASSES) - 1e-9).astype(np.int64)
+HIGH = np.append(LOW[1:] - 1, 1 << 40)
+SAME_WORDS = np.uint64((1 << 48) - 1)
 
 
 def words_by_line(text: str) -> list[list[str]]:
     """The words of each line, in lower case and without the signs."""
     low = text.lower()
-    for sign in SIGNS:
+    for sign in "\t\x0b\x0c\r" + wordarrays.SIGNS:
         if sign in low:
             low = low.replace(sign, " ")
-    return [line.split() for line in low.split("\n")]
+    return [[w for w in line.split(" ") if w] for line in low.split("\n")]
 
 
 def normalised(line: str) -> str:
     return " ".join(words_by_line(line)[0])
 
 
-class WordBits:
-    """A row of BYTES zeros and ones per word, kept as 64-bit numbers of eight each, so that sums run eight wide."""
-
-    def __init__(self) -> None:
-        self.place: dict[str, int] = {}
-        self.rows = np.empty((0, BYTES // 8), np.uint64)
-
-    def places(self, words: list[str]) -> np.ndarray:
-        if len(self.place) > MOST_WORDS:
-            self.__init__()
-        place, known = self.place, len(self.place)
-        at = np.array([place.setdefault(w, len(place)) for w in words], np.int64)
-        if len(place) > known:
-            new = b"".join([xxhash.xxh3_128_digest(w) for w in list(place)[known:]])
-            self.rows = np.concatenate([self.rows, np.unpackbits(np.frombuffer(new, np.uint8)).view(np.uint64).reshape(-1, BYTES // 8)])
-        return at
-
-
-_words = WordBits()
-
-
-def telling(words: list[str]) -> list[str]:
-    """The words that make a fingerprint: the long ones, or all where they are under half."""
-    long = [w for w in words if len(w) > 3]
-    return long if 2 * len(long) >= len(words) else words
-
-
-def fingerprints(lines: list[list[str]]) -> np.ndarray:
-    """BLOCKS block values (int32) for each list of words; none may be empty."""
-    if not lines:
-        return np.empty((0, BLOCKS), np.int32)
-    told = [telling(ws) for ws in lines]
-    at = _words.places([w for ws in told for w in ws])
-    size = np.array([len(ws) for ws in told])
-    start = np.cumsum(size) - size
-    # Sums of at most 255 words stay within a byte.
-    extra = -(-size // 255)
-    first = np.cumsum(extra) - extra
-    pieces = np.repeat(start, extra) + 255 * (np.arange(extra.sum()) - np.repeat(first, extra))
-    sums = np.add.reduceat(_words.rows[at], pieces, axis=0).view(np.uint8)
-    total = np.add.reduceat(sums, first, axis=0, dtype=np.int32)
-    fp = (2 * total > size[:, None])[:, : BLOCKS * BLOCK_BITS].reshape(len(lines), BLOCKS, BLOCK_BITS)
-    return (fp @ (1 << np.arange(BLOCK_BITS))).astype(np.int32)
-
-
 def trimmed(a: Sequence, b: Sequence) -> tuple[Sequence, Sequence]:
     """Both without the beginning and the end that they share."""
     for side in (1, -1):
@@ -160,237 +127,296 @@ def similar(a: Sequence, b: Sequence, least: float = SIMILARITY) -> bool:
     return distance(a, b) <= most
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    return docs.select("*", F.xxhash64("doc_id", text_key()).alias("_rid"), text_or_empty().alias("_text"))
+def _edits(size: np.ndarray, least: float) -> np.ndarray:
+    """The most edits between two lines of which the longer has ``size`` words."""
+    return np.floor((1 - least) * size + 1e-9).astype(np.int64)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id (nulls as the largest id), rid, line, k1, k2 (128 bits of the normalised line), len (in words), norm, b0 ... of each line with a word."""
-    names = ["doc_id", "rid", "line", "k1", "k2", "len", "norm", *(f"b{i}" for i in range(BLOCKS))]
+def _slot(gram: np.ndarray) -> np.ndarray:
+    return (gram >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                b = whole.slice(i, 500)
-                words, out = [], []
-                for d, r, t in zip(*(c.to_pylist() for c in b.columns)):
-                    for k, ws in enumerate(words_by_line(t)):
-                        if ws:
-                            norm = " ".join(ws)
-                            h = xxhash.xxh3_128_intdigest(norm)
-                            words.append(ws)
-                            out.append((d, r, k, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), len(ws), norm))
-                fp = fingerprints(words)
-                cols = list(zip(*out)) or [()] * 7
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-                yield pa.record_batch([*(pa.array(c, k) for c, k in zip(cols, kinds)), *(pa.array(fp[:, j], pa.int32()) for j in range(BLOCKS))], names=names)
-
-    rows = identified(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col("_rid").alias("rid"), F.col("_text").alias("text"))
-    blocks = ", ".join(f"b{i} int" for i in range(BLOCKS))
-    return rows.mapInArrow(run, f"doc_id bigint, rid bigint, line int, k1 bigint, k2 bigint, len int, norm string, {blocks}")
-
-
-def _verified(pairs: DataFrame, uniq: DataFrame, lines: DataFrame, least: float) -> DataFrame:
-    """a, b of those pairs (distinct) whose lines have the edit similarity."""
-    need = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
-    need = stored(need.join(uniq.select("lid", "k1", "k2"), "lid"), "need")
-    texts = stored(lines.select("k1", "k2", "norm").join(bounded(need, BROADCAST_LINES), ["k1", "k2"]).groupBy("lid").agg(F.first("norm").alias("norm")), "norms")
-    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("norm").alias("y")), "b")
 
-    @F.pandas_udf("boolean")
-    def close(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similar(p.split(), q.split(), least) for p, q in zip(x, y)], dtype="bool")
+def _parts(texts: list[str]) -> Iterator[tuple[int, wordarrays.Lines]]:
+    """The lines of ``texts`` a slice at a time, with the number of the slice's first text."""
+    for lo, hi in wordarrays.slices(texts):
+        found = wordarrays.lines_of(texts[lo:hi])
+        for a in range(0, len(found.size), MOST_LINES):
+            yield lo, found.part(a, min(a + MOST_LINES, len(found.size)))
 
-    out = stored(both.where(close("x", "y")).select("a", "b"), "similar")
-    discard(texts)
-    return out
 
+def identified(docs: DataFrame, *columns: Column) -> DataFrame:
+    """r1, r2 (128 bits of doc_id and text) and ``columns``."""
+    text = text_or_empty()
+    return docs.select(F.xxhash64("doc_id", text).alias("r1"), F.xxhash64(F.lit(1), text, "doc_id").alias("r2"), *columns)
 
-def block_lists(uniq: DataFrame) -> DataFrame:
-    """list, lid, len, lead, size: the entries of blocks that two lines or more share; ``lead`` has the smallest lid."""
-    buckets = 2 * int(uniq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def line_table(docs: DataFrame) -> DataFrame:
+    """doc_id, r1, r2, line, k1, k2 (128 bits of the normalised line) of each line with a word; rows of slot, hits count frequent runs."""
+    names = ["doc_id", "r1", "r2", "line", "k1", "k2", "slot", "hits"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lid, size = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.uint32)
-            lists = np.concatenate([(b.column(2 + i).to_numpy().astype(np.int64) << 8) | i for i in range(BLOCKS)])
-            lids, sizes = np.tile(lid, BLOCKS), np.tile(size, BLOCKS)
-            bucket = (lists >> 8) % buckets
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            parts = [(k, order[cut[k] : cut[k + 1]]) for k in range(buckets) if cut[k] < cut[k + 1]]
-            yield pa.record_batch([pa.array([k for k, _ in parts], pa.int32()), *(pa.array([v[at].tobytes() for _, at in parts], pa.binary()) for v in (lists, lids, sizes))], names=["bucket", "lists", "lids", "sizes"])
-
-    def gather(part: pd.DataFrame) -> pd.DataFrame:
-        lists, lids, sizes = (np.concatenate([np.frombuffer(x, kind) for x in part[c]]) for c, kind in (("lists", np.int64), ("lids", np.int64), ("sizes", np.uint32)))
-        order = np.lexsort((lids, lists))
-        lists, lids, sizes = lists[order], lids[order], sizes[order]
-        first = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
-        count = np.diff(np.concatenate([first, [len(lists)]]))
-        keep = np.repeat(count > 1, count)
-        return pd.DataFrame({"list": lists[keep], "lid": lids[keep], "len": sizes[keep].astype(np.int32), "lead": np.repeat(lids[first], count)[keep], "size": np.repeat(count, count)[keep]})
-
-    posted = uniq.select("lid", "len", *[f"b{i}" for i in range(BLOCKS)]).mapInArrow(post, "bucket int, lists binary, lids binary, sizes binary")
-    return stored(posted.groupBy("bucket").applyInPandas(gather, "list bigint, lid bigint, len int, lead bigint, size bigint"), "block-lists")
-
-
-def word_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (ascending) and counts of the most frequent words, of about COUNTED_LINES lines."""
-    share = max(1, texts.count() // COUNTED_LINES)
-    some = texts.where(F.pmod(F.xxhash64("lid"), F.lit(share)) == 0).select(F.explode(F.split("norm", " ")).alias("w"))
-    top = some.groupBy(F.xxhash64("w").alias("h")).count().where("count > 1").orderBy(F.desc("count"), "h").limit(ORDERED_WORDS).toArrow()
-    h, n = top["h"].to_numpy().view(np.uint64), top["count"].to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-class WordHashes(dict):
-    """The hash of each word (as Spark's xxhash64); the table starts anew when full."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > MOST_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 42)
-        return h
-
-
-_hashes = WordHashes()
-
-
-def first_words(lines: list[list[str]], hot: np.ndarray, count: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, token) of the words that come first in each line, and size and sketch of each line.
-
-    A word that repeats in a line is a new token each time. The sketch holds, for 64 classes of
-    tokens, whether their number is odd: two sketches differ in at most as many bits as tokens differ.
-    """
-    size = np.array([len(ws) for ws in lines], np.int64)
-    line = np.repeat(np.arange(len(lines)), size)
-    word = np.array([_hashes[w] for ws in lines for w in ws], np.uint64)
-    order = np.lexsort((word, line))
-    line, word = line[order], word[order]
-    new = np.concatenate([[True], (line[1:] != line[:-1]) | (word[1:] != word[:-1])])
-    begin = np.flatnonzero(new)
-    nth = np.arange(len(word)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(word)]])))
-    token = (word + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
-    bits = np.bincount(line * 64 + (token >> np.uint64(58)).astype(np.int64), minlength=64 * len(lines)).reshape(-1, 64) & 1
-    sketch = np.packbits(bits.astype(np.uint8), axis=1).view(np.uint64).ravel()
-    at = np.minimum(np.searchsorted(hot, word), max(0, len(hot) - 1))
-    often = np.where(hot[at] == word, count[at], 0) if len(hot) else np.zeros(len(word), np.int64)
-    order = np.lexsort((token, often, line))
-    place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
-    order = order[place < np.repeat((size - least * size + 1e-9).astype(np.int64) + 1, size)]
-    return line[order], token[order], size, sketch
-
-
-def pairs_of_lists(token: np.ndarray, lid: np.ndarray, label: np.ndarray, size: np.ndarray, sketch: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs (a < b) of a common token, of different labels, within the bounds of size and sketch."""
-    order = np.lexsort((size, token))
-    token, lid, label, size, sketch = token[order], lid[order], label[order], size[order], sketch[order]
-    i, step, found = np.arange(len(token) - 1), 1, [np.empty((0, 2), np.int64)]
+            for at, x in _parts(b.column(3).to_pylist()):
+                k1, k2 = wordarrays.keys(x)
+                rows, n = pa.array(at + x.text), len(x.size)
+                yield pa.record_batch([*(b.column(i).take(rows) for i in range(3)), pa.array(x.line.astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=names)
+                slot = np.sort(_slot(wordarrays.grams(x, 3)[1]).astype(np.int32))
+                cut = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]])) if len(slot) else np.zeros(1, np.int64)
+                hits = np.diff(cut)
+                often = hits > 2
+                n = int(often.sum())
+                empty = [pa.nulls(n, b.schema.field(0).type), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
+                yield pa.record_batch([*empty, pa.array(slot[cut[:-1][often]]), pa.array(hits[often].astype(np.int32))], names=names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return identified(docs, F.col("doc_id"), text_or_empty().alias("text")).select("doc_id", "r1", "r2", "text").mapInArrow(run, f"doc_id {kind}, r1 bigint, r2 bigint, line int, k1 bigint, k2 bigint, slot int, hits int")
+
+
+def frequent(table: DataFrame) -> np.ndarray:
+    """A rank for each slot of runs: 0 for most, higher the more often its runs were met."""
+    top = table.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("hits").alias("n")).orderBy(F.desc("n"), "slot").limit(ORDERED_SLOTS).toArrow()
+    rank = np.zeros(1 << SLOT_BITS, np.uint8)
+    rank[top["slot"].to_numpy()] = np.minimum(8 * np.log2(top["n"].to_numpy() + 1.0), 127).astype(np.uint8)
+    return rank
+
+
+def postings(x: wordarrays.Lines, rank: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(line, token): what each line posts."""
+    line, gram, width = wordarrays.grams(x, 3)
+    often = rank[_slot(gram)].astype(np.uint64)
+    place = np.where(often > 0, often + np.uint64(128), (127 - np.minimum(width, 127)).astype(np.uint64))
+    # Line, rank, and the run itself make one number to sort by.
+    order = np.argsort((line.astype(np.uint64) << np.uint64(48)) | (place << np.uint64(40)) | (gram >> np.uint64(24)))
+    line, gram = line[order], gram[order]
+    new = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (gram[1:] != gram[:-1])])) if len(line) else np.empty(0, np.int64)
+    line, gram = line[new], gram[new]
+    count = np.bincount(line, minlength=len(x.size))
+    nth = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+    most = np.floor(3 * (1 - least) * x.size + 1e-9).astype(np.int64) + 1
+    first = nth < most[line]
+    two_line, two, _ = wordarrays.grams(x, 2)
+    small = (x.size[two_line] == 4) | (x.size[two_line] == 5)
+    told = np.flatnonzero(x.size > 3)
+    halves = wordarrays.simhash(x).view(np.uint32).reshape(-1, BLOCKS)[told].astype(np.uint64)
+    blocks = [wordarrays.mixed(halves[:, i] + np.uint64((i + 1) << 40)) for i in range(BLOCKS)]
+    return np.concatenate([line[first], two_line[small], *[told] * BLOCKS]), np.concatenate([gram[first], two[small], *blocks])
+
+
+def near(i: np.ndarray, j: np.ndarray, size: np.ndarray, mark: np.ndarray, least: float) -> np.ndarray:
+    """Whether entries i and j (size of i not over that of j, by class) may reach the similarity."""
+    longer, gap = HIGH[size[j]], np.maximum(LOW[size[j]] - HIGH[size[i]], 0)
+    bits = np.bitwise_count((mark[i] ^ mark[j]) & SAME_WORDS).astype(np.int64)
+    return (HIGH[size[i]] >= least * LOW[size[j]] - 1e-9) & (bits <= 2 * _edits(longer, least) - gap)
+
+
+def pairs_of_runs(key: np.ndarray, size: np.ndarray, mark: np.ndarray, least: float, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): the pairs of entries of equal ``key`` (sorted; sizes ascend in it) that the bounds leave, of different labels."""
+    i, step, out = np.arange(max(0, len(key) - 1)), 1, [np.empty((2, 0), np.int64)]
     while len(i):
         j = i + step
-        # Sizes ascend within a token: a pair out of bounds ends its line's run.
-        on = (token[i] == token[j]) & (size[i] >= least * size[j] - 1e-9)
+        on = (key[i] == key[j]) & (HIGH[size[i]] >= least * LOW[size[j]] - 1e-9)
         i, j = i[on], j[on]
-        most = 2 * (size[j] - least * size[j] + 1e-9).astype(np.int64) - (size[j] - size[i])
-        near = (label[i] != label[j]) & (np.bitwise_count(sketch[i] ^ sketch[j]) <= most)
-        found.append(np.stack([np.minimum(lid[i[near]], lid[j[near]]), np.maximum(lid[i[near]], lid[j[near]])], axis=1))
+        ok = near(i, j, size, mark, least)
+        if label is not None:
+            ok &= label[i] != label[j]
+        out.append(np.stack([i[ok], j[ok]]))
         step += 1
-        i = i[i + step < len(token)]
-    both = np.unique(np.concatenate(found), axis=0)
-    return both[:, 0], both[:, 1]
+        i = i[i + step < len(key)]
+    return tuple(np.concatenate(out, axis=1))
+
+
+FOUND = "a bigint, b bigint, k1 bigint, k2 bigint, token bigint, size int, mark bigint"
 
 
-def near_by_words(texts: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """a, b: every pair of lines (lid, norm) in different components that may reach the similarity."""
-    buckets = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot, count = word_counts(texts)
-    kinds = {"token": np.uint64, "lid": np.int64, "label": np.int64, "size": np.int32, "sketch": np.uint64}
+def _found(n: int, **values: np.ndarray) -> dict[str, pa.Array]:
+    kinds = dict(x.split() for x in FOUND.split(", "))
+    return {c: pa.array(values[c].astype(np.int64)).cast(pa.int64() if k == "bigint" else pa.int32()) if c in values else pa.nulls(n, pa.int64() if k == "bigint" else pa.int32()) for c, k in kinds.items()}
+
+
+def meet(docs: DataFrame, rank: np.ndarray, least: float) -> DataFrame:
+    """Rows of three kinds: a, b (occurrences that may be near); a, k1, k2 (the line of an occurrence); token, a, size, mark (entries of long lists)."""
+    spark = docs.sparkSession
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shipped = spark.sparkContext.broadcast(rank)
+    names = ["bucket", "at", "token", "line", "tokens", "size", "mark", "k1", "k2"]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 5000):
-                b = whole.slice(i, 5000)
-                lid, label = b.column(0).to_numpy(), b.column(1).to_numpy()
-                at, token, size, sketch = first_words([t.split(" ") for t in b.column(2).to_pylist()], hot, count, least)
-                cols = (token, lid[at], label[at], size[at].astype(np.int32), sketch[at])
-                bucket = (token >> np.uint64(20)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                parts = [(k, order[cut[k] : cut[k + 1]]) for k in range(buckets) if cut[k] < cut[k + 1]]
-                yield pa.record_batch([pa.array([k for k, _ in parts], pa.int32()), *(pa.array([v[o].tobytes() for _, o in parts], pa.binary()) for v in cols)], names=["bucket", *kinds])
-
-    def gather(part: pd.DataFrame) -> pd.DataFrame:
-        cols = [np.concatenate([np.frombuffer(x, kind) for x in part[c]]) for c, kind in kinds.items()]
-        a, b = pairs_of_lists(*cols, least)
-        return pd.DataFrame({"a": a, "b": b})
-
-    rows = texts.join(labels.withColumnRenamed("node", "lid"), "lid", "left").select("lid", F.coalesce("label", "lid").alias("label"), "norm")
-    posted = rows.mapInArrow(post, "bucket int, token binary, lid binary, label binary, size binary, sketch binary")
-    return stored(posted.groupBy("bucket").applyInPandas(gather, "a bigint, b bigint").distinct(), "near-by-words")
-
-
-def across_blocks(lists: DataFrame, labels: DataFrame, stars: DataFrame, fits: Column) -> DataFrame:
-    """sid, lead: the pairs across components that the blocks hold, besides the stars."""
-    # A list of two has been answered by its star; of the longer ones those are open whose lines aren't in one component.
-    labelled = lists.where("size > 2").join(labels.withColumnRenamed("node", "lid"), "lid", "left").select("list", "lid", "len", F.coalesce("label", "lid").alias("label"))
-    apart = labelled.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
-    left = stored(labelled.join(apart, "list", "left_semi"), "open-lists")
-    one, two = left.select("list", F.col("lid").alias("sid"), F.col("len").alias("len1"), "label"), left.select("list", F.col("lid").alias("lead"), F.col("len").alias("len2"), F.col("label").alias("label2"))
-    across = one.join(two, "list").where((F.col("sid") < F.col("lead")) & (F.col("label") != F.col("label2")) & fits).select("sid", "lead").distinct()
-    # Stars stand as (member, leader) with the smaller id as leader; pairs seen there have been answered.
-    return across.join(stars.select(F.col("lead").alias("sid"), F.col("sid").alias("lead")), ["sid", "lead"], "left_anti")
-
-
-def groups(docs: DataFrame, least: float = SIMILARITY, whole: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(lines, places): ``line_table``, and k1, k2, first: the kept occurrence of each normalised line's group."""
-    lines = stored(line_table(docs), "lines")
-    first = F.min(F.struct("doc_id", "rid", "line")).alias("first")
-    uniq = lines.groupBy("k1", "k2", "len").agg(first, *[F.first(f"b{i}").alias(f"b{i}") for i in range(BLOCKS)])
-    uniq = stored(uniq.withColumn("lid", F.monotonically_increasing_id()), "uniq")
-    lists = block_lists(uniq)
-    release(docs.sparkSession)
-    side = uniq.select(F.col("lid").alias("lead"), F.col("len").alias("len2"), *[F.col(f"b{i}").alias(f"o{i}") for i in range(BLOCKS)])
-    own = uniq.select(F.col("lid").alias("sid"), F.col("len").alias("len1"), *[F.col(f"b{i}").alias(f"b{i}") for i in range(BLOCKS)])
-    fits = F.least("len1", "len2") >= least * F.greatest("len1", "len2") - 1e-9
-    differ = F.expr(" + ".join(f"bit_count(b{i} ^ o{i})" for i in range(BLOCKS)))
+        ranks, at = shipped.value, TaskContext.get().partitionId() << 20
+        for b in batches:
+            for _, x in _parts(b.column(0).to_pylist()):
+                k1, k2 = wordarrays.keys(x)
+                mark = wordarrays.parity(x) | (k1 << np.uint64(48))
+                size = (np.searchsorted(LOW, x.size, "right") - 1).astype(np.uint8)
+                # A line that repeats in the slice posts once.
+                _, one = np.unique(k1 ^ (k2 << np.uint64(1)), return_index=True)
+                single = np.zeros(len(k1), bool)
+                single[one] = True
+                line, token = postings(x, ranks, least)
+                keep = single[line]
+                line, token = line[keep], token[keep]
+                bucket = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | (line.astype(np.uint64) << np.uint64(16)))
+                line, bucket, token = line[order], bucket[order], token[order].astype(np.uint32)
+                head = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (bucket[1:] != bucket[:-1])])) if len(line) else np.empty(0, np.int64)
+                many = np.diff(np.append(head, len(line)))
+                cut, lines_cut = np.searchsorted(bucket, np.arange(buckets + 1)), np.searchsorted(bucket[head], np.arange(buckets + 1))
+                rows = [k for k in range(buckets) if cut[k] < cut[k + 1]]
+                of, n = line[head], len(rows)
+                blob = lambda v, c: pa.array([v[c[k] : c[k + 1]].tobytes() for k in rows], pa.binary())
+                yield pa.record_batch(
+                    [pa.array(rows, pa.int32()), pa.array([at] * n, pa.int64()), blob(token, cut), blob(of.astype(np.uint16), lines_cut), blob(many.astype(np.uint32), lines_cut), blob(size[of], lines_cut), blob(mark[of], lines_cut), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+                    names=names,
+                )
+                yield pa.record_batch([pa.array([at % buckets], pa.int32()), pa.array([at], pa.int64()), *(pa.nulls(1, pa.binary()) for _ in range(5)), pa.array([k1.tobytes()], pa.binary()), pa.array([k2.tobytes()], pa.binary())], names=names)
+                at += 1
+
+    def gather(part: pa.Table) -> pa.Table:
+        out = []
+        at = part["at"].to_numpy()
+        read = lambda c, kind: [np.frombuffer(v.as_buffer() if v.is_valid else b"", kind) for v in part[c]]
+        k1, k2 = read("k1", np.int64), read("k2", np.int64)
+        for i in range(len(at)):
+            if len(k1[i]):
+                ref = (int(at[i]) << 16) + np.arange(len(k1[i]))
+                out.append(_found(len(ref), a=ref, k1=k1[i], k2=k2[i]))
+        line = read("line", np.uint16)
+        ref = np.concatenate([(int(s) << 16) + v.astype(np.int64) for s, v in zip(at, line)] or [np.empty(0, np.int64)])
+        token, many, size, mark = (np.concatenate(read(c, kind)) for c, kind in (("token", np.uint32), ("tokens", np.uint32), ("size", np.uint8), ("mark", np.uint64)))
+        entry = np.repeat(np.arange(len(ref)), many)
+        order = np.argsort(token, kind="stable")
+        token, entry = token[order], entry[order]
+        same = token[1:] == token[:-1]
+        shared = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]])) if len(token) else np.empty(0, np.int64)
+        token, entry = token[shared], entry[shared]
+        order = np.lexsort((mark[entry], size[entry], token))
+        token, entry = token[order], entry[order]
+        s, m = size[entry], mark[entry]
+        # The same line from several slices counts once.
+        once = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (s[1:] != s[:-1]) | (m[1:] != m[:-1])])) if len(token) else np.empty(0, np.int64)
+        token, entry, s, m = token[once], entry[once], s[once].astype(np.int64), m[once]
+        cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, np.int64)
+        length = np.diff(cut)
+        run = np.repeat(np.arange(len(length)), length)
+        short = np.flatnonzero(length[run] <= LIST)
+        i, j = pairs_of_runs(run[short], s[short], m[short], least)
+        i, j = short[i], short[j]
+        long = np.flatnonzero(length[run] > LIST)
+        lead = (cut[:-1] + length // 2)[run[long]]
+        lo, hi = np.minimum(long, lead), np.maximum(long, lead)
+        ok = (long != lead) & near(lo, hi, s, m, least)
+        a, b = ref[entry[np.concatenate([i, lo[ok]])]], ref[entry[np.concatenate([j, hi[ok]])]]
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        out.append(_found(len(both), a=both[:, 0], b=both[:, 1]))
+        whole = (token[long].astype(np.int64) << 20) | (int(part["bucket"][0].as_py()) & 0xFFFFF)
+        out.append(_found(len(long), token=whole, a=ref[entry[long]], size=s[long], mark=m[long].view(np.int64)))
+        return pa.concat_tables([pa.table(t) for t in out])
+
+    posted = docs.select(text_or_empty().alias("text")).mapInArrow(post, "bucket int, at bigint, token binary, line binary, tokens binary, size binary, mark binary, k1 binary, k2 binary")
+    return posted.groupBy("bucket").applyInArrow(gather, FOUND)
+
+
+def _verified(pairs: DataFrame, uniq: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """a, b of those pairs (distinct) whose lines have the edit similarity."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct().join(uniq.select("lid", "first.r1", "first.r2", "first.line"), "lid")
+    wanted = stored(need.groupBy("r1", "r2").agg(F.collect_list(F.struct("lid", "line")).alias("wanted")), "wanted")
+    rows = identified(docs, text_or_empty().alias("text")).join(bounded(wanted, BROADCAST_ROWS), ["r1", "r2"])
+    each = rows.select("wanted", F.split("text", "\n", -1).alias("ls")).select(F.expr("inline(transform(wanted, x -> struct(x.lid AS lid, ls[x.line] AS t)))"))
+    texts = stored(each.groupBy("lid").agg(F.first("t").alias("t")), "texts")
+    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("t").alias("y")), "b")
 
-    def near(pairs: DataFrame) -> DataFrame:
-        return stored(pairs.join(own, "sid").join(side, "lead").where(fits & (differ <= MOST_BITS)).select(F.col("sid").alias("a"), F.col("lead").alias("b")), "near-lines")
+    @F.pandas_udf("boolean")
+    def close(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([similar(words_by_line(p)[0], words_by_line(q)[0], least) for p, q in zip(x, y)], dtype="bool")
 
-    stars = lists.where("lid <> lead").select(F.col("lid").alias("sid"), "lead").distinct()
-    links = _verified(near(stars), uniq, lines, least)
+    out = stored(both.where(close("x", "y")).select("a", "b"), "similar")
+    discard(texts)
+    discard(wanted)
+    return out
+
+
+def across_lists(entries: DataFrame, least: float) -> DataFrame:
+    """a, b (lines): pairs of different labels within long lists (token, lid, size, mark, label), blocks of which meet in a task."""
+    size = entries.groupBy("token").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    rows = entries.join(size.select("token", "k"), "token").withColumn("own", F.pmod(F.xxhash64("lid"), F.col("k")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Whole lists share groups; a block of a split list is a group of its own.
+    bucket = F.when(F.col("k") > 1, F.xxhash64("token", F.least("own", "with"), F.greatest("own", "with"))).otherwise(F.pmod(F.xxhash64("token"), F.lit(4 * parts)))
+    rows = rows.select(bucket.alias("bucket"), "token", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "lid", "size", "mark", "label")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["token", "i", "j", "size", "lid"])
+        lid, label, mark = (part[c].to_numpy(np.int64) for c in ("lid", "label", "mark"))
+        group = part.groupby(["token", "i", "j"], sort=False).ngroup().to_numpy()
+        x, y = pairs_of_runs(group, part["size"].to_numpy(np.int64), mark.view(np.uint64), least, label)
+        own, cross = part["own"].to_numpy(), (part["i"] != part["j"]).to_numpy()
+        ok = ~cross[x] | (own[x] != own[y])
+        both = np.unique(np.stack([np.minimum(lid[x[ok]], lid[y[ok]]), np.maximum(lid[x[ok]], lid[y[ok]])], axis=1), axis=0)
+        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+    return rows.groupBy("bucket").applyInPandas(run, "a bigint, b bigint").distinct()
+
+
+def _labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the label of the line in ``column``: itself where it has no link."""
+    known = labels.select(F.col("node").alias(column), F.col("label").alias(name))
+    return rows.join(known, column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def groups(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(lines, places): ``line_table``, and k1, k2, first (r1, r2, line): the kept occurrence of each line that repeats or has near lines."""
+    if least < SIMILARITY:
+        raise ValueError(f"runs of three words are lossless from a similarity of {SIMILARITY} on")
+    table = stored(line_table(docs), "lines")
+    rank = frequent(table)
+    lines = table.where("k1 IS NOT NULL").drop("slot", "hits")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2", "line")).alias("first")
+    uniq = stored(lines.groupBy("k1", "k2").agg(first, F.count("*").alias("n")).withColumn("lid", F.monotonically_increasing_id()), "uniq")
+    release(docs.sparkSession)
+    found = stored(meet(docs, rank, least), "found")
+    release(docs.sparkSession)
+    pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
+    entries = found.where("token IS NOT NULL").select("token", "a", "size", "mark")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("a")).unionByName(entries.select("a")).distinct()
+    named = found.where("k1 IS NOT NULL").select("a", "k1", "k2").join(ends, "a").join(uniq.select("k1", "k2", "lid"), ["k1", "k2"])
+    named = stored(named.select(F.col("a").alias("ref"), "lid"), "named")
+    both = pairs.join(named.select(F.col("ref").alias("a"), F.col("lid").alias("x")), "a").join(named.select(F.col("ref").alias("b"), F.col("lid").alias("y")), "b").where("x <> y")
+    near_lines = stored(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-lines")
+    entries = stored(entries.join(named, entries["a"] == named["ref"]).select("token", "lid", "size", "mark").distinct(), "long-lists")
+    discard(found)
+    discard(named)
+    # One candidate of each line decides most; then what lies across components is left.
+    stars = stored(near_lines.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "stars")
+    links = _verified(stars, uniq, docs, least)
     labels = stored(components(links), "labels")
-    if whole:
-        keys = uniq.select("lid", "k1", "k2")
-        texts = stored(lines.select("k1", "k2", "norm").join(keys, ["k1", "k2"]).groupBy("lid").agg(F.first("norm").alias("norm")), "texts")
-        more = _verified(near_by_words(texts, labels, least), uniq, lines, least)
-        discard(texts)
-    else:
-        more = _verified(near(across_blocks(lists, labels, stars, fits)), uniq, lines, least)
-    before = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    labels = stored(components(before.unionByName(more)), "labels")
-    named = uniq.join(labels.withColumnRenamed("node", "lid"), "lid", "left").withColumn("label", F.coalesce("label", "lid"))
-    kept = named.groupBy("label").agg(F.min("first").alias("kept"))
-    return lines, stored(named.select("k1", "k2", "label").join(kept, "label").select("k1", "k2", F.col("kept").alias("first")), "places")
-
-
-def dropped_lines(docs: DataFrame, least: float = SIMILARITY, whole: bool = True) -> DataFrame:
-    """rid, drop: the line numbers to drop of each document that loses any."""
-    lines, places = groups(docs, least, whole)
-    extra = lines.join(places, ["k1", "k2"]).where(F.struct("doc_id", "rid", "line") != F.col("first"))
-    return extra.groupBy("rid").agg(F.collect_set("line").alias("drop"))
-
-
-def _cut(docs: DataFrame, least: float, whole: bool = True) -> DataFrame:
+    more = across_lists(_labelled(entries, "lid", labels, "label"), least).unionByName(near_lines)
+    more = _labelled(_labelled(more, "a", labels, "la"), "b", labels, "lb").where("la <> lb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    more = _verified(stored(more, "across"), uniq, docs, least)
+    labels = stored(components(links.unionByName(more)), "labels")
+    linked = stored(uniq.join(labels.withColumnRenamed("node", "lid"), "lid").select("k1", "k2", "first", "label"), "linked")
+    kept = linked.join(linked.groupBy("label").agg(F.min("first").alias("kept")), "label").select("k1", "k2", F.col("kept").alias("first"))
+    alone = uniq.where("n > 1").join(labels.select(F.col("node").alias("lid")), "lid", "left_anti").select("k1", "k2", "first")
+    return lines, stored(kept.unionByName(alone), "places")
+
+
+def dropped_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """r1, r2, drop: the line numbers to drop of each document that loses any."""
+    lines, places = groups(docs, least)
+    places = places.select("k1", "k2", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("r1", "r2", "line")])
+    other = " OR ".join(f"{c} <> first_{c}" for c in ("r1", "r2", "line"))
+    extra = lines.join(places, ["k1", "k2"]).where(other)
+    return stored(extra.groupBy("r1", "r2").agg(F.collect_set("line").alias("drop")), "dropped")
+
+
+def _cut(docs: DataFrame, least: float) -> DataFrame:
     """row (all columns of ``docs``), text_kept, n_lines, n_dropped."""
-    gone = dropped_lines(docs, least, whole)
-    rows = identified(docs).select(F.struct(*docs.columns).alias("row"), F.col("text").alias("source"), F.split("_text", "\n").alias("ls"), "_rid")
-    both = rows.join(gone, rows["_rid"] == gone["rid"], "left")
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(ls) - 1), drop), i -> ls[i]), '\\n')")
+    gone = dropped_lines(docs, least)
+    rows = identified(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.split(text_or_empty(), "\n", -1).alias("ls"))
+    both = rows.join(bounded(gone, BROADCAST_ROWS), ["r1", "r2"], "left")
+    kept = F.expr("array_join(filter(ls, (x, i) -> NOT array_contains(drop, i)), '\\n')")
     return both.select(
         "row",
-        F.when(F.col("drop").isNull(), F.col("source")).otherwise(kept).alias("text_kept"),
+        F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(kept).alias("text_kept"),
         F.size("ls").cast("long").alias("n_lines"),
         F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_dropped"),
     )
@@ -402,19 +428,19 @@ def _columns(docs: DataFrame) -> list:
     return [new.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
 
 
-def deduped(docs: DataFrame, least: float = SIMILARITY, whole: bool = False) -> DataFrame:
-    """By the blocks alone unless ``whole``: the columns of ``docs`` with the kept lines as ``text``, and n_lines, n_dropped instead of any columns of these names."""
+def deduped(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The columns of ``docs`` with the kept lines as ``text``, and n_lines, n_dropped instead of any columns of these names."""
     own = [c for c, name in zip(_columns(docs), docs.columns) if name not in ("n_lines", "n_dropped")]
-    return _cut(docs, least, whole).select(*own, "n_lines", "n_dropped")
+    return _cut(docs, least).select(*own, "n_lines", "n_dropped")
 
 
 def with_text_left(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The columns of ``docs`` with the kept lines as ``text``; documents that lost every line with a word go."""
-    left = (F.col("n_dropped") == 0) | F.col("text_kept").rlike(r"[^\s.,;:!?\"'()\[\]{}]")
+    left = (F.col("n_dropped") == 0) | F.col("text_kept").rlike(r"[^\x20\x09-\x0D.,;:!?\"'()\[\]{}]")
     return _cut(docs, least).where(left).select(_columns(docs))
 
 
 def line_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 (of the lines that stay, joined by newlines)."""
-    rows = deduped(docs.select("doc_id", "text"), least, whole=True)
+    rows = deduped(docs.select("doc_id", "text"), least)
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(text_or_empty(), 256).alias("kept_sha256"))

@@ -88,70 +88,79 @@ def test_sketch_bounds_the_difference():
         assert jaccard.apart(jaccard.sketch(a), jaccard.sketch(b)) <= len(np.setxor1d(a, b))
 
 
-def test_line_dedup(spark, corpus):
-    docs = spark.createDataFrame(corpus, COLUMNS)
-    got = Counter((r.doc_id, r.text) for r in lines.deduped(docs).collect())
-    distinct = sorted(set((row[0], row[1] or "") for row in corpus), key=lambda x: (x[0] is None, x[0] or 0))
-    first = {}
-    for d, t in distinct:
+def kept_by_brute_force(rows, least=0.8):
+    """(doc_id, kept text) of each row: all pairs of lines by edit similarity alone."""
+    norms, first = [], {}
+    for d, t in sorted({(r[0], r[1] or "") for r in rows}, key=lambda x: (x[0] is None, x[0] or 0)):
         for k, line in enumerate(t.split("\n")):
             if norm := lines.normalised(line):
                 first.setdefault(norm, (d is None, d or 0, k))
-    norms = list(first)
-    fp = lines.fingerprints([x.split() for x in norms])
-    links = [
-        (i, j)
-        for i in range(len(norms))
-        for j in range(i)
-        if (fp[i] == fp[j]).any() and np.bitwise_count(fp[i] ^ fp[j]).sum() <= lines.MOST_BITS and lines.similar(norms[i].split(), norms[j].split())
-    ]
-    top = by_links(len(norms), links)
+    norms = [x.split() for x in first]
+    top = by_links(len(norms), [(i, j) for i in range(len(norms)) for j in range(i) if lines.similar(norms[i], norms[j], least)])
     kept = {}
-    for i, x in enumerate(norms):
-        kept[top[i]] = min(kept.get(top[i], first[x]), first[x])
-    place = {x: i for i, x in enumerate(norms)}
-    want = Counter()
-    for d, t, *_ in corpus:
-        left = [line for k, line in enumerate((t or "").split("\n")) if not (norm := lines.normalised(line)) or kept[top[place[norm]]] == (d is None, d or 0, k)]
-        dropped = len(left) < len((t or "").split("\n"))
-        want[d, "\n".join(left) if dropped else t] += 1
-    assert got == want
+    for i, at in enumerate(first.values()):
+        kept[top[i]] = min(kept.get(top[i], at), at)
+    place = {x: i for i, x in enumerate(first)}
+    out = Counter()
+    for d, t, *_ in rows:
+        all_lines = (t or "").split("\n")
+        left = [line for k, line in enumerate(all_lines) if not (norm := lines.normalised(line)) or kept[top[place[norm]]] == (d is None, d or 0, k)]
+        out[d, "\n".join(left) if len(left) < len(all_lines) else t] += 1
+    return out
+
+
+def test_line_dedup(spark, corpus):
+    docs = spark.createDataFrame(corpus, COLUMNS)
+    got = lines.deduped(docs)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == kept_by_brute_force(corpus)
+    assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
     assert lines.line_dedup(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="similarity"):
+        lines.line_dedup(docs, 0.7)
 
 
-def test_line_dedup_finds_every_near_line(spark):
+@pytest.mark.parametrize("least", [0.8, 0.9])
+def test_line_dedup_finds_every_near_line(spark, least):
     rnd = random.Random(12)
-    docs, texts = [], []
-    for n, changed in ((50, 1), (20, 1), (10, 1), (20, 2), (10, 2), (20, 4), (5, 1)) * 12:
+    rows = []
+    for n in [4, 5, 5, 6, 7, 8, 9, 10, 12, 15, 20, 23, 30, 50, 120] * 6:
         base = words(rnd, n)
         other = list(base)
-        for k in rnd.sample(range(n), changed):
-            other[k] = "other" + str(rnd.randint(0, 999))
-        texts += [base, other]
-    texts += [base[:4], base[:2] + base[2:3] * 2]
-    docs = [(i, " ".join(x)) for i, x in enumerate(texts)]
-    top = by_links(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if lines.similar(texts[i], texts[j])])
-    first = {}
-    for i, k in enumerate(top):
-        first.setdefault(k, i)
-    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
-    got = {r.doc_id for r in lines.line_dedup(frame).where("n_dropped = 0").collect()}
-    assert got == set(first.values()) and len(got) < 90
-    by_blocks = lines.deduped(frame).where("n_dropped = 0").count()
-    assert by_blocks > len(got)
-
-
-def test_line_size_is_bounded_in_words(spark):
-    rnd = random.Random(13)
-    texts = []
-    for _ in range(20):
-        base = words(rnd, 50)
-        texts += [base, base[:20] + ["www/" + "x" * 900] + base[21:]]
-    fp = lines.fingerprints(texts)
-    linked = sum((fp[i] == fp[i + 1]).any() and np.bitwise_count(fp[i] ^ fp[i + 1]).sum() <= lines.MOST_BITS for i in range(0, 40, 2))
-    frame = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id bigint, text string")
-    assert linked > 5 and lines.deduped(frame).where("n_dropped = 1").count() == linked
-    assert lines.line_dedup(frame).where("n_dropped = 1").count() == 20
+        for _ in range(rnd.randint(0, n // 4 + 1)):
+            k = rnd.randrange(len(other))
+            rnd.choice((lambda: other.__setitem__(k, "new" + str(rnd.randint(0, 999))), lambda: other.insert(k, "more"), lambda: other.pop(k) if len(other) > 2 else None))()
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, "  ".join(other).upper() + ".")]
+    rows += [(len(rows), "ha ha ha ha ha ha ha ha ha ha"), (len(rows) + 1, "ha ha no ha ha ha ha no ha ha"), (len(rows) + 2, "one two three four five"), (len(rows) + 3, "two one three four five")]
+    got = Counter((r.doc_id, r.text) for r in lines.deduped(spark.createDataFrame(rows, "doc_id bigint, text string"), least).collect())
+    want = kept_by_brute_force(rows, least)
+    assert got == want and sum(not t for _, t in want) > 20
+
+
+def test_line_families_over_the_list_bounds(spark, monkeypatch):
+    """A phrase that all lines share, families of more lines than LIST, lists cut into blocks, slices of few lines."""
+    monkeypatch.setattr(lines, "LIST", 4)
+    monkeypatch.setattr(lines, "LIST_BLOCK", 8)
+    monkeypatch.setattr(lines, "MOST_LINES", 50)
+    rnd = random.Random(14)
+    phrase, rows = "it is a truth universally acknowledged by all readers".split(), []
+    for _ in range(6):
+        base = words(rnd, 12)
+        for _ in range(15):
+            other = list(base)
+            for k in rnd.sample(range(12), rnd.randint(1, 4)):
+                other[k] = rnd.choice("abcdef") * 3
+            rows.append((len(rows), " ".join(phrase + other) + "\n" + " ".join(other + phrase)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter((r.doc_id, r.text) for r in lines.deduped(docs).collect()) == kept_by_brute_force(rows)
+
+
+def test_line_dedup_keeps_any_ids_and_columns(spark):
+    long = " ".join(f"w{k}" for k in range(30_000))
+    rows = [("b", long, 1, "x"), ("a", long.replace("w77 ", "v77 "), 2, "y"), (None, "Only one line here, of words", 3, None), ("c", "only ONE line here of words\n\u0130stanbul \u03a3\u03a3 x", 4, "z"), ("c", None, 5, "z")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, r1 int, wanted string")
+    got = sorted(lines.with_text_left(docs).collect(), key=lambda r: r.r1)
+    assert [tuple(r) for r in got] == [rows[1], rows[3], rows[4]]
+    assert {r.doc_id: r.n_dropped for r in lines.line_dedup(docs.where("text IS NOT NULL")).collect()} == {"a": 0, "b": 1, "c": 0, None: 1}
 
 
 def test_line_distance():
