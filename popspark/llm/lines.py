@@ -40,7 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popspark.llm import wordarrays
@@ -55,8 +55,8 @@ LIST = 16
 LIST_BLOCK = 4096
 #: Lines that share one number of postings' blobs.
 MOST_LINES = 1 << 16
-#: Slots of the table of frequent runs, and how many of them are broadcast. An order only: no run is left out.
-SLOT_BITS, ORDERED_SLOTS = 22, 1 << 18
+#: Slots of the table of frequent runs (a byte each, broadcast), and how many of them are filled. An order only: no run is left out.
+SLOT_BITS, ORDERED_SLOTS = 24, 1 << 20
 #: Documents with a dropped or wanted line, or line ids, that a broadcast may hold; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Size classes: sizes of a class differ by three in a hundred at most; the last has no upper end.
@@ -133,7 +133,16 @@ def _edits(size: np.ndarray, least: float) -> np.ndarray:
 
 
 def _slot(gram: np.ndarray) -> np.ndarray:
-    return (gram >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return (gram & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+
+
+def _blobs(values: np.ndarray, cut: np.ndarray, rows: list[int]) -> pa.Array:
+    return pa.array([values[cut[k] : cut[k + 1]].tobytes() for k in rows], pa.binary())
+
+
+def _buckets(spark: SparkSession) -> int:
+    """Parts in which postings meet."""
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _parts(texts: list[str]) -> Iterator[tuple[int, wordarrays.Lines]]:
@@ -151,32 +160,41 @@ def identified(docs: DataFrame, *columns: Column) -> DataFrame:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, r1, r2, line, k1, k2 (128 bits of the normalised line) of each line with a word; rows of slot, hits count frequent runs."""
-    names = ["doc_id", "r1", "r2", "line", "k1", "k2", "slot", "hits"]
+    """doc_id, r1, r2, line, k1, k2 (128 bits of the normalised line) of each line with a word; and rows of bucket, runs (all runs of three words)."""
+    buckets = _buckets(docs.sparkSession)
+    names = ["doc_id", "r1", "r2", "line", "k1", "k2", "bucket", "runs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, x in _parts(b.column(3).to_pylist()):
                 k1, k2 = wordarrays.keys(x)
                 rows, n = pa.array(at + x.text), len(x.size)
-                yield pa.record_batch([*(b.column(i).take(rows) for i in range(3)), pa.array(x.line.astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=names)
-                slot = np.sort(_slot(wordarrays.grams(x, 3)[1]).astype(np.int32))
-                cut = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]])) if len(slot) else np.zeros(1, np.int64)
-                hits = np.diff(cut)
-                often = hits > 2
-                n = int(often.sum())
-                empty = [pa.nulls(n, b.schema.field(0).type), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
-                yield pa.record_batch([*empty, pa.array(slot[cut[:-1][often]]), pa.array(hits[often].astype(np.int32))], names=names)
+                yield pa.record_batch([*(b.column(i).take(rows) for i in range(3)), pa.array(x.line.astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                gram = wordarrays.grams(x, 3)[1]
+                dealt = np.sort((((gram >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (gram & np.uint64(0xFFFFFFFF)))
+                cut = np.searchsorted(dealt, np.arange(buckets + 1).astype(np.uint64) << np.uint64(32))
+                parts = [k for k in range(buckets) if cut[k] < cut[k + 1]]
+                empty = (pa.nulls(len(parts), t) for t in (b.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))
+                yield pa.record_batch([*empty, pa.array(parts, pa.int32()), _blobs(dealt.astype(np.uint32), cut, parts)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return identified(docs, F.col("doc_id"), text_or_empty().alias("text")).select("doc_id", "r1", "r2", "text").mapInArrow(run, f"doc_id {kind}, r1 bigint, r2 bigint, line int, k1 bigint, k2 bigint, slot int, hits int")
+    return identified(docs, F.col("doc_id"), text_or_empty().alias("text")).select("doc_id", "r1", "r2", "text").mapInArrow(run, f"doc_id {kind}, r1 bigint, r2 bigint, line int, k1 bigint, k2 bigint, bucket int, runs binary")
 
 
 def frequent(table: DataFrame) -> np.ndarray:
-    """A rank for each slot of runs: 0 for most, higher the more often its runs were met."""
-    top = table.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("hits").alias("n")).orderBy(F.desc("n"), "slot").limit(ORDERED_SLOTS).toArrow()
+    """A rank for each slot of runs: 0 for most, higher the more often its most frequent run was met."""
+
+    def count(part: pa.Table) -> pa.Table:
+        runs = np.sort(np.concatenate([np.frombuffer(v.as_buffer(), np.uint32) for v in part["runs"]]))
+        cut = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1], [True]]))
+        n = np.diff(cut)
+        often = n > LIST // 2
+        return pa.table({"slot": pa.array(_slot(runs[cut[:-1][often]].astype(np.uint64)).astype(np.int32)), "n": pa.array(n[often])})
+
+    counted = table.where("bucket IS NOT NULL").select("bucket", "runs").groupBy("bucket").applyInArrow(count, "slot int, n bigint")
+    top = counted.groupBy("slot").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "slot").limit(ORDERED_SLOTS).toArrow()
     rank = np.zeros(1 << SLOT_BITS, np.uint8)
-    rank[top["slot"].to_numpy()] = np.minimum(8 * np.log2(top["n"].to_numpy() + 1.0), 127).astype(np.uint8)
+    rank[top["slot"].to_numpy()] = np.minimum(6 * np.log2(top["n"].to_numpy() + 1.0), 127).astype(np.uint8)
     return rank
 
 
@@ -236,7 +254,7 @@ def _found(n: int, **values: np.ndarray) -> dict[str, pa.Array]:
 def meet(docs: DataFrame, rank: np.ndarray, least: float) -> DataFrame:
     """Rows of three kinds: a, b (occurrences that may be near); a, k1, k2 (the line of an occurrence); token, a, size, mark (entries of long lists)."""
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _buckets(spark)
     shipped = spark.sparkContext.broadcast(rank)
     names = ["bucket", "at", "token", "line", "tokens", "size", "mark", "k1", "k2"]
 
@@ -262,9 +280,8 @@ def meet(docs: DataFrame, rank: np.ndarray, least: float) -> DataFrame:
                 cut, lines_cut = np.searchsorted(bucket, np.arange(buckets + 1)), np.searchsorted(bucket[head], np.arange(buckets + 1))
                 rows = [k for k in range(buckets) if cut[k] < cut[k + 1]]
                 of, n = line[head], len(rows)
-                blob = lambda v, c: pa.array([v[c[k] : c[k + 1]].tobytes() for k in rows], pa.binary())
                 yield pa.record_batch(
-                    [pa.array(rows, pa.int32()), pa.array([at] * n, pa.int64()), blob(token, cut), blob(of.astype(np.uint16), lines_cut), blob(many.astype(np.uint32), lines_cut), blob(size[of], lines_cut), blob(mark[of], lines_cut), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+                    [pa.array(rows, pa.int32()), pa.array([at] * n, pa.int64()), _blobs(token, cut, rows), *(_blobs(v, lines_cut, rows) for v in (of.astype(np.uint16), many.astype(np.uint32), size[of], mark[of])), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
                     names=names,
                 )
                 yield pa.record_batch([pa.array([at % buckets], pa.int32()), pa.array([at], pa.int64()), *(pa.nulls(1, pa.binary()) for _ in range(5)), pa.array([k1.tobytes()], pa.binary()), pa.array([k2.tobytes()], pa.binary())], names=names)
@@ -367,9 +384,11 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataF
     """(lines, places): ``line_table``, and k1, k2, first (r1, r2, line): the kept occurrence of each line that repeats or has near lines."""
     if least < SIMILARITY:
         raise ValueError(f"runs of three words are lossless from a similarity of {SIMILARITY} on")
-    table = stored(line_table(docs), "lines")
+    table = stored(line_table(docs), "lines-and-runs")
+    lines = stored(table.where("k1 IS NOT NULL").drop("bucket", "runs"), "lines")
     rank = frequent(table)
-    lines = table.where("k1 IS NOT NULL").drop("slot", "hits")
+    discard(table)
+    release(docs.sparkSession)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2", "line")).alias("first")
     uniq = stored(lines.groupBy("k1", "k2").agg(first, F.count("*").alias("n")).withColumn("lid", F.monotonically_increasing_id()), "uniq")
     release(docs.sparkSession)
