@@ -1,6 +1,6 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line kept per group.
 
-A line is normalised to its words (``wordarrays``) in lower case. Equal normalised lines are
+A line is normalised to its words (``wordarrays``) in lower case, without punctuation and symbols. Equal normalised lines are
 one line from the start. Two lines are linked if their edit similarity in words (1 - distance
 / words of the longer) reaches ``least``, 0.8 at least. Of each connected group the first
 occurrence (by doc_id, nulls last, then line) stays.
@@ -455,7 +455,7 @@ def deduped(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def with_text_left(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The columns of ``docs`` with the kept lines as ``text``; documents that lost every line with a word go."""
-    left = (F.col("n_dropped") == 0) | F.col("text_kept").rlike(r"[^\x20\x09-\x0D.,;:!?\"'()\[\]{}]")
+    left = (F.col("n_dropped") == 0) | F.col("text_kept").rlike(r"[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]")
     return _cut(docs, least).where(left).select(_columns(docs))
 
 

@@ -1,18 +1,20 @@
 """Words of many texts as arrays: a task's texts are cut and hashed together by numpy, never word by word.
 
-A word is a run of characters outside the ASCII white space and ``SIGNS``, in lower case.
+A word is a run of characters outside the ASCII white space and ``SIGNS``, in lower case:
+marks alone, such as the bars of a table's row, are no words.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import xxhash
 
-# Signs that count as space.
-SIGNS = ".,;:!?\"'()[]{}"
+#: Signs that count as space: ASCII's punctuation and symbols.
+SIGNS = string.punctuation
 #: Bytes hashed at a time; only a word that is longer is hashed alone.
 PIECE = 1 << 20
 #: Bytes of text that a task cuts at a time (one text at least).
