@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -30,6 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+#: Lets Spark delete the shuffle files of a query when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it again.
 
@@ -38,7 +41,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        # Anew, as a plan takes the setting when it is made.
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -63,9 +72,3 @@ def text_or_empty(column: str = "text") -> Column:
 def text_key(column: str = "text") -> Column:
     """SHA-256 of the whole text: equal keys stand for equal texts."""
     return F.unhex(F.sha2(text_or_empty(column), 256))
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver collect its garbage, so that Spark's cleaner can drop shuffle files nobody reads any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

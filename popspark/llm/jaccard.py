@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popspark.llm.common import bounded, discard, release, shared_dir, stored, text_key, text_or_empty
+from popspark.llm.common import bounded, discard, shared_dir, stored, text_key, text_or_empty
 from popspark.llm.graph import components
 
 #: Shingles known to be frequent: at most so many are broadcast (8 bytes each), each in at least HOT_SETS sets.
@@ -247,14 +247,11 @@ def component_labels(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple
     shared_dir(spark)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = distinct_texts(docs)
-    release(spark)
     counted = stored(_sizes_and_counts(texts, size, percent, buckets), "counts")
     sizes = stored(counted.where("sid IS NOT NULL").select("sid", "n", "sketch"), "sizes")
     hot = _frequent(counted)
     discard(counted)
-    release(spark)
     lists = index_lists(texts, hot, size, percent, buckets)
-    release(spark)
     score = lists.groupBy("sid").agg(F.sum("len").alias("score"))
     labels = seen = None
     fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
@@ -278,7 +275,6 @@ def component_labels(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple
         mixed_lists = entries.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
         past, left = left, stored(entries.join(mixed_lists, "token", "left_semi"), "entries")
         discard(past)
-        release(spark)
         if new.isEmpty():
             break
     # What is left are pairs across components. Sets that were held against one leader are compared as its family ...

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popspark.llm import wordarrays
-from popspark.llm.common import bounded, discard, release, stored, text_or_empty
+from popspark.llm.common import bounded, discard, stored, text_or_empty
 from popspark.llm.graph import components
 
 SIMILARITY = 0.8
@@ -142,7 +142,7 @@ def _blobs(values: np.ndarray, cut: np.ndarray, rows: list[int]) -> pa.Array:
 
 def _buckets(spark: SparkSession) -> int:
     """Parts in which postings meet."""
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _parts(texts: list[str]) -> Iterator[tuple[int, wordarrays.Lines]]:
@@ -388,12 +388,9 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataF
     lines = stored(table.where("k1 IS NOT NULL").drop("bucket", "runs"), "lines")
     rank = frequent(table)
     discard(table)
-    release(docs.sparkSession)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2", "line")).alias("first")
     uniq = stored(lines.groupBy("k1", "k2").agg(first, F.count("*").alias("n")).withColumn("lid", F.monotonically_increasing_id()), "uniq")
-    release(docs.sparkSession)
     found = stored(meet(docs, rank, least), "found")
-    release(docs.sparkSession)
     pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
     entries = found.where("token IS NOT NULL").select("token", "a", "size", "mark")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("a")).unionByName(entries.select("a")).distinct()
