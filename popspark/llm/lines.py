@@ -192,7 +192,8 @@ def frequent(table: DataFrame) -> np.ndarray:
         return pa.table({"slot": pa.array(_slot(runs[cut[:-1][often]].astype(np.uint64)).astype(np.int32)), "n": pa.array(n[often])})
 
     counted = table.where("bucket IS NOT NULL").select("bucket", "runs").groupBy("bucket").applyInArrow(count, "slot int, n bigint")
-    top = counted.groupBy("slot").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "slot").limit(ORDERED_SLOTS).toArrow()
+    top = counted.groupBy("slot").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "slot").limit(ORDERED_SLOTS)
+    top = stored(top, "frequent-runs").toArrow()
     rank = np.zeros(1 << SLOT_BITS, np.uint8)
     rank[top["slot"].to_numpy()] = np.minimum(6 * np.log2(top["n"].to_numpy() + 1.0), 127).astype(np.uint8)
     return rank
@@ -332,22 +333,65 @@ def meet(docs: DataFrame, rank: np.ndarray, least: float) -> DataFrame:
     return posted.groupBy("bucket").applyInArrow(gather, FOUND)
 
 
-def _verified(pairs: DataFrame, uniq: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """a, b of those pairs (distinct) whose lines have the edit similarity."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct().join(uniq.select("lid", "first.r1", "first.r2", "first.line"), "lid")
+def _texts(lines: DataFrame, uniq: DataFrame, docs: DataFrame) -> DataFrame:
+    """lid, t, n, sketch of the lines (lid): their text, words, and whether the words of each of about 2 n classes are odd in number."""
+    need = lines.join(uniq.select("lid", "first.r1", "first.r2", "first.line"), "lid")
     wanted = stored(need.groupBy("r1", "r2").agg(F.collect_list(F.struct("lid", "line")).alias("wanted")), "wanted")
     rows = identified(docs, text_or_empty().alias("text")).join(bounded(wanted, BROADCAST_ROWS), ["r1", "r2"])
     each = rows.select("wanted", F.split("text", "\n", -1).alias("ls")).select(F.expr("inline(transform(wanted, x -> struct(x.lid AS lid, ls[x.line] AS t)))"))
-    texts = stored(each.groupBy("lid").agg(F.first("t").alias("t")), "texts")
-    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("t").alias("y")), "b")
 
-    @F.pandas_udf("boolean")
-    def close(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similar(words_by_line(p)[0], words_by_line(q)[0], least) for p, q in zip(x, y)], dtype="bool")
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # No text has a newline here, and each has a word.
+            for lo, x in _parts(b.column(1).to_pylist()):
+                at = lo + x.text
+                bits = np.left_shift(64, np.ceil(np.log2(np.maximum(x.size, 32) / 32)).astype(np.int64))
+                start = np.cumsum(bits) - bits
+                place = np.repeat(start, x.size) + ((x.hash >> np.uint64(13)) & np.repeat(bits - 1, x.size).astype(np.uint64)).astype(np.int64)
+                odd = np.packbits((np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8))
+                sketches = [odd[s // 8 : (s + n) // 8].tobytes() for s, n in zip(start, bits)]
+                yield pa.record_batch([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(x.size), pa.array(sketches, pa.binary())], names=["lid", "t", "n", "sketch"])
+
+    out = stored(each.mapInArrow(sketched, "lid bigint, t string, n bigint, sketch binary").dropDuplicates(["lid"]), "texts")
+    discard(wanted)
+    return out
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ after folding to the shorter one's length."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
-    out = stored(both.where(close("x", "y")).select("a", "b"), "similar")
+
+def _verified(pairs: DataFrame, uniq: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """a, b of those pairs (distinct) whose lines have the edit similarity; a wide sketch first drops most of the others without their texts."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), uniq, docs)
+    side = lambda c, *more: texts.select(F.col("lid").alias(c), *[F.col(m).alias(m + c) for m in more])
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+            most = 2 * _edits(np.maximum(na, nb), least) - np.abs(na - nb)
+            bits = np.array([_apart(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column(4), b.column(5))], np.int64)
+            yield b.select([0, 1]).filter(pa.array(bits <= most))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                b = whole.slice(i, 500)
+                ok = [similar(words_by_line(x)[0], words_by_line(y)[0], least) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+                yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").select("a", "b", "na", "nb", "sketcha", "sketchb")
+    left = stored(both.mapInArrow(passing, "a bigint, b bigint"), "passing")
+    full = left.join(side("a", "t"), "a").join(side("b", "t"), "b").select("a", "b", "ta", "tb")
+    out = stored(full.mapInArrow(close, "a bigint, b bigint"), "similar")
     discard(texts)
-    discard(wanted)
+    discard(left)
     return out
 
 
