@@ -51,6 +51,8 @@ SIMILARITY = 0.8
 BLOCKS = 2
 #: Lines of a list of which all pairs are formed at once; longer lists have a leader.
 LIST = 16
+#: Rounds of leaders in longer lists; the pairs left over are all compared, so this is a matter of speed only.
+TURNS = 4
 #: Lines of a longer list that a task holds against as many others.
 LIST_BLOCK = 4096
 #: Lines that share one number of postings' blobs.
@@ -418,6 +420,26 @@ def across_lists(entries: DataFrame, least: float) -> DataFrame:
     return rows.groupBy("bucket").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
+def _mixed(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled entries of the long lists that hold more than one label."""
+    known = _labelled(entries, "lid", labels, "label")
+    mixed = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    return known.join(mixed, "token", "left_semi")
+
+
+def leaders(entries: DataFrame, turn: int, least: float) -> DataFrame:
+    """a, b: each line of the mixed lists with one line of another label, a leader that it shares the most lists with. Leaders change with the turn."""
+    lead = F.max(F.struct(F.xxhash64("lid", F.lit(turn)).alias("h"), F.col("lid").alias("lead"), F.col("size").alias("size2"), F.col("mark").alias("mark2"), F.col("label").alias("label2"))).alias("m")
+    met = entries.join(entries.groupBy("token").agg(lead).select("token", "m.*"), "token").where("label <> label2")
+    low, high = F.array(*[F.lit(int(x)) for x in LOW]), F.array(*[F.lit(int(x)) for x in HIGH])
+    small, large = F.least("size", "size2"), F.greatest("size", "size2")
+    bits = F.bit_count((F.col("mark").bitwiseXOR(F.col("mark2"))).bitwiseAND(F.lit(int(SAME_WORDS))))
+    most = 2 * F.floor((1 - least) * high[large] + 1e-9) - F.greatest(low[large] - high[small], F.lit(0))
+    fits = met.where((high[small] >= least * low[large] - 1e-9) & (bits <= most))
+    best = fits.groupBy("lid", "lead").count().groupBy("lid").agg(F.max(F.struct("count", "lead")).alias("m"))
+    return best.select(F.least("lid", "m.lead").alias("a"), F.greatest("lid", "m.lead").alias("b")).distinct()
+
+
 def _labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
     """``rows`` with the label of the line in ``column``: itself where it has no link."""
     known = labels.select(F.col("node").alias(column), F.col("label").alias(name))
@@ -449,16 +471,27 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataF
     stars = stored(near_lines.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "stars")
     links = _verified(stars, uniq, docs, least)
     labels = stored(components(links), "labels")
-    more = across_lists(_labelled(entries, "lid", labels, "label"), least).unionByName(near_lines)
+    for turn in range(TURNS):
+        entries = stored(_mixed(entries, labels), "open-lists")
+        new = _verified(stored(leaders(entries, turn, least), "leaders"), uniq, docs, least)
+        entries = entries.drop("label")
+        if new.isEmpty():
+            break
+        labels = stored(components(_stars(labels).unionByName(new)), "labels")
+    more = across_lists(_mixed(entries, labels), least).unionByName(near_lines)
     more = _labelled(_labelled(more, "a", labels, "la"), "b", labels, "lb").where("la <> lb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     more = _verified(stored(more, "across"), uniq, docs, least)
-    labels = stored(components(links.unionByName(more)), "labels")
+    labels = stored(components(_stars(labels).unionByName(more)), "labels")
     linked = stored(uniq.join(labels.withColumnRenamed("node", "lid"), "lid").select("k1", "k2", "first", "label"), "linked")
     kept = linked.join(linked.groupBy("label").agg(F.min("first").alias("kept")), "label").select("k1", "k2", F.col("kept").alias("first"))
     alone = uniq.where("n > 1").join(labels.select(F.col("node").alias("lid")), "lid", "left_anti").select("k1", "k2", "first")
     return lines, stored(kept.unionByName(alone), "places")
 
 
+def _stars(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+
 def dropped_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """r1, r2, drop: the line numbers to drop of each document that loses any."""
     lines, places = groups(docs, least)
