@@ -16,8 +16,8 @@ component being computed, so a list whose sets all belong together is skipped wh
 and a group of thousands of copies costs thousands of comparisons, not millions. What
 is left are pairs across components. Sets held against one leader R are its family; their
 answers bound each other's, |s & x| <= min(|s & R|, |x & R|) + min(|s - R|, |x - R|), and a
-parity sketch bounds the overlap from above; only pairs that pass both are compared,
-exactly, on whole sets. Pairs of different families meet in the lists.
+parity sketch bounds the overlap from above; only pairs that pass both, of sets that no link
+has joined yet, are compared, exactly, on whole sets. Pairs of different families meet in the lists.
 
 Every pair that reaches the threshold therefore is either found or joins two sets
 already in one component. Rows: a row per document; rows that repeat a text are
@@ -49,6 +49,8 @@ BROADCAST_IDS = 1_000_000
 ROUNDS = 2
 #: Sets of a family that a task compares with as many others.
 FAMILY_BLOCK = 2000
+#: Bytes of shingles of a family that a task compares with as many others.
+FAMILY_BYTES = 32 << 20
 
 _words: dict[bytes, int] = {}
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -208,14 +210,20 @@ def index_lists(texts: DataFrame, hot: np.ndarray, size: int, percent: int, buck
     return stored(posted.groupBy("bucket").applyInPandas(lists, "token bigint, sid bigint, n bigint, pos bigint, len bigint"), "lists")
 
 
-def overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """a, b, na, nb, common: exact overlaps of the sets of distinct pairs (a, b), written."""
-    need = stored(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "need")
+def sets_of(need: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """sid, set (ascending shingle hashes) of the texts in ``need`` (sid)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in b.column(1)], pa.binary())], names=["sid", "set"])
 
+    return texts.join(bounded(need, BROADCAST_IDS), "sid", "left_semi").select("sid", "text").mapInArrow(make, "sid bigint, set binary")
+
+
+def overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """a, b, na, nb, common: exact overlaps of the sets of distinct pairs (a, b), written."""
+    need = stored(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "need")
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             na, nb, common = [], [], []
@@ -226,7 +234,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                 common.append(len(np.intersect1d(u, v, assume_unique=True)))
             yield pa.record_batch([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (na, nb, common))], names=["a", "b", "na", "nb", "common"])
 
-    sets = stored(texts.join(bounded(need, BROADCAST_IDS), "sid", "left_semi").select("sid", "text").mapInArrow(make, "sid bigint, set binary"), "sets")
+    sets = stored(sets_of(need, texts, size), "sets")
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("set").alias("sb")), "b")
     out = stored(both.select("a", "b", "sa", "sb").mapInArrow(meet, "a bigint, b bigint, na bigint, nb bigint, common bigint"), "overlaps")
     discard(sets)
@@ -281,7 +289,10 @@ def component_labels(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple
     told = stored(seen, "seen")
     lead = told.groupBy("a").agg(F.max(F.struct("common", "b")).alias("m")).select(F.col("a").alias("sid"), F.col("m.b").alias("family"), F.col("m.common").alias("common"))
     open_sets = left.select("sid", "n", "label").distinct().join(lead, "sid", "left")
-    close = family_pairs(stored(open_sets.where("family IS NOT NULL").join(sizes.select("sid", "sketch"), "sid"), "open"), percent)
+    members = open_sets.where("family IS NOT NULL").join(sizes.select("sid", "sketch"), "sid")
+    members = stored(members.join(sets_of(stored(members.select("sid"), "need"), texts, size), "sid"), "open")
+    close = stored(family_links(members, percent), "close")
+    discard(members)
     # ... and all others wherever they meet in a list, if size and position allow.
     listed = stored(left.join(lead.select("sid", "family"), "sid", "left"), "open-lists")
     one, two = listed.select("token", "sid", "n", "pos", "label", "family"), listed.select("token", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"), F.col("family").alias("family2"))
@@ -294,34 +305,36 @@ def component_labels(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple
     side = lambda c: sizes.select(F.col("sid").alias(c), F.col("sketch").alias(f"s{c}"))
     differ = F.pandas_udf(_sketch_bound, "bigint")
     passed = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", differ("sa", "sb"))
-    passed = passed.where(F.col("n") + F.col("n2") - F.col("apart") >= 2 * need).select("a", "b").unionByName(close)
+    passed = passed.where(F.col("n") + F.col("n2") - F.col("apart") >= 2 * need).select("a", "b")
     answered = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     passed = passed.join(answered, ["a", "b"], "left_anti")
     last = overlaps(stored(passed, "passed"), texts, size)
     before = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    labels = stored(components(before.unionByName(last.where(_linked(percent)).select("a", "b"))), "labels")
+    labels = stored(components(before.unionByName(close).unionByName(last.where(_linked(percent)).select("a", "b"))), "labels")
     every = sizes.select("sid", "n").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     return texts, every.select("sid", "n", F.coalesce("label", "sid").alias("label"))
 
 
-def family_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """a < b: pairs of one family that its leader's answers and the sketches don't rule out.
+def family_links(members: DataFrame, percent: int) -> DataFrame:
+    """a < b: links between sets of one family, as many as join all that belong together.
 
-    ``members`` has family (the leader's sid), sid, n, label, common (shingles shared with the leader), sketch.
+    ``members`` has family (the leader's sid), sid, n, label, common (shingles shared with the leader), sketch, set.
     Of the shingles of s at most n - common lie outside the leader, and of those inside at
-    most the smaller common are in the other set: pairs that this keeps apart
-    need no comparison. Large families are cut into blocks, and a task takes two blocks,
-    so it holds 2 * FAMILY_BLOCK sets' sketches at most and puts out only what passes.
+    most the smaller common are in the other set: pairs that this or the sketches keep apart
+    need no comparison, and neither do sets that links found so far have joined, so a family
+    whose sets mostly reach each other costs about a comparison a set. Large families are cut into
+    blocks, and a task takes two blocks: FAMILY_BLOCK sets and FAMILY_BYTES of shingles each.
     """
-    size = members.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    parts = F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(8 * F.sum("n") / FAMILY_BYTES)).cast("int")
+    size = members.groupBy("family").agg(parts.alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     rows = members.join(size.select("family", "k"), "family").withColumn("own", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("k")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("family", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "sid", "n", "label", "common", "sketch")
+    rows = rows.select("family", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "sid", "n", "label", "common", "sketch", "set")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         cross = int(part["i"].iloc[0]) != int(part["j"].iloc[0])
         part = part.sort_values("sid")
-        sid, n, label, common, own = (part[c].to_numpy(np.int64) for c in ("sid", "n", "label", "common", "own"))
+        sid, n, label, common, own = (part[c].to_numpy(np.int64).copy() for c in ("sid", "n", "label", "common", "own"))
         bits = min(map(len, part["sketch"]))
         folded = []
         for x in part["sketch"]:
@@ -331,7 +344,8 @@ def family_pairs(members: DataFrame, percent: int) -> DataFrame:
             folded.append(v)
         sketches = np.stack(folded)
         sketches = sketches.view(np.uint64) if bits % 8 == 0 else sketches
-        out_a, out_b = [], []
+        sets = [np.frombuffer(x, np.uint64) for x in part["set"]]
+        out: list[tuple[int, int]] = []
         for k in range(len(sid) - 1):
             rest = slice(k + 1, None)
             need = -(-percent * (n[k] + n[rest]) // (100 + percent))
@@ -341,13 +355,15 @@ def family_pairs(members: DataFrame, percent: int) -> DataFrame:
             if cross:
                 ok &= own[rest] != own[k]
             at = np.flatnonzero(ok)
-            if len(at):
-                differ = np.bitwise_count(sketches[k + 1 + at] ^ sketches[k]).sum(axis=1, dtype=np.int64)
-                at = at[n[k] + n[k + 1 + at] - differ >= 2 * need[at]]
-                out_a.append(np.full(len(at), sid[k]))
-                out_b.append(sid[k + 1 + at])
-        join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pd.DataFrame({"a": join(out_a), "b": join(out_b)})
+            differ = np.bitwise_count(sketches[k + 1 + at] ^ sketches[k]).sum(axis=1, dtype=np.int64)
+            passed = n[k] + n[k + 1 + at] - differ >= 2 * need[at]
+            # The most alike first: they join the others to this set soonest.
+            at = at[passed][np.argsort(differ[passed], kind="stable")]
+            for j, least_common in zip((k + 1 + at).tolist(), need[at].tolist()):
+                if label[j] != label[k] and len(np.intersect1d(sets[k], sets[j], assume_unique=True)) >= least_common:
+                    out.append((sid[k], sid[j]))
+                    label[label == label[j]] = label[k]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("family", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
@@ -369,9 +385,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
 
 def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """The columns of ``docs``; of each component the row with the smallest doc_id stays, and all rows without a word."""
-    rows = docs.withColumn("_key", text_key()).join(by_text(docs, size, percent).withColumnRenamed("key", "_key").select("_key", F.col("n").alias("_n"), F.col("component").alias("_c"), F.col("first_key").alias("_f")), "_key")
-    empty = F.col("_n") == 0
-    first = F.col("doc_id").eqNullSafe(F.col("_c")) & (F.col("_key") == F.col("_f"))
+    found = by_text(docs, size, percent).select("key", "n", F.col("component").alias("least"), "first_key")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_key().alias("key")).join(found, "key")
+    empty = F.col("n") == 0
+    first = F.col("id").eqNullSafe(F.col("least")) & (F.col("key") == F.col("first_key"))
     kept = rows.where(empty | first)
     # Only rows that repeat both doc_id and text can still be more than one of a component.
-    return kept.where(~empty).dropDuplicates(["doc_id", "_key"]).unionByName(kept.where(empty)).select(docs.columns)
+    out = kept.where(~empty).dropDuplicates(["id", "key"]).unionByName(kept.where(empty))
+    return out.select([F.col("row")[c].alias(c) for c in docs.columns])
