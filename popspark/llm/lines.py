@@ -58,7 +58,7 @@ LIST_BLOCK = 4096
 #: Lines that share one number of postings' blobs.
 MOST_LINES = 1 << 16
 #: Slots of the table of frequent runs (a byte each, broadcast), and how many of them are filled. An order only: no run is left out.
-SLOT_BITS, ORDERED_SLOTS = 24, 1 << 20
+SLOT_BITS, ORDERED_SLOTS = 23, 1 << 20
 #: Documents with a dropped or wanted line, or line ids, that a broadcast may hold; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Size classes: sizes of a class differ by three in a hundred at most; the last has no upper end.
@@ -144,15 +144,15 @@ def _blobs(values: np.ndarray, cut: np.ndarray, rows: list[int]) -> pa.Array:
 
 def _buckets(spark: SparkSession) -> int:
     """Parts in which postings meet."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _parts(texts: list[str]) -> Iterator[tuple[int, wordarrays.Lines]]:
+def _parts(texts: pa.Array) -> Iterator[tuple[int, wordarrays.Lines]]:
     """The lines of ``texts`` a slice at a time, with the number of the slice's first text."""
-    for lo, hi in wordarrays.slices(texts):
-        found = wordarrays.lines_of(texts[lo:hi])
+    for start, some in wordarrays.slices(texts):
+        found = wordarrays.lines_of(some)
         for a in range(0, len(found.size), MOST_LINES):
-            yield lo, found.part(a, min(a + MOST_LINES, len(found.size)))
+            yield start, found.part(a, min(a + MOST_LINES, len(found.size)))
 
 
 def identified(docs: DataFrame, *columns: Column) -> DataFrame:
@@ -168,7 +168,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, x in _parts(b.column(3).to_pylist()):
+            for at, x in _parts(b.column(3)):
                 k1, k2 = wordarrays.keys(x)
                 rows, n = pa.array(at + x.text), len(x.size)
                 yield pa.record_batch([*(b.column(i).take(rows) for i in range(3)), pa.array(x.line.astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
@@ -264,7 +264,7 @@ def meet(docs: DataFrame, rank: np.ndarray, least: float) -> DataFrame:
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, at = shipped.value, TaskContext.get().partitionId() << 20
         for b in batches:
-            for _, x in _parts(b.column(0).to_pylist()):
+            for _, x in _parts(b.column(0)):
                 k1, k2 = wordarrays.keys(x)
                 mark = wordarrays.parity(x) | (k1 << np.uint64(48))
                 size = (np.searchsorted(LOW, x.size, "right") - 1).astype(np.uint8)
@@ -302,7 +302,7 @@ def meet(docs: DataFrame, rank: np.ndarray, least: float) -> DataFrame:
         line = read("line", np.uint16)
         ref = np.concatenate([(int(s) << 16) + v.astype(np.int64) for s, v in zip(at, line)] or [np.empty(0, np.int64)])
         token, many, size, mark = (np.concatenate(read(c, kind)) for c, kind in (("token", np.uint32), ("tokens", np.uint32), ("size", np.uint8), ("mark", np.uint64)))
-        entry = np.repeat(np.arange(len(ref)), many)
+        entry = np.repeat(np.arange(len(ref), dtype=np.uint32), many)
         order = np.argsort(token, kind="stable")
         token, entry = token[order], entry[order]
         same = token[1:] == token[:-1]
@@ -345,7 +345,7 @@ def _texts(lines: DataFrame, uniq: DataFrame, docs: DataFrame) -> DataFrame:
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # No text has a newline here, and each has a word.
-            for lo, x in _parts(b.column(1).to_pylist()):
+            for lo, x in _parts(b.column(1)):
                 at = lo + x.text
                 bits = np.left_shift(64, np.ceil(np.log2(np.maximum(x.size, 32) / 32)).astype(np.int64))
                 start = np.cumsum(bits) - bits

@@ -11,11 +11,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Signs that count as space: ASCII's punctuation and symbols.
 SIGNS = string.punctuation
 #: Bytes of text that a task cuts at a time (one text at least).
-SLICE = 1 << 22
+SLICE = 1 << 21
 U64 = np.uint64
 M1, M2, M3 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 
@@ -78,16 +80,15 @@ def lines_of(texts: list[str]) -> Lines:
     return Lines(text[told], line[told], at[told], size[told], _hashed(raw, begin, end - begin), end - begin)
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about SLICE characters."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > SLICE:
-            yield start, i
-            start, total = i, 0
-        total += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def slices(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The texts of an Arrow column, about SLICE bytes at a time, with the place of the first."""
+    upto = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(upto):
+        before = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, before + SLICE, "right")))
+        yield start, column.slice(start, end - start).to_pylist()
+        start = end
 
 
 def keys(x: Lines) -> tuple[np.ndarray, np.ndarray]:
