@@ -15,9 +15,9 @@ gives two; a null doc_id is a value like others. Items that repeat count once pe
 item_id; a null item_id never names a match, but its windows hit. Other columns of
 either table are ignored.
 
-Index terms are lower-cased by Unicode, the check lower-cases A-Z only: lower() is
-much cheaper than a map of 26 letters and keeps every word's place, so it can only
-add candidates, which the exact comparison drops.
+Index terms are lower-cased by Unicode, each word alone, as the case of a letter can depend on
+its neighbours; the check lower-cases A-Z only. Words that are equal to the check are one
+term, so terms can only add candidates, which the exact comparison drops.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     ``terms`` (a column ``term`` without repeats) keeps only lists that a query set
     reads; without it the index holds every term of every text.
     """
-    each = keyed(docs).select("doc_id", "key", "row", F.posexplode(words_of(F.lower("text"))).alias("pos", "term"))
+    each = keyed(docs).select("doc_id", "key", "row", F.posexplode(words_of(F.col("text"))).alias("pos", "term")).withColumn("term", F.lower("term"))
     if terms is not None:
         each = each.join(terms.select("term"), "term", "left_semi")
     lists = each.groupBy("row", "doc_id", "key", "term").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
@@ -71,7 +71,7 @@ def _bounded(terms: DataFrame) -> DataFrame:
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n: occurrences over all documents, 0 included."""
-    seen = docs.select(F.explode(words_of(F.lower(text_or_empty()))).alias("term")).join(terms, "term", "left_semi").groupBy("term").count()
+    seen = docs.select(F.explode(words_of(text_or_empty())).alias("term")).select(F.lower("term").alias("term")).join(terms, "term", "left_semi").groupBy("term").count()
     return terms.join(seen, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("n"))
 
 
@@ -177,9 +177,9 @@ def decontamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, sha
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated."""
     bad = stored(verdicts(docs, items, window, share).where("contaminated").select("row", F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")), "contaminated")
-    rows = docs.withColumn("_key", text_key()).withColumn("_row", F.xxhash64("doc_id", "_key"))
-    same = (F.col("_row") == F.col("row")) & F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("_key") == F.col("bad_key"))
-    return rows.join(bad, same, "left_anti").select(docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id", text_key().alias("own_key")).withColumn("own_row", F.xxhash64("doc_id", "own_key"))
+    same = (F.col("own_row") == F.col("row")) & F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("own_key") == F.col("bad_key"))
+    return rows.join(bad, same, "left_anti").select([F.col("whole")[c].alias(c) for c in docs.columns])
 
 
 def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ LOOKALIKES = {
     "J": "Ј", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "S": "Ѕ", "T": "ТΤ", "X": "ХΧ", "Y": "ΥҮ",
     "Z": "Ζ", ".": "․。｡", "-": "‐‑‒–—−", "@": "﹫", "+": "﹢", " ": "    ", "": "​‌‍⁠﻿­",
 }
-#: First code points of runs of digits and letters in the order of ASCII: full-width, and mathematical styles.
+#: First code points of runs in the order of ASCII: full-width signs, then digits of mathematical styles, subscripts and other scripts.
 RUNS = ((0xFF01, 0x21, 94), (0x1D7CE, 0x30, 10), (0x1D7D8, 0x30, 10), (0x1D7E2, 0x30, 10), (0x1D7EC, 0x30, 10), (0x1D7F6, 0x30, 10), (0x2080, 0x30, 10), (0x0660, 0x30, 10), (0x06F0, 0x30, 10), (0x0966, 0x30, 10))
 GLYPHS = {ord(c): a for a, cs in LOOKALIKES.items() for c in cs}
 GLYPHS |= {first + i: chr(to + i) for first, to, n in RUNS for i in range(n)}
@@ -127,8 +127,19 @@ DISGUISED = re.compile(
     rf"(?<![A-Za-z0-9._%+-])(?P<name>[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*)(?P<at>@|{_AT})(?P<host>[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+)", re.I
 )
 #: After a plain "at", the host of an address with plain dots.
-PLAIN_HOST = re.compile(r"at\s+[A-Za-z0-9-]+\.[A-Za-z0-9]", re.I)
-DOT_WORDS = ("dot", "punto", "point", "punkt")
+PLAIN_HOST = re.compile(r"at\s+[A-Za-z0-9-]+\.[A-Za-z0-9-]", re.I)
+#: Words of which an address in disguise has one, if it has no sign and no plain "at".
+SIGN_WORDS = ("dot", "punto", "point", "punkt", "arroba")
+TOKEN = re.compile(r"\w+")
+#: Letters that the patterns take for i, s and k, besides their own lower case.
+FOLDED = str.maketrans("\u0130\u0131\u017f\u212a", "iisk")
+
+
+def folded(text: str) -> str:
+    """In lower case, as the patterns compare letters."""
+    return text.lower() if text.isascii() else text.translate(FOLDED).lower()
+
+
 DOTS = re.compile(rf"\.|{_DOT}", re.I)
 
 
@@ -172,7 +183,8 @@ def homoglyphs(text: str) -> list[tuple[int, int, str]]:
 
 
 def spelled_digits(text: str) -> list[tuple[int, int, str]]:
-    words = text.lower().replace("-", " ").replace(",", " ").replace(".", " ").split()
+    # A run has two items next to each other; looking for them is much cheaper than for the run.
+    words = TOKEN.findall(folded(text))
     if b"\x01\x01" not in bytes([w in SPELLED_ITEMS or w.isdigit() for w in words]):
         return []
     edits: list[tuple[int, int, str]] = []
@@ -198,8 +210,8 @@ def at_dot(text: str) -> list[tuple[int, int, str]]:
     A plain "at" before a host with plain dots is everyday prose ("meet at
     example.com"); it counts only if the name holds a digit or a sign.
     """
-    low = text.lower()
-    if not ("@" in low or any(c in low for c in "[({<") or any(f"{w} " in low for w in DOT_WORDS) or PLAIN_HOST.search(low)):
+    low = folded(text)
+    if not ("@" in low or any(c in low for c in "[({<") or any(w in low for w in SIGN_WORDS) or PLAIN_HOST.search(low)):
         return []
     edits: list[tuple[int, int, str]] = []
     for m in DISGUISED.finditer(text):

@@ -210,6 +210,19 @@ def test_decontamination(spark, corpus):
     assert decontaminate.decontamination(table.limit(0), bench).count() == 0
 
 
+def test_decontamination_folds_each_word_alone(spark):
+    item = "w0 w1 w2 w3 w4 w5 \u0391\u03a3'\u0392 v0 v1 v2 v3 v4 v5"
+    docs = [(1, f"x {item} y"), (2, f"X {item.upper()} Y"), (3, f"x {item.replace(chr(39), '. ')} y"), (4, "\u0130 w0 w1")]
+    columns = "doc_id bigint, text string, row int, bad_id int, _key int, own_key int"
+    frame = spark.createDataFrame([(*d, 1, 2, 3, 4) for d in docs], columns)
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.decontamination(frame, bench).collect()}
+    assert got == {1: (16, 14, 1), 2: (16, 14, 1), 3: (16, 14, 1), 4: (3, 0, 0)}
+    clean = decontaminate.clean(frame, bench)
+    assert clean.columns == frame.columns and [tuple(r) for r in clean.collect()] == [(*docs[3], 1, 2, 3, 4)]
+    assert {r.doc_id for r in jaccard.one_of_each(frame.withColumnRenamed("row", "_n")).collect()} <= {1, 2, 3, 4}
+
+
 def test_phrase_and_proximity(spark):
     docs = spark.createDataFrame([(1, "The cat sat on the mat"), (2, "on the mat the cat"), (3, "mat mat mat"), (4, None)], "doc_id bigint, text string")
     index = decontaminate.postings(docs)

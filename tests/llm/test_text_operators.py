@@ -1,6 +1,7 @@
 """Row-wise operators against brute force, with nulls, empty, long and repeated texts."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -161,3 +162,35 @@ def test_license_scan(spark):
     got = {r.doc_id: r for r in licenses.license_of(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert len(got) == 5 and got[1].license == got[2].license == "MIT" and got[1].dice_millis == 1000
     assert got[3].license is None and got[4].n_units == 0 and got[5].licenses == ""
+
+
+def test_pii_base_spans_equal_plain_patterns():
+    rnd = random.Random(6)
+    parts = ["a.b@c.de", "x@y", "@", "1.2.3.4", "999.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 12345678", "+1", "0" * 15, " ", ".", "-", "a", "7", "\n", "\u00e9", "<b>", "+", "%"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
+        want = sorted((m.start(), k, m.end()) for k, kind in enumerate(pii.KINDS) for m in re.finditer(pii.PATTERNS[kind].pattern, text) if pii.valid(kind, m[0]))
+        assert [tuple(x) for x in pii.detect(text)] == want
+
+
+@pytest.mark.parametrize(
+    ("text", "span"),
+    [
+        ("call +49 30 (five five five) 12345", "+49 30 (five five five) 12345"),
+        ("write to jane at example dot\torg today", "jane at example dot\torg"),
+        ("write to jane at example dot\norg", "jane at example dot\norg"),
+        ("ana arroba9 x", None),
+        ("ana.b arroba correo.example hoy", "ana.b arroba correo.example"),
+        ("dial plus one (two) then plus one two three four five \u017fix seven eight nine zero one", "plus one two three four five \u017fix seven eight nine zero one"),
+    ],
+)
+def test_pii_disguises_that_cheap_tests_must_not_miss(text, span):
+    found = [text[s.start : s.end] for s in pii.all_spans(text)[1]]
+    assert found == ([span] if span else [])
+
+
+def test_pii_rows(spark):
+    rows = [(1, "x " * 50_000 + "me@example.org", 1), (1, "x " * 50_000 + "me@example.org", 1), (2, None, 2), (None, "", 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, spans int")
+    assert sorted((r.doc_id or 0, r.n_email, r.spans) for r in pii.personal_data(docs).collect()) == [(0, 0, ""), (1, 1, "email:100000:100014"), (1, 1, "email:100000:100014"), (2, 0, "")]
+    assert pii.personal_data(docs.limit(0)).count() == 0
