@@ -20,16 +20,9 @@ query(
 query("population_sizes", "SELECT pop, count(*) AS n FROM inds GROUP BY pop")
 step(
     "signatures",
-    """SELECT g.ind, max(CASE WHEN locus = 1 THEN s END) AS s1, max(CASE WHEN locus = 2 THEN s END) AS s2, max(CASE WHEN locus = 3 THEN s END) AS s3,
-    max(CASE WHEN locus = 4 THEN s END) AS s4, max(CASE WHEN locus = 5 THEN s END) AS s5, max(CASE WHEN locus = 6 THEN s END) AS s6,
-    max(CASE WHEN locus = 7 THEN s END) AS s7, count(*) AS scored
-    FROM (SELECT ind, locus, least(a1, a2) * 1000 + greatest(a1, a2) AS s FROM geno) AS g GROUP BY g.ind""",
-)
-query(
-    "clones",
-    """SELECT ind, first_ind FROM (SELECT ind, min(ind) OVER (PARTITION BY coalesce(s1, -1), coalesce(s2, -1), coalesce(s3, -1), coalesce(s4, -1),
-    coalesce(s5, -1), coalesce(s6, -1), coalesce(s7, -1)) AS first_ind FROM signatures WHERE scored >= 4) AS x WHERE ind <> first_ind""",
+    """SELECT ind, $joined(s ; locus)$ AS signature, count(*) AS scored FROM (SELECT ind, locus, concat(CAST(locus AS STRING), ':', CAST(least(a1, a2) AS STRING), '/', CAST(greatest(a1, a2) AS STRING), ' ') AS s FROM geno) AS g GROUP BY ind""",
 )
+query("clones", """SELECT ind, first_ind FROM (SELECT ind, min(ind) OVER (PARTITION BY signature) AS first_ind FROM signatures WHERE scored >= 4) AS x WHERE ind <> first_ind""")
 query("band_classes", f"""SELECT band, {r("avg(x * 1e0)")} AS frequency, avg(x * 1e0) > 0 AND avg(x * 1e0) < 0.05e0 AS rare, avg(x * 1e0) > 0.95e0 AND avg(x * 1e0) < 1 AS fixed FROM bands GROUP BY band""")
 query(
     "capabilities",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Spellings of a missing cell.
-MISSING = ("", ".", "?", "-", "na", "n/a", "nan", "null", "-9", "-99", "-999", "999", "missing")
+MISSING = ("", "-9", "-99", "-999", "na", "n/a", "nan", "?", ".", "..", "null", "missing", "x")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sinks: CSV with byte-order mark, FASTA, and wide tables of allele frequencies."""
+"""Sinks: CSV, FASTA, and wide tables of allele frequencies."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Quoted where needed, with a header in each part; Spark writes the parts side by side."""
+    """Quoted where needed, with a header in each part and no byte-order mark; Spark writes the parts side by side."""
     df.write.mode(mode).option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(path)
 
 

@@ -65,6 +65,29 @@ def test_distances(m1, m2):
     assert [m2.result("population_distances").first()[c] for c in names] == pytest.approx([0.955511, 0.875469, 0.454320, 0.784465, 2 / 3, 2 / 3], abs=1e-6)
 
 
+def test_demography_by_locus(spark):
+    """Worked out by hand: L1 has p = 1/2 and 4 of 6 heterozygotes, L2 p = 1/4 of 3 heterozygotes, L3 is fixed, L4 has four individuals."""
+    rows = [(i, "A", "R", "L1", a, b) for i, (a, b) in enumerate([(10, 14)] * 4 + [(10, 10), (14, 14)])]
+    rows += [(i, "A", "R", "L2", a, b) for i, (a, b) in enumerate([(20, 22)] * 3 + [(22, 22)] * 3)]
+    rows += [(i, "A", "R", "L3", 30, 30) for i in range(6)] + [(i, "A", "R", "L4", 40, 42) for i in range(4)]
+    data = Dataset(spark, geno=spark.createDataFrame(rows, "ind bigint, pop string, region string, locus string, a1 bigint, a2 bigint"))
+    got = data.result("ne_heterozygote_excess").first()
+    d1, d2 = (4 / 6) / (12 / 11 * 1 / 2) - 1, (3 / 6) / (12 / 11 * 3 / 8) - 1
+    d = (d1 + d2) / 2
+    assert (got.n_loci, got.d, got.ne) == pytest.approx((2, d, 1 / (2 * d) + 1 / (2 * (d + 1))), abs=1e-5)
+    assert got.ne_low is None and got.ne_high is None
+    assert {x.locus: x.m for x in data.result("m_ratio").collect()} == pytest.approx({"L1": 2 / 5, "L2": 2 / 3, "L4": 2 / 3}, abs=1e-6)
+    # Frequencies 1/2, 1/2, 1/4, 3/4, 1, 1/2, 1/2 fall in classes 5, 5, 2, 7, 9, 5, 5.
+    assert {x["class"]: x.n for x in data.result("mode_shift").collect()} == {5: 4, 2: 1, 7: 1, 9: 1}
+
+
+def test_clones_of_any_loci(spark):
+    rows = [(i, "A", "R", f"M{k}", *((1, 2) if (i, k) != (3, 4) else (2, 2))) for i in (1, 2, 3) for k in range(5)]
+    rows += [(4, "A", "R", f"M{k}", 2, 1) for k in range(5)] + [(5, "A", "R", f"M{k}", 1, 2) for k in range(3)]
+    data = Dataset(spark, geno=spark.createDataFrame(rows, "ind bigint, pop string, region string, locus string, a1 bigint, a2 bigint"))
+    assert sorted(tuple(x) for x in data.result("clones").collect()) == [(2, 1), (4, 1)]
+
+
 def test_homogeneity_of_every_locus(spark):
     tables = spark.createDataFrame([(1, 5.0, 1), (2, 6.0, 2), (3, 0.4, 3), (4, 0.0, 0)], "locus int, chi2 double, df int")
     want = {k: special.gamma_tail(df / 2, chi2 / 2) for k, chi2, df in ((1, 5.0, 1), (2, 6.0, 2), (3, 0.4, 3))}
