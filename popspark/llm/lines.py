@@ -15,7 +15,7 @@ Candidates come from lists of one kind of posting:
   similarity therefore share one of the first 3 (1 - least) n + 1 distinct runs of each in one
   order of all runs. The order puts frequent runs last and runs of long words first; any order
   would be right. Lines of five and four words also post their runs of two. No pair is missed
-  but those that 80 bits of a posting (size class, 48 parities of words, 16 bits of the line's
+  but those that a posting (size class, 48 parities of words, 16 bits of the line's
   key) take for one line: two in 65,536 pairs of lines with the same words in another order.
 
 Lists of at most LIST lines give all pairs that the bounds of size and of differing words
@@ -336,7 +336,7 @@ def meet(docs: DataFrame, rank: np.ndarray, least: float) -> DataFrame:
 
 
 def _texts(lines: DataFrame, uniq: DataFrame, docs: DataFrame) -> DataFrame:
-    """lid, t, n, sketch of the lines (lid): their text, words, and whether the words of each of about 2 n classes are odd in number."""
+    """lid, t, n, sketch of the lines (lid): their text, words, and whether the counted words of each of about 2 n classes are odd in number."""
     need = lines.join(uniq.select("lid", "first.r1", "first.r2", "first.line"), "lid")
     wanted = stored(need.groupBy("r1", "r2").agg(F.collect_list(F.struct("lid", "line")).alias("wanted")), "wanted")
     rows = identified(docs, text_or_empty().alias("text")).join(bounded(wanted, BROADCAST_ROWS), ["r1", "r2"])
@@ -349,7 +349,7 @@ def _texts(lines: DataFrame, uniq: DataFrame, docs: DataFrame) -> DataFrame:
                 at = lo + x.text
                 bits = np.left_shift(64, np.ceil(np.log2(np.maximum(x.size, 32) / 32)).astype(np.int64))
                 start = np.cumsum(bits) - bits
-                place = np.repeat(start, x.size) + ((x.hash >> np.uint64(13)) & np.repeat(bits - 1, x.size).astype(np.uint64)).astype(np.int64)
+                place = np.repeat(start, x.size) + ((wordarrays.counted(x) >> np.uint64(13)) & np.repeat(bits - 1, x.size).astype(np.uint64)).astype(np.int64)
                 odd = np.packbits((np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8))
                 sketches = [odd[s // 8 : (s + n) // 8].tobytes() for s, n in zip(start, bits)]
                 yield pa.record_batch([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(x.size), pa.array(sketches, pa.binary())], names=["lid", "t", "n", "sketch"])

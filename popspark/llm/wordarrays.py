@@ -98,9 +98,18 @@ def keys(x: Lines) -> tuple[np.ndarray, np.ndarray]:
     return np.add.reduceat(z, x.first), np.add.reduceat(mixed(z ^ M2), x.first)
 
 
+def counted(x: Lines) -> np.ndarray:
+    """A hash of every word with its number among its equals in the line, so that the lines are sets. In each line's range, in any order."""
+    line = np.repeat(np.arange(len(x.size), dtype=U64), x.size)
+    h = x.hash[np.argsort((line << U64(48)) | (x.hash >> U64(16)))]
+    begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])) if len(h) else np.empty(0, np.int64)
+    nth = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
+    return h + nth.astype(U64) * M1
+
+
 def parity(x: Lines) -> np.ndarray:
-    """48 bits: whether the words of each of 48 classes are odd in number. n edits change 2 n bits at most."""
-    return np.bitwise_xor.reduceat(U64(1) << ((x.hash >> U64(20)) % U64(48)), x.first)
+    """48 bits: whether the counted words of each of 48 classes are odd in number. n edits change 2 n bits at most."""
+    return np.bitwise_xor.reduceat(U64(1) << ((counted(x) >> U64(20)) % U64(48)), x.first)
 
 
 def simhash(x: Lines) -> np.ndarray:
