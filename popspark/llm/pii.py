@@ -194,7 +194,7 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
             continue
         for p in parts:
             if p["word"]:
-                edits.append((p.start(), p.end(), str(DIGIT_WORDS[p["word"].lower()]) * TIMES.get((p["times"] or "").lower(), 1)))
+                edits.append((p.start(), p.end(), str(DIGIT_WORDS[folded(p["word"])]) * TIMES.get(folded(p["times"] or ""), 1)))
             elif p["plus"]:
                 edits.append((p.start(), p.end(), "+"))
             elif p["dot"]:
