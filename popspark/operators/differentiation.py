@@ -111,3 +111,14 @@ query("pairwise_gst", f"""SELECT p1, p2, {r("(ht - hs) / nullif(ht, 0)")} AS gst
 
 #: Homogeneity of allele counts among populations, by locus; ``multiple`` gives the p values and their corrections.
 step("homogeneity", "SELECT locus, sum((n - e) * (n - e) / e) AS chi2, CAST((count(DISTINCT pop) - 1) * (count(DISTINCT allele) - 1) AS INT) AS df FROM (SELECT g.locus, g.pop, g.allele, g.n, 2e0 * g.inds * a.n / t.g AS e FROM grid AS g JOIN alleles AS a ON a.locus = g.locus AND a.allele = g.allele JOIN ss_total AS t ON t.locus = g.locus) AS x GROUP BY locus")
+
+#: Haploid loci: components among and within populations, and migrants by the haploid island model.
+step("hap_cells", "SELECT locus, pop, count(*) * 1e0 AS n FROM hap WHERE allele IS NOT NULL GROUP BY locus, pop HAVING count(*) >= 2")
+step("hap_pops", "SELECT locus, count(*) * 1e0 AS r, avg(n) AS nb, (sum(n) - sum(n * n) / sum(n)) / (count(*) - 1) AS nc FROM hap_cells GROUP BY locus HAVING count(*) >= 2")
+step("hap_alleles", "SELECT h.locus, h.pop, h.allele, count(*) * 1e0 AS c FROM hap AS h JOIN hap_cells AS n ON n.locus = h.locus AND n.pop = h.pop WHERE h.allele IS NOT NULL GROUP BY h.locus, h.pop, h.allele")
+#: Populations without an allele add its squared mean frequency, so zeros need no rows.
+step("hap_mean", "SELECT a.locus, a.allele, sum(a.c) / (max(w.r) * max(w.nb)) AS pb, sum(a.c * a.c / n.n) AS cp FROM hap_alleles AS a JOIN hap_cells AS n ON n.locus = a.locus AND n.pop = a.pop JOIN hap_pops AS w ON w.locus = a.locus GROUP BY a.locus, a.allele")
+step("hap_var", "SELECT m.locus, w.r, w.nb, w.nc, m.pb, (m.cp - w.r * w.nb * m.pb * m.pb) / ((w.r - 1) * w.nb) AS s2 FROM hap_mean AS m JOIN hap_pops AS w ON w.locus = m.locus")
+step("hap_parts", "SELECT locus, sum(nb / nc * (s2 - (pb * (1 - pb) - (r - 1) / r * s2) / (nb - 1))) AS a, sum(nb / (nb - 1) * (pb * (1 - pb) - (r - 1) / r * s2)) AS b FROM hap_var GROUP BY locus")
+query("haploid_theta_by_locus", f"""SELECT locus, {r("a")} AS a, {r("b")} AS b, {r("a / nullif(a + b, 0)")} AS theta FROM hap_parts""")
+query("haploid_theta", f"""SELECT {r("theta")} AS theta, {r("CASE WHEN theta > 0 THEN (1 - theta) / (2 * theta) END")} AS nm FROM (SELECT sum(a) / nullif(sum(a + b), 0) AS theta FROM hap_parts) AS x""")

@@ -3,8 +3,11 @@
 from popspark.plans.compose import query, r, series, step
 
 step("n_seqs", "SELECT pop, count(DISTINCT ind) * 1e0 AS n FROM sites GROUP BY pop")
-step("n_sites", "SELECT count(DISTINCT site) * 1e0 AS l FROM sites")
-step("base_counts", "SELECT pop, site, base, count(*) * 1e0 AS n FROM sites GROUP BY pop, site, base")
+#: Complete deletion: a site counts if every sequence has one of the four bases there.
+step("valid_sites", "SELECT s.site FROM sites AS s CROSS JOIN (SELECT sum(n) AS n FROM n_seqs) AS t GROUP BY s.site HAVING count(CASE WHEN s.base IN ('A', 'C', 'G', 'T') THEN 1 END) = max(t.n)")
+step("kept_sites", "SELECT s.ind, s.pop, s.site, s.base FROM sites AS s JOIN valid_sites AS v ON v.site = s.site")
+step("n_sites", "SELECT count(DISTINCT site) * 1e0 AS l FROM kept_sites")
+step("base_counts", "SELECT pop, site, base, count(*) * 1e0 AS n FROM kept_sites GROUP BY pop, site, base")
 step("site_stats", "SELECT pop, site, sum(n) AS n, count(*) AS k, min(n) AS least_n, 1 - sum(n * n) / (sum(n) * sum(n)) AS h, count(CASE WHEN n = 1 THEN 1 END) AS singles, count(CASE WHEN n >= 2 THEN 1 END) AS twice FROM base_counts GROUP BY pop, site")
 query(
     "site_summary",
@@ -33,16 +36,19 @@ query(
     "fu_li",
     f"""SELECT pop, {r("CASE WHEN ud * eta + vd * eta * eta > 0 THEN (n / (n - 1) * eta - a1 * eta_s) / sqrt(ud * eta + vd * eta * eta) END")} AS d_star, {r("CASE WHEN uf * eta + vf * eta * eta > 0 THEN (k - (n - 1) / n * eta_s) / sqrt(uf * eta + vf * eta * eta) END")} AS f_star FROM fu_li_u""",
 )
-step("own_singles", "SELECT s.pop, s.ind, sum(CASE WHEN b.n = 1 THEN 1e0 ELSE 0e0 END) AS u FROM sites AS s JOIN base_counts AS b ON b.pop = s.pop AND b.site = s.site AND b.base = s.base GROUP BY s.pop, s.ind")
+step("own_singles", "SELECT s.pop, s.ind, sum(CASE WHEN b.n = 1 THEN 1e0 ELSE 0e0 END) AS u FROM kept_sites AS s JOIN base_counts AS b ON b.pop = s.pop AND b.site = s.site AND b.base = s.base GROUP BY s.pop, s.ind")
 query("r2_statistic", f"""SELECT u.pop, {r("sqrt(avg((u.u - q.k / 2) * (u.u - q.k / 2))) / max(q.s)")} AS r2 FROM own_singles AS u JOIN seq_stats AS q ON q.pop = u.pop WHERE q.s > 0 GROUP BY u.pop""")
 #: Haplotypes over all sites, in the order of the sites.
-step("haps", "SELECT ind, pop, $joined(base ; site)$ AS h FROM sites GROUP BY ind, pop")
+step("haps", "SELECT ind, pop, $joined(base ; site)$ AS h FROM kept_sites GROUP BY ind, pop")
 step("haps_n", "SELECT pop, h, count(*) * 1e0 AS n, sum(count(*)) OVER (PARTITION BY pop) * 1e0 AS total FROM haps GROUP BY pop, h")
 step("haps_all", "SELECT DISTINCT h FROM haps")
 query("haplotypes", f"""SELECT h, count(DISTINCT pop) AS n_pops, CAST(sum(n) AS BIGINT) AS n FROM haps_n GROUP BY h""")
 query("haplotype_diversity_sequences", f"""SELECT pop, count(*) AS n_haplotypes, {r("max(total) / (max(total) - 1) * (1 - sum(n * n) / (max(total) * max(total)))")} AS hd FROM haps_n WHERE total > 1 GROUP BY pop""")
-step("pair_diff", "SELECT x.pop, x.ind AS i, y.ind AS j, sum(CASE WHEN x.base <> y.base THEN 1 ELSE 0 END) AS d FROM sites AS x JOIN sites AS y ON x.pop = y.pop AND x.site = y.site AND x.ind < y.ind GROUP BY x.pop, x.ind, y.ind")
-step("mismatch", "SELECT pop, d, count(*) / (sum(count(*)) OVER (PARTITION BY pop) * 1e0) AS f FROM pair_diff GROUP BY pop, d")
+#: Pairs of sequences are counted through the haplotypes of a population, one sequence standing for each.
+step("hap_reps", "SELECT pop, h, min(ind) AS ind, count(*) * 1e0 AS n FROM haps GROUP BY pop, h")
+step("rep_sites", "SELECT s.pop, s.ind, s.site, s.base, q.n FROM kept_sites AS s JOIN hap_reps AS q ON q.pop = s.pop AND q.ind = s.ind")
+step("pair_diff", "SELECT x.pop, sum(CASE WHEN x.base <> y.base THEN 1 ELSE 0 END) AS d, max(x.n * y.n) AS w FROM rep_sites AS x JOIN rep_sites AS y ON x.pop = y.pop AND x.site = y.site AND x.ind < y.ind GROUP BY x.pop, x.ind, y.ind UNION ALL SELECT pop, 0, n * (n - 1) / 2 FROM hap_reps WHERE n > 1")
+step("mismatch", "SELECT pop, d, sum(w) / sum(sum(w)) OVER (PARTITION BY pop) AS f FROM pair_diff GROUP BY pop, d")
 query("mismatch_distribution", f"""SELECT pop, CAST(d AS BIGINT) AS d, {r("f")} AS f FROM mismatch""")
 step("mismatch_full", f"SELECT g.pop, g.d, coalesce(m.f, 0e0) AS f FROM (SELECT pop, {series('0', 'most + 1')} AS d FROM (SELECT pop, CAST(max(d) AS INT) AS most FROM mismatch GROUP BY pop) AS x) AS g LEFT JOIN mismatch AS m ON m.pop = g.pop AND m.d = g.d")
 query("raggedness", f"""SELECT pop, {r("sum((f - e) * (f - e))")} AS r FROM (SELECT pop, d, f, coalesce(lag(f) OVER (PARTITION BY pop ORDER BY d), 0e0) AS e FROM mismatch_full) AS x GROUP BY pop""")
@@ -69,7 +75,7 @@ query("dxy_da", f"""SELECT x.p1, x.p2, {r("x.d / l")} AS dxy, {r("greatest(0e0,
 step(
     "pair_types",
     """SELECT x.ind AS i, y.ind AS j, avg(CASE WHEN concat(x.base, y.base) IN ('AG', 'GA', 'CT', 'TC') THEN 1e0 ELSE 0e0 END) AS p, avg(CASE WHEN x.base <> y.base AND concat(x.base, y.base) NOT IN ('AG', 'GA', 'CT', 'TC') THEN 1e0 ELSE 0e0 END) AS q
-    FROM sites AS x JOIN sites AS y ON x.site = y.site AND x.ind < y.ind GROUP BY x.ind, y.ind""",
+    FROM kept_sites AS x JOIN kept_sites AS y ON x.site = y.site AND x.ind < y.ind GROUP BY x.ind, y.ind""",
 )
 query("k2p_distance", f"""SELECT i, j, {r("CASE WHEN 1 - 2 * p - q > 0 AND 1 - 2 * q > 0 THEN -0.5e0 * ln(1 - 2 * p - q) - 0.25e0 * ln(1 - 2 * q) ELSE 3e0 END")} AS k2p FROM pair_types""")
 query(
@@ -77,3 +83,7 @@ query(
     f"""SELECT {r("sb / (sb + msw)")} AS phi_st FROM (SELECT ((sst - ssw) / (np - 1) - ssw / (n - np)) / n0 AS sb, ssw / (n - np) AS msw FROM (SELECT t.sst, w.ssw, w.np, t.n, (t.n - w.n2 / t.n) / (w.np - 1) AS n0
     FROM (SELECT sum(CASE WHEN b.p1 = b.p2 THEN b.d / 2 ELSE b.d END) / max(t.n) AS sst, max(t.n) AS n FROM base_pairs AS b CROSS JOIN (SELECT sum(n) AS n FROM n_seqs) AS t) AS t CROSS JOIN (SELECT sum(b.d / (2 * c.n)) AS ssw, count(*) * 1e0 AS np, sum(c.n * c.n) AS n2 FROM base_pairs AS b JOIN n_seqs AS c ON c.pop = b.p1 WHERE b.p1 = b.p2) AS w) AS x) AS y""",
 )
+#: What Fu's F_S is made of: sequences, haplotypes and the mean number of differences of a population.
+query("fu_fs_parts", f"""SELECT q.pop, CAST(q.n AS BIGINT) AS n, h.n_haplotypes, {r("q.k")} AS theta FROM seq_stats AS q JOIN (SELECT pop, count(*) AS n_haplotypes FROM haps_n GROUP BY pop) AS h ON h.pop = q.pop WHERE q.k > 0""")
+#: Haplotypes by population, with those of one population only.
+query("haplotype_table", """SELECT pop, h, CAST(n AS BIGINT) AS n, count(*) OVER (PARTITION BY h) = 1 AS private FROM haps_n""")

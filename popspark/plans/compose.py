@@ -2,7 +2,7 @@
 
 An operator is a SELECT over named steps (common table expressions). The statements
 stay in the SQL that Spark and DuckDB share; ``series``, ``$at(list, i)$`` and
-``$q(value, share)$`` (type 7 quantile) and ``$joined(value ; key)$`` (a group's values as one text, by key) cover the places where they differ. ``statement`` lists the steps that a SELECT needs, in order.
+``$q(value, share)$`` (type 7 quantile), ``$joined(value ; key)$`` (a group's values as one text, by key) and ``$draw(text ; n)$`` (a whole number from 0 to n - 1 that the text decides) cover the places where they differ. ``statement`` lists the steps that a SELECT needs, in order.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ def _series_for(engine: str, sql: str) -> str:
     sql = re.sub(r"\$q\((.*?), ([0-9.]+)\)\$", r"percentile(\1, \2)" if engine == "spark" else r"quantile_cont(\1, \2)", sql)
     joined = r"array_join(transform(array_sort(collect_list(struct(\2, \1))), x -> x.\1), '')" if engine == "spark" else r"string_agg(\1, '' ORDER BY \2)"
     sql = re.sub(r"\$joined\((\w+) ; (\w+)\)\$", joined, sql)
+    drawn = r"CAST(conv(substring(md5(\1), 1, 12), 16, 10) AS BIGINT) % (\2)" if engine == "spark" else r"CAST(concat('0x', substring(md5(\1), 1, 12)) AS BIGINT) % (\2)"
+    sql = re.sub(r"\$draw\((.*?) ; (.*?)\)\$", drawn, sql)
     return re.sub(r"\$series\(([^;]*?) ; ([^;]*?)\)\$", made, sql)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from popspark.dataset import from_tables, relation
 from popspark.functions.special import chi2_p
-from popspark.operators import matrices, multiple, resampling
+from popspark.operators import matrices, multiple, neutrality, resampling
 
 
 def hwe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,10 @@ def mantel_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.mantel(x.join(y, ["p1", "p2"]).select("p1", "p2", F.col("theta").alias("x"), F.col("km").alias("y")), 999)
 
 
+def fu_fs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neutrality.fu_fs(from_tables(spark, sf_dir, "fu_fs_parts"))
+
+
 def _nei(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_tables(spark, sf_dir, "population_distances").select(F.lit("nei72").alias("tree"), "p1", "p2", F.greatest("nei72", F.lit(0.0)).alias("d"))
 
@@ -64,4 +68,4 @@ def upgma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrices.upgma(_nei(spark, sf_dir))
 
 
-OTHER = {f.__name__: f for f in (hwe_exact, hwe_p_values, genic_differentiation, adjusted_p, fisher_combined, null_alleles_em, permuted_theta, theta_bootstrap, mantel_distance, pcoa_populations, neighbour_joining, upgma)}
+OTHER = {f.__name__: f for f in (hwe_exact, hwe_p_values, genic_differentiation, adjusted_p, fisher_combined, null_alleles_em, permuted_theta, theta_bootstrap, mantel_distance, fu_fs, pcoa_populations, neighbour_joining, upgma)}

@@ -39,8 +39,8 @@ step(
 )
 step(
     "places",
-    """SELECT c_custkey AS ind, c_nationkey AS pop, (c_custkey * 37 % 18000) / 100e0 - 90e0 AS lat, (c_custkey * 91 % 36000) / 100e0 - 180e0 AS lon
-    FROM customer""",
+    """SELECT o_orderkey AS ind, c_nationkey AS pop, (o_orderkey * 37 % 18000) / 100e0 - 90e0 AS lat, (o_orderkey * 91 % 36000) / 100e0 - 180e0 AS lon
+    FROM orders JOIN customer ON o_custkey = c_custkey""",
 )
 #: Two signs of the embedding make one base; the list's element access is written alike in both engines from here on.
 step(
