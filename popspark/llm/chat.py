@@ -3,7 +3,7 @@
 ``paths`` finds the root-to-leaf path of every leaf by iterative self-joins with
 pointer jumping: each round joins the paths found so far and the jump table with the
 jump table, so a tree of depth d takes about log2(d) rounds and never holds more rows
-than its paths. ``ranked`` orders the branches of a tree by score; ``formatted`` writes
+than its paths and one jump a node and round. ``ranked`` orders the branches of a tree by score; ``formatted`` writes
 each chosen path as one conversation, with the places of the text to learn from.
 
 Template: ``<s>``, then every turn as ``[INST]text[/INST]`` (user), ``[ASST]text[/ASST]``
@@ -46,21 +46,22 @@ def unescaped(text: str) -> str:
 def paths(nodes: DataFrame) -> DataFrame:
     """leaf, node, depth (root 0) for every leaf of the trees in ``nodes`` (node, parent; both unique long ids).
 
-    A null or unknown parent makes a root. Parents that form a circle are no tree:
-    none of their nodes is reached from a root, and the loop ends as jumps of
-    2 ** 40 ancestors can't exist otherwise.
+    A null or unknown parent makes a root. Nodes whose ancestors run in a circle belong to no
+    tree and are left out: jumps as long as the number of nodes end for all others.
     """
     known = nodes.select(F.col("node").alias("parent"))
     jumps = stored(nodes.join(known, "parent", "left_semi").select("node", F.col("parent").alias("up")), "jumps")
     inner = jumps.select(F.col("up").alias("node")).distinct()
-    found = stored(nodes.join(inner, "node", "left_anti").select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above")), "paths")
-    for k in range(40):
-        if jumps.isEmpty():
-            break
-        step = found.join(jumps, "node").select("leaf", F.col("up").alias("node"), (F.col("above") + F.lit(1 << k).cast("long")).alias("above"))
-        found = stored(found.unionByName(step), "paths")
+    levels, most = [], nodes.count()
+    while 1 << len(levels) < most and not jumps.isEmpty():
+        levels.append(jumps)
         far = jumps.select("node", F.col("up").alias("mid")).join(jumps.select(F.col("node").alias("mid"), "up"), "mid").select("node", "up")
         jumps = stored(far, "jumps")
+    leaves = nodes.join(inner, "node", "left_anti").join(jumps.select("node"), "node", "left_anti")
+    found = stored(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above")), "paths")
+    for k, level in enumerate(levels):
+        step = found.join(level, "node").select("leaf", F.col("up").alias("node"), (F.col("above") + F.lit(1 << k).cast("long")).alias("above"))
+        found = stored(found.unionByName(step), "paths")
     total = found.groupBy("leaf").agg(F.max("above").alias("most"))
     return found.join(total, "leaf").select("leaf", "node", (F.col("most") - F.col("above")).alias("depth"))
 
@@ -83,14 +84,13 @@ def formatted(turns: DataFrame, key: list[str]) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), escaped(F.coalesce("text", F.lit("")))
     opened = F.when(role == "user", "[INST]").when(role == "assistant", "[ASST]").otherwise(F.concat(F.lit("[ROLE "), escaped(role), F.lit("]")))
     closed = F.when(role == "user", "[/INST]").when(role == "assistant", "[/ASST]").otherwise("[/ROLE]")
-    part = F.struct("depth", opened.alias("o"), text.alias("t"), closed.alias("c"), (role == "assistant").alias("learn"))
-    per = turns.select(*key, part.alias("part")).groupBy(*key).agg(F.array_sort(F.collect_list("part")).alias("ps"))
+    rows = turns.select(*key, "depth", opened.alias("o"), text.alias("t"), closed.alias("c"), (role == "assistant").alias("learn"))
+    before = Window.partitionBy(*key).orderBy("depth", "o", "t", "c").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.lit(3) + F.coalesce(F.sum(F.length("o") + F.length("t") + F.length("c")).over(before), F.lit(0)) + F.length("o")
+    part = F.struct("depth", "o", "t", "c", start.cast("int").alias("start"), "learn")
+    per = rows.select(*key, part.alias("part")).groupBy(*key).agg(F.array_sort(F.collect_list("part")).alias("ps"))
     per = per.select(*key, "ps", F.expr("concat('<s>', array_join(transform(ps, p -> concat(p.o, p.t, p.c)), ''), '</s>')").alias("text"))
-    mask = F.expr(
-        """aggregate(ps, struct(3 AS at, CAST(array() AS array<struct<start: int, end: int>>) AS m), (acc, p) -> struct(
-        acc.at + length(p.o) + length(p.t) + length(p.c) AS at, CASE WHEN p.learn THEN array_append(acc.m,
-        named_struct('start', acc.at + length(p.o), 'end', acc.at + length(p.o) + length(p.t))) ELSE acc.m END AS m)).m"""
-    )
+    mask = F.expr("transform(filter(ps, p -> p.learn), p -> named_struct('start', p.start, 'end', p.start + length(p.t)))")
     return per.select(*key, F.size("ps").cast("long").alias("n_turns"), "text", mask.alias("mask"))
 
 

@@ -156,6 +156,28 @@ def test_reply_tree_paths_and_ranks(spark):
     assert sorted((r.tree, r.leaf, r.rank) for r in chat.ranked(found, scores, tree).collect()) == [(7, 3, 1), (7, 5, 2), (8, 9, 1)]
 
 
+def test_reply_trees_beside_circles(spark):
+    circle = [(20, 21), (21, 20), (22, 21), (23, 22), (30, 30), (31, 30)]
+    chain = [(k, k - 1 if k > 1 else None) for k in range(1, 10)]
+    found = chat.paths(spark.createDataFrame(circle + chain + [(40, 99)], "node bigint, parent bigint"))
+    got = {}
+    for r in found.orderBy("leaf", "depth").collect():
+        got.setdefault(r.leaf, []).append(r.node)
+    assert got == {9: list(range(1, 10)), 40: [40]}
+    assert chat.paths(spark.createDataFrame(circle, "node bigint, parent bigint")).count() == 0
+    assert chat.paths(spark.createDataFrame([], "node bigint, parent bigint")).count() == 0
+
+
+def test_chat_masks_of_many_turns_and_extra_columns(spark):
+    rows = [(7, k, ("user", "assistant", "tool]")[k % 3], f"[{k}]\u00e9" * (k % 5), "x") for k in range(300)] + [(8, 0, "assistant", "z" * 200_000, "y")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, depth string")
+    for r in chat.conversations(turns).collect():
+        own = [x for x in rows if x[0] == r.conv_id]
+        assert [chat.unescaped(r.text[m.start : m.end]) for m in r.mask] == [x[3] for x in own if x[2] == "assistant"]
+        assert chat.parsed(r.text) == [(x[2], x[3]) for x in own]
+    assert chat.read_back(chat.conversations(turns.limit(0)), "conv_id").count() == 0
+
+
 def test_license_scan(spark):
     mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 100)
     rows = [(1, "text\nreleased under the   MIT license"), (2, "prose\n\n" + mit.replace(" ", "\n", 20)), (3, None), (4, ""), (5, "released"), (1, "text\nreleased under the   MIT license")]
