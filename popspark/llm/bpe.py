@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from popspark.llm.common import frugal
+
 #: Pieces kept by a worker between batches; the cache starts anew when full.
 CACHE_PIECES = 400_000
 
@@ -133,6 +135,12 @@ class PrefixEncoder:
             self.pieces[text] = ids
         return ids
 
+    def forget(self) -> None:
+        """Empty what was remembered of texts; the vocabulary stays."""
+        self.pieces.clear()
+        self.apart.clear()
+        self.whole.clear()
+
     def encode_joined(self, text: str) -> str:
         """All ids of a text, decimal, joined by single spaces."""
         known, piece = self.pieces.get, self.piece
@@ -198,6 +206,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        enc.forget()
         token_bytes = {str(i): b for i, b in enc.bytes_of.items()}.__getitem__
         for b in batches:
             n, ids_sha, text_sha = [], [], []
@@ -208,6 +217,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(b"".join(map(token_bytes, ids))).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=names)
+        enc.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +75,23 @@ def text_or_empty(column: str = "text") -> Column:
 def text_key(column: str = "text") -> Column:
     """SHA-256 of the whole text: equal keys stand for equal texts."""
     return F.unhex(F.sha2(text_or_empty(column), 256))
+
+
+def give_back() -> None:
+    """Return the memory that Arrow and numpy freed to the system: Spark keeps a Python worker, and what it holds, for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` (batches to batches) as it is, with the task's memory given back when it ends."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole

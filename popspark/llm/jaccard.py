@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popspark.llm.common import bounded, discard, shared_dir, stored, text_key, text_or_empty
+from popspark.llm.common import bounded, discard, frugal, shared_dir, stored, text_key, text_or_empty
 from popspark.llm.graph import components
 
 #: Shingles known to be frequent: at most so many are broadcast (8 bytes each), each in at least HOT_SETS sets.
@@ -149,7 +149,7 @@ def _sizes_and_counts(texts: DataFrame, size: int, percent: int, buckets: int) -
                 names=names,
             )
 
-    return texts.select("sid", "text").mapInArrow(run, "sid bigint, n bigint, sketch binary, bucket int, shingles binary, counts binary")
+    return texts.select("sid", "text").mapInArrow(frugal(run), "sid bigint, n bigint, sketch binary, bucket int, shingles binary, counts binary")
 
 
 def _frequent(counted: DataFrame) -> np.ndarray:
@@ -206,7 +206,7 @@ def index_lists(texts: DataFrame, hot: np.ndarray, size: int, percent: int, buck
         keep = count[at] > 1
         return pd.DataFrame({"token": t[keep].view(np.int64), "sid": s[keep], "n": n[keep].astype(np.int64), "pos": p[keep].astype(np.int64), "len": count[at][keep]})
 
-    posted = texts.select("sid", "text").mapInArrow(post, "bucket int, t binary, s binary, n binary, p binary")
+    posted = texts.select("sid", "text").mapInArrow(frugal(post), "bucket int, t binary, s binary, n binary, p binary")
     return stored(posted.groupBy("bucket").applyInPandas(lists, "token bigint, sid bigint, n bigint, pos bigint, len bigint"), "lists")
 
 
@@ -217,7 +217,7 @@ def sets_of(need: DataFrame, texts: DataFrame, size: int) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in b.column(1)], pa.binary())], names=["sid", "set"])
 
-    return texts.join(bounded(need, BROADCAST_IDS), "sid", "left_semi").select("sid", "text").mapInArrow(make, "sid bigint, set binary")
+    return texts.join(bounded(need, BROADCAST_IDS), "sid", "left_semi").select("sid", "text").mapInArrow(frugal(make), "sid bigint, set binary")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -236,7 +236,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
     sets = stored(sets_of(need, texts, size), "sets")
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("set").alias("sb")), "b")
-    out = stored(both.select("a", "b", "sa", "sb").mapInArrow(meet, "a bigint, b bigint, na bigint, nb bigint, common bigint"), "overlaps")
+    out = stored(both.select("a", "b", "sa", "sb").mapInArrow(frugal(meet), "a bigint, b bigint, na bigint, nb bigint, common bigint"), "overlaps")
     discard(sets)
     return out
 

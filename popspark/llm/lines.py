@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popspark.llm import wordarrays
-from popspark.llm.common import bounded, discard, stored, text_or_empty
+from popspark.llm.common import bounded, discard, frugal, give_back, stored, text_or_empty
 from popspark.llm.graph import components
 
 SIMILARITY = 0.8
@@ -180,7 +180,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([*empty, pa.array(parts, pa.int32()), _blobs(dealt.astype(np.uint32), cut, parts)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return identified(docs, F.col("doc_id"), text_or_empty().alias("text")).select("doc_id", "r1", "r2", "text").mapInArrow(run, f"doc_id {kind}, r1 bigint, r2 bigint, line int, k1 bigint, k2 bigint, bucket int, runs binary")
+    return identified(docs, F.col("doc_id"), text_or_empty().alias("text")).select("doc_id", "r1", "r2", "text").mapInArrow(frugal(run), f"doc_id {kind}, r1 bigint, r2 bigint, line int, k1 bigint, k2 bigint, bucket int, runs binary")
 
 
 def frequent(table: DataFrame) -> np.ndarray:
@@ -329,9 +329,11 @@ def meet(docs: DataFrame, rank: np.ndarray, least: float) -> DataFrame:
         out.append(_found(len(both), a=both[:, 0], b=both[:, 1]))
         whole = (token[long].astype(np.int64) << 20) | (int(part["bucket"][0].as_py()) & 0xFFFFF)
         out.append(_found(len(long), token=whole, a=ref[entry[long]], size=s[long], mark=m[long].view(np.int64)))
+        # The entries of a bucket are the largest thing that a worker holds.
+        give_back()
         return pa.concat_tables([pa.table(t) for t in out])
 
-    posted = docs.select(text_or_empty().alias("text")).mapInArrow(post, "bucket int, at bigint, token binary, line binary, tokens binary, size binary, mark binary, k1 binary, k2 binary")
+    posted = docs.select(text_or_empty().alias("text")).mapInArrow(frugal(post), "bucket int, at bigint, token binary, line binary, tokens binary, size binary, mark binary, k1 binary, k2 binary")
     return posted.groupBy("bucket").applyInArrow(gather, FOUND)
 
 
@@ -354,7 +356,7 @@ def _texts(lines: DataFrame, uniq: DataFrame, docs: DataFrame) -> DataFrame:
                 sketches = [odd[s // 8 : (s + n) // 8].tobytes() for s, n in zip(start, bits)]
                 yield pa.record_batch([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(x.size), pa.array(sketches, pa.binary())], names=["lid", "t", "n", "sketch"])
 
-    out = stored(each.mapInArrow(sketched, "lid bigint, t string, n bigint, sketch binary").dropDuplicates(["lid"]), "texts")
+    out = stored(each.mapInArrow(frugal(sketched), "lid bigint, t string, n bigint, sketch binary").dropDuplicates(["lid"]), "texts")
     discard(wanted)
     return out
 
@@ -391,7 +393,7 @@ def _verified(pairs: DataFrame, uniq: DataFrame, docs: DataFrame, least: float)
     both = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").select("a", "b", "na", "nb", "sketcha", "sketchb")
     left = stored(both.mapInArrow(passing, "a bigint, b bigint"), "passing")
     full = left.join(side("a", "t"), "a").join(side("b", "t"), "b").select("a", "b", "ta", "tb")
-    out = stored(full.mapInArrow(close, "a bigint, b bigint"), "similar")
+    out = stored(full.mapInArrow(frugal(close), "a bigint, b bigint"), "similar")
     discard(texts)
     discard(left)
     return out
