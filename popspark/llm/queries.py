@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from popspark.llm import bpe, chat, decontaminate, jaccard, licenses, lines, pii, quality, repair, separators, toxicity
+from popspark.llm import bpe, chat, decontaminate, hardneg, jaccard, licenses, lines, pii, quality, repair, separators, toxicity
 from popspark.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mined(table(spark, sf_dir, "embeddings"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.conversation_repair(table(spark, sf_dir, "conversations"))
 
@@ -66,5 +70,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_line_dedup": op10_line_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_conversation_repair": op12_conversation_repair,
 }
