@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from popspark.llm import bpe, chat, decontaminate, hardneg, jaccard, licenses, lines, pii, quality, repair, separators, toxicity
+from popspark.llm import bpe, chat, decontaminate, hardneg, jaccard, licenses, lines, pii, quality, repair, repeats, separators, toxicity
 from popspark.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.conversation_repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_chat_format": op2_chat_format,
@@ -72,4 +76,5 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_repeated_strings": op13_repeated_strings,
 }
