@@ -1,4 +1,4 @@
-"""Permutation, Monte Carlo and EM operators.
+"""Mantel, bootstrap and EM operators; ``permutation`` has the tests that shuffle individuals and gene copies.
 
 A group (population and locus, or one matrix) is one task's work; replicates of large
 tests are dealt to tasks in numbered chunks. Random numbers are seeded by the group's or
@@ -7,52 +7,19 @@ the chunk's own key, so results don't depend on partitioning.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def rng(*key) -> np.random.Generator:
-    return np.random.default_rng(zlib.crc32(repr(key).encode()))
-
-
-def _pair_score(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """n_het ln 2 - sum ln n_ij! and n_het for each row of genotypes (replicate, individual)."""
-    code = np.minimum(a, b) * k + np.maximum(a, b)
-    log_fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, code.shape[1] + 1)))])
-    het = (a != b).sum(axis=1)
-    row = np.arange(len(code))[:, None] * (k * k) + code
-    counts = np.bincount(row.ravel(), minlength=len(code) * k * k).reshape(len(code), k * k)
-    return het * np.log(2) - log_fact[counts].sum(axis=1), het
+from popspark.operators import permutation
+from popspark.operators.permutation import permuted_theta, rng  # noqa: F401
 
 
 def hwe_exact(geno: DataFrame, replicates: int = 1000) -> DataFrame:
-    """pop, locus, n, p, p_deficit, p_excess: Monte Carlo exact test, alleles shuffled and paired anew within the cell."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ind")
-        pop, locus, n = part["pop"].iloc[0], part["locus"].iloc[0], len(part)
-        codes, k = pd.factorize(pd.concat([part["a1"], part["a2"]]), sort=True)
-        k = len(k)
-        if k < 2 or n < 2:
-            return pd.DataFrame({"pop": [pop], "locus": [locus], "n": [n], "p": [None], "p_deficit": [None], "p_excess": [None]}).astype({"p": float, "p_deficit": float, "p_excess": float})
-        seen, het = _pair_score(codes[None, :n], codes[None, n:], k)
-        g, as_rare, fewer, more, step = rng("hwe", pop, locus), 0, 0, 0, max(1, min(replicates, 2_000_000 // (2 * n), 4_000_000 // (k * k)))
-        for at in range(0, replicates, step):
-            m = min(step, replicates - at)
-            copies = g.permuted(np.tile(codes, (m, 1)), axis=1)
-            score, hets = _pair_score(copies[:, :n], copies[:, n:], k)
-            as_rare += int((score <= seen[0] + 1e-12).sum())
-            fewer += int((hets <= het[0]).sum())
-            more += int((hets >= het[0]).sum())
-        p = [(x + 1) / (replicates + 1) for x in (as_rare, fewer, more)]
-        return pd.DataFrame({"pop": [pop], "locus": [locus], "n": [n], "p": [p[0]], "p_deficit": [p[1]], "p_excess": [p[2]]})
-
-    kinds = {c: geno.schema[c].dataType.simpleString() for c in ("pop", "locus")}
-    return geno.select("ind", "pop", "locus", "a1", "a2").groupBy("pop", "locus").applyInPandas(run, f"pop {kinds['pop']}, locus {kinds['locus']}, n bigint, p double, p_deficit double, p_excess double")
+    """``permutation.hwe_exact`` of individuals' genotypes, which are counted first."""
+    a, b = F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b")
+    return permutation.hwe_exact(geno.groupBy("pop", "locus", a, b).agg(F.count("*").alias("n")), replicates)
 
 
 def null_alleles_em(genotypes: DataFrame) -> DataFrame:
@@ -137,45 +104,18 @@ def bootstrap_loci(parts: DataFrame, numerator: str, denominator: str, replicate
 
     Each replicate draws as many loci as there are, by a hash of replicate and draw.
     """
-    loci = parts.select(F.row_number().over(Window.orderBy("locus")).alias("k"), F.col(numerator).alias("u"), F.col(denominator).alias("v"))
+    loci = numbered(parts.select("locus", F.col(numerator).alias("u"), F.col(denominator).alias("v")), [], F.xxhash64("locus"), "locus").select("k", "u", "v")
     n = loci.count()
     draws = parts.sparkSession.range(replicates).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
     drawn = draws.select("b", (F.pmod(F.xxhash64("b", "i", F.lit(7)), F.lit(n)) + 1).alias("k"))
-    value = drawn.join(F.broadcast(loci), "k").groupBy("b").agg((F.sum("u") / F.sum("v")).alias("t"))
+    value = drawn.join(loci, "k").groupBy("b").agg((F.sum("u") / F.sum("v")).alias("t"))
     return value.agg(F.percentile("t", 0.025).alias("low"), F.percentile("t", 0.975).alias("high"))
 
 
-def numbered(rows: DataFrame, keys: list[str], h: Column) -> DataFrame:
-    """``rows`` with k, numbers from 1 within ``keys`` by the hash ``h`` and ind: row numbers within ranges of the hash, after the counts of the ranges before."""
+def numbered(rows: DataFrame, keys: list[str], h: Column, tie: str = "ind") -> DataFrame:
+    """``rows`` with k, numbers from 1 within ``keys`` by the hash ``h`` and ``tie``: row numbers within ranges of the hash, after the counts of the ranges before."""
     rows = rows.withColumn("_h", h).withColumn("_part", F.shiftright(F.col("_h"), 56))
     before = F.coalesce(F.sum("count").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = rows.groupBy(*keys, "_part").count().select(*keys, "_part", before.alias("_before"))
-    place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_h", "ind"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_h", tie))
     return rows.join(ranges, [*keys, "_part"]).withColumn("k", F.col("_before") + place).drop("_h", "_part", "_before")
-
-
-def permuted_theta(geno: DataFrame, replicates: int = 199) -> DataFrame:
-    """theta, p: individuals are shuffled among populations, replicate by replicate; loci stay together.
-
-    Each replicate deals every individual a hash and hands out the populations' places in
-    order of it, so shuffles, counts and variance components are joins and groupings.
-    """
-    inds = geno.select("ind", "pop").distinct()
-    reps = geno.sparkSession.range(replicates + 1).select(F.col("id").cast("int").alias("b"))
-    slots = numbered(inds, [], F.xxhash64("ind")).select("pop", "k")
-    dealt = inds.select("ind").crossJoin(F.broadcast(reps)).where("b > 0")
-    dealt = numbered(dealt.select("b", "ind"), ["b"], F.xxhash64("b", "ind"))
-    moved = dealt.join(slots, "k").select("b", "ind", "pop").unionByName(inds.select(F.lit(0).alias("b"), "ind", "pop"))
-    genos = geno.select("ind", "locus", F.explode(F.array(F.struct(F.col("a1").alias("a")), F.struct(F.col("a2").alias("a")))).alias("x"), (F.col("a1") != F.col("a2")).cast("int").alias("het"))
-    counts = moved.join(genos, "ind").groupBy("b", "locus", "pop", F.col("x.a").alias("a")).agg(F.count("*").alias("c"), F.sum("het").alias("h"))
-    size = counts.groupBy("b", "locus", "pop").agg((F.sum("c") / 2).alias("n")).where("n >= 2")
-    design = size.groupBy("b", "locus").agg(F.count("*").cast("double").alias("r"), F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("s2")).where("r >= 2")
-    alleles = counts.join(size, ["b", "locus", "pop"]).groupBy("b", "locus", "a").agg(F.sum("c").alias("c"), F.sum("h").alias("h"), F.sum(F.col("c") * F.col("c") / (4 * F.col("n"))).alias("q"))
-    t = alleles.join(design, ["b", "locus"]).select("b", "r", (F.col("s") / F.col("r")).alias("nb"), ((F.col("s") - F.col("s2") / F.col("s")) / (F.col("r") - 1)).alias("nc"), (F.col("c") / (2 * F.col("s"))).alias("p"), (F.col("h") / F.col("s")).alias("hb"), "q", "s")
-    t = t.withColumn("s2", (F.col("q") - F.col("s") * F.col("p") * F.col("p")) / ((F.col("r") - 1) * F.col("nb")))
-    pq, rr = F.col("p") * (1 - F.col("p")), (F.col("r") - 1) / F.col("r")
-    a = F.col("nb") / F.col("nc") * (F.col("s2") - (pq - rr * F.col("s2") - F.col("hb") / 4) / (F.col("nb") - 1))
-    b = F.col("nb") / (F.col("nb") - 1) * (pq - rr * F.col("s2") - (2 * F.col("nb") - 1) / (4 * F.col("nb")) * F.col("hb"))
-    theta = t.groupBy("b").agg((F.sum(a) / F.sum(a + b + F.col("hb") / 2)).alias("theta"))
-    seen = theta.where("b = 0").select(F.col("theta").alias("seen"))
-    return theta.where("b > 0").crossJoin(F.broadcast(seen)).groupBy("seen").agg(((F.sum((F.col("theta") >= F.col("seen") - 1e-12).cast("int")) + 1) / (replicates + 1)).alias("p")).select(F.col("seen").alias("theta"), "p")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from popspark.dataset import from_tables, relation
 from popspark.functions.special import chi2_p
-from popspark.operators import matrices, multiple, neutrality, resampling
+from popspark.operators import association, matrices, multiple, neutrality, permutation, resampling
 
 
 def hwe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,22 @@ def permuted_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.permuted_theta(relation(spark, sf_dir, "geno"), 999)
 
 
+def amova_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.amova_tests(relation(spark, sf_dir, "geno"), 999)
+
+
+def pairwise_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.pairwise_tests(relation(spark, sf_dir, "geno"), 199)
+
+
+def multilocus_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return association.multilocus_ld(relation(spark, sf_dir, "geno"), 999)
+
+
+def pairwise_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return association.pairwise_ld(relation(spark, sf_dir, "geno"), 199)
+
+
 def theta_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = from_tables(spark, sf_dir, "theta_by_locus").select("locus", "a", (F.col("a") + F.col("b") + F.col("c")).alias("total"))
     return resampling.bootstrap_loci(parts, "a", "total", 1000)
@@ -68,4 +84,4 @@ def upgma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrices.upgma(_nei(spark, sf_dir))
 
 
-OTHER = {f.__name__: f for f in (hwe_exact, hwe_p_values, genic_differentiation, adjusted_p, fisher_combined, null_alleles_em, permuted_theta, theta_bootstrap, mantel_distance, fu_fs, pcoa_populations, neighbour_joining, upgma)}
+OTHER = {f.__name__: f for f in (hwe_exact, hwe_p_values, genic_differentiation, adjusted_p, fisher_combined, null_alleles_em, permuted_theta, amova_tests, pairwise_tests, multilocus_ld, pairwise_ld, theta_bootstrap, mantel_distance, fu_fs, pcoa_populations, neighbour_joining, upgma)}
