@@ -72,12 +72,15 @@ query(
 step("base_pairs", "SELECT x.pop AS p1, y.pop AS p2, sum(CASE WHEN x.base <> y.base THEN x.n * y.n ELSE 0e0 END) AS d FROM base_counts AS x JOIN base_counts AS y ON x.site = y.site AND x.pop <= y.pop GROUP BY x.pop, y.pop")
 step("pop_diff", "SELECT b.p1, b.p2, b.d / (x.n * CASE WHEN b.p1 = b.p2 THEN y.n - 1 ELSE y.n END) AS d FROM base_pairs AS b JOIN n_seqs AS x ON x.pop = b.p1 JOIN n_seqs AS y ON y.pop = b.p2 WHERE b.p1 <> b.p2 OR x.n > 1")
 query("dxy_da", f"""SELECT x.p1, x.p2, {r("x.d / l")} AS dxy, {r("greatest(0e0, x.d - (a.d + b.d) / 2) / l")} AS da FROM pop_diff AS x JOIN pop_diff AS a ON a.p1 = x.p1 AND a.p2 = x.p1 JOIN pop_diff AS b ON b.p1 = x.p2 AND b.p2 = x.p2 CROSS JOIN n_sites WHERE x.p1 < x.p2""")
+#: Sites are left out pair by pair: those where one of the two has none of the four bases.
+step("four_bases", "SELECT ind, site, CASE WHEN base IN ('A', 'C', 'G', 'T') THEN base END AS base FROM sites")
 step(
     "pair_types",
-    """SELECT x.ind AS i, y.ind AS j, avg(CASE WHEN concat(x.base, y.base) IN ('AG', 'GA', 'CT', 'TC') THEN 1e0 ELSE 0e0 END) AS p, avg(CASE WHEN x.base <> y.base AND concat(x.base, y.base) NOT IN ('AG', 'GA', 'CT', 'TC') THEN 1e0 ELSE 0e0 END) AS q
-    FROM kept_sites AS x JOIN kept_sites AS y ON x.site = y.site AND x.ind < y.ind GROUP BY x.ind, y.ind""",
+    """SELECT i, j, n, ti / nullif(n, 0) AS p, tv / nullif(n, 0) AS q FROM (SELECT x.ind AS i, y.ind AS j, count(concat_bases) * 1e0 AS n, count(CASE WHEN concat_bases IN ('AG', 'GA', 'CT', 'TC') THEN 1 END) AS ti,
+    count(CASE WHEN x.base <> y.base AND concat_bases NOT IN ('AG', 'GA', 'CT', 'TC') THEN 1 END) AS tv
+    FROM four_bases AS x JOIN four_bases AS y ON x.site = y.site AND x.ind < y.ind GROUP BY x.ind, y.ind) AS t""".replace("concat_bases", "x.base || y.base"),
 )
-query("k2p_distance", f"""SELECT i, j, {r("CASE WHEN 1 - 2 * p - q > 0 AND 1 - 2 * q > 0 THEN -0.5e0 * ln(1 - 2 * p - q) - 0.25e0 * ln(1 - 2 * q) ELSE 3e0 END")} AS k2p FROM pair_types""")
+query("k2p_distance", f"""SELECT i, j, {r("CASE WHEN n = 0 THEN 0e0 WHEN 1 - 2 * p - q > 0 AND 1 - 2 * q > 0 THEN -0.5e0 * ln(1 - 2 * p - q) - 0.25e0 * ln(1 - 2 * q) ELSE 3e0 END")} AS k2p FROM pair_types""")
 query(
     "phi_st_sequences",
     f"""SELECT {r("sb / (sb + msw)")} AS phi_st FROM (SELECT ((sst - ssw) / (np - 1) - ssw / (n - np)) / n0 AS sb, ssw / (n - np) AS msw FROM (SELECT t.sst, w.ssw, w.np, t.n, (t.n - w.n2 / t.n) / (w.np - 1) AS n0

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from popspark.dataset import from_tables, relation
 from popspark.functions.special import chi2_p
-from popspark.operators import association, matrices, multiple, neutrality, permutation, resampling
+from popspark.operators import association, haplotypes, matrices, multiple, neutrality, patterns, permutation, resampling
+from popspark.plans.compose import r, statement
 
 
 def hwe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +85,29 @@ def upgma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrices.upgma(_nei(spark, sf_dir))
 
 
-OTHER = {f.__name__: f for f in (hwe_exact, hwe_p_values, genic_differentiation, adjusted_p, fisher_combined, null_alleles_em, permuted_theta, amova_tests, pairwise_tests, multilocus_ld, pairwise_ld, theta_bootstrap, mantel_distance, fu_fs, pcoa_populations, neighbour_joining, upgma)}
+def _rounded(df: DataFrame, *exact: str) -> DataFrame:
+    return df.select(*(c if c in exact else (F.round(c, 6) + 0.0).alias(c) for c in df.columns))
+
+
+def dxy_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.bootstrap_dxy(relation(spark, sf_dir, "sites"), relation(spark, sf_dir, "patterns"), 1000)
+
+
+def sequence_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences whose id 100 divides, against all."""
+    return _rounded(patterns.sequence_distances(relation(spark, sf_dir, "sites"), relation(spark, sf_dir, "patterns"), 100), "i", "j", "compared")
+
+
+#: DuckDB SQL written apart from the Spark code.
+SQL = {
+    "haplotype_em": haplotypes.duck_sql(),
+    "sequence_distances": statement(
+        f"""SELECT i, j, n AS compared, {r("(ti + tv) / nullif(n * 1e0, 0)")} AS p, {r("CASE WHEN n = 0 THEN 0e0 WHEN 1 - (2 * ti + tv) / n > 0 AND 1 - 2 * tv / n > 0 THEN -0.5e0 * ln(1 - (2 * ti + tv) / n) - 0.25e0 * ln(1 - 2 * tv / n) ELSE 3e0 END")} AS k2p
+        FROM (SELECT x.ind AS i, y.ind AS j, count(CASE WHEN x.base IN ('A', 'C', 'G', 'T') AND y.base IN ('A', 'C', 'G', 'T') THEN 1 END) AS n,
+        count(CASE WHEN concat(x.base, y.base) IN ('AG', 'GA', 'CT', 'TC') THEN 1 END) AS ti, count(CASE WHEN concat(x.base, y.base) IN ('AC', 'CA', 'AT', 'TA', 'GC', 'CG', 'GT', 'TG') THEN 1 END) AS tv
+        FROM sites AS x JOIN sites AS y ON x.site = y.site AND x.ind % 100 = 0 AND (x.ind < y.ind OR y.ind % 100 <> 0) AND x.ind <> y.ind GROUP BY x.ind, y.ind) AS t""",
+        "duckdb",
+    ),
+}
+
+OTHER = {f.__name__: f for f in (hwe_exact, hwe_p_values, genic_differentiation, adjusted_p, fisher_combined, null_alleles_em, permuted_theta, amova_tests, pairwise_tests, multilocus_ld, pairwise_ld, dxy_bootstrap, sequence_distances, theta_bootstrap, mantel_distance, fu_fs, pcoa_populations, neighbour_joining, upgma)}
