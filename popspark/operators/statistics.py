@@ -13,6 +13,7 @@ step("histogram_scale", "SELECT trait, min(v) AS low, max(v) AS high, least(30,
 query("trait_histogram", "SELECT trait, class, count(*) AS n FROM (SELECT t.trait, CAST(least(s.k - 1, floor((t.v - s.low) / (s.high - s.low) * s.k)) AS BIGINT) AS class FROM traits AS t JOIN histogram_scale AS s ON s.trait = t.trait) AS x GROUP BY trait, class")
 step("quartiles", "SELECT pop, trait, $q(v, 0.25)$ AS q1, $q(v, 0.75)$ AS q3 FROM traits GROUP BY pop, trait")
 query("trait_box", f"""SELECT t.pop, t.trait, {r("min(CASE WHEN t.v >= q1 - 1.5e0 * (q3 - q1) THEN t.v END)")} AS low, {r("max(CASE WHEN t.v <= q3 + 1.5e0 * (q3 - q1) THEN t.v END)")} AS high, count(CASE WHEN t.v < q1 - 1.5e0 * (q3 - q1) OR t.v > q3 + 1.5e0 * (q3 - q1) THEN 1 END) AS outliers FROM traits AS t JOIN quartiles AS q ON q.pop = t.pop AND q.trait = t.trait GROUP BY t.pop, t.trait""")
-step("wide", "SELECT ind, max(pop) AS pop, max(CASE WHEN trait = 'size' THEN v END) AS x, max(CASE WHEN trait = 'price' THEN v END) AS y FROM traits GROUP BY ind")
-step("ranked", "SELECT pop, x, y, rank() OVER (PARTITION BY pop ORDER BY x) + (count(*) OVER (PARTITION BY pop, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY pop ORDER BY y) + (count(*) OVER (PARTITION BY pop, y) - 1) / 2e0 AS ry FROM wide")
-query("trait_correlation", f"""SELECT pop, {r("corr(x, y)")} AS pearson, {r("corr(rx, ry)")} AS spearman FROM ranked GROUP BY pop""")
+#: Every two traits of an individual, whatever their names.
+step("trait_pairs", "SELECT x.ind, x.pop, x.trait AS t1, y.trait AS t2, x.v AS x, y.v AS y FROM traits AS x JOIN traits AS y ON x.ind = y.ind AND x.trait < y.trait WHERE x.v IS NOT NULL AND y.v IS NOT NULL")
+step("ranked", "SELECT pop, t1, t2, x, y, rank() OVER (PARTITION BY pop, t1, t2 ORDER BY x) + (count(*) OVER (PARTITION BY pop, t1, t2, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY pop, t1, t2 ORDER BY y) + (count(*) OVER (PARTITION BY pop, t1, t2, y) - 1) / 2e0 AS ry FROM trait_pairs")
+query("trait_correlation", f"""SELECT pop, t1, t2, {r("corr(x, y)")} AS pearson, {r("corr(rx, ry)")} AS spearman FROM ranked GROUP BY pop, t1, t2""")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popspark.dataset import from_tables, relation
+from popspark.dataset import Dataset, from_tables, relation
 from popspark.functions.special import chi2_p
-from popspark.operators import association, haplotypes, matrices, multiple, neutrality, patterns, permutation, resampling
+from popspark.operators import association, family, haplotypes, matrices, multiple, neutrality, patterns, permutation, resampling
 from popspark.plans.compose import r, statement
 
 
@@ -98,6 +98,29 @@ def sequence_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(patterns.sequence_distances(relation(spark, sf_dir, "sites"), relation(spark, sf_dir, "patterns"), 100), "i", "j", "compared")
 
 
+def _family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = relation(spark, sf_dir, "cell_stats").select("pop", "locus", F.col("na").alias("k"))
+    return family.hwe_family(hwe_exact(spark, sf_dir), from_tables(spark, sf_dir, "fis_nei_chesser"), null_alleles_em(spark, sf_dir), kinds)
+
+
+def hwe_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _family(spark, sf_dir)
+
+
+def hwe_by_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return family.by_population(_family(spark, sf_dir))
+
+
+def hwe_by_locus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return family.by_locus(_family(spark, sf_dir))
+
+
+def theta_without_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multilocus theta without the loci that are suspected of null alleles."""
+    suspect = family.by_locus(_family(spark, sf_dir)).where("suspect_null")
+    return Dataset(spark, geno=family.without_loci(relation(spark, sf_dir, "geno"), suspect)).result("theta_multilocus")
+
+
 #: DuckDB SQL written apart from the Spark code.
 SQL = {
     "haplotype_em": haplotypes.duck_sql(),
@@ -110,4 +133,4 @@ SQL = {
     ),
 }
 
-OTHER = {f.__name__: f for f in (hwe_exact, hwe_p_values, genic_differentiation, adjusted_p, fisher_combined, null_alleles_em, permuted_theta, amova_tests, pairwise_tests, multilocus_ld, pairwise_ld, dxy_bootstrap, sequence_distances, theta_bootstrap, mantel_distance, fu_fs, pcoa_populations, neighbour_joining, upgma)}
+OTHER = {f.__name__: f for f in (hwe_exact, hwe_p_values, genic_differentiation, adjusted_p, fisher_combined, null_alleles_em, permuted_theta, amova_tests, pairwise_tests, multilocus_ld, pairwise_ld, dxy_bootstrap, sequence_distances, hwe_family, hwe_by_population, hwe_by_locus, theta_without_nulls, theta_bootstrap, mantel_distance, fu_fs, pcoa_populations, neighbour_joining, upgma)}

@@ -2,7 +2,7 @@
 
 A sheet is what ``readers.delimited`` gives: file, row (0 the header), cells. ``cells`` turns it
 into one row per individual and data column; the functions below it read these as bands, haploid
-loci, whole genotypes, traits or sequences. The number of an individual (``ind``) is its row, as ids
+loci, whole genotypes, traits or sequences. The number of an individual (``ind``) is its row, counted on from file to file, as ids
 may repeat. A cell that can't be read counts as missing and is listed by ``issues``.
 
 Short rows have missing cells at their end, a blank column name gets a number, empty sheets give
@@ -48,7 +48,7 @@ def column_names(rows: DataFrame, labels: list[int], fallback: str = "L") -> Dat
 
 
 def cells(rows: DataFrame, roles: Mapping[str, int], ignored: tuple[int, ...] = (), missing_code: str | None = None, fallback: str = "L") -> DataFrame:
-    """file, ind, id, pop, region, lat, lon, col, name, v: each data cell, null where it is missing. ``roles`` gives the columns of LABELS."""
+    """file, row, ind, id, pop, region, lat, lon, col, name, v: each data cell, null where it is missing. ``roles`` gives the columns of LABELS."""
     labels = [*roles.values(), *ignored]
     names = column_names(rows, labels, fallback)
 
@@ -56,11 +56,14 @@ def cells(rows: DataFrame, roles: Mapping[str, int], ignored: tuple[int, ...] =
         cell = F.get("cells", F.lit(roles[role])) if role in roles else F.lit(None).cast("string")
         return F.when(~missing(cell, ""), F.trim(cell))
 
-    body = rows.where("row > 0").join(names, "file")
-    wide = body.select("file", F.col("row").alias("ind"), *[(number(label(c)) if c in ("lat", "lon") else label(c)).alias(c) for c in LABELS], "cells", "names")
+    # Individuals of a file are numbered after those of the files before it; the window has a row per file.
+    last = rows.groupBy("file").agg(F.max("row").alias("last"))
+    before = last.select("file", (F.sum("last").over(Window.orderBy("file")) - F.col("last")).alias("before"))
+    body = rows.where("row > 0").join(names, "file").join(before, "file")
+    wide = body.select("file", "row", (F.col("row") + F.col("before")).cast(rows.schema["row"].dataType).alias("ind"), *[(number(label(c)) if c in ("lat", "lon") else label(c)).alias(c) for c in LABELS], "cells", "names")
     # All columns of the header, so that a short row has its missing cells too.
     each = F.expr("transform(sequence(0, greatest(size(names), 1) - 1), i -> struct(i AS col, get(names, i) AS name, trim(get(cells, i)) AS v))")
-    long = wide.select("file", "ind", *LABELS, F.inline(each)).where("name IS NOT NULL")
+    long = wide.select("file", "row", "ind", *LABELS, F.inline(each)).where("name IS NOT NULL")
     long = long.where(~F.col("col").isin(labels)) if labels else long
     return long.withColumn("v", F.when(~missing(F.col("v"), missing_code or ""), F.col("v")))
 
@@ -149,8 +152,8 @@ def places(sheet: DataFrame) -> DataFrame:
 def issues(sheet: DataFrame, kind: str) -> DataFrame:
     """issue, level, n, examples (the first EXAMPLES, by row and column) of ``cells`` read as ``kind``: bands, haploid, genotypes, traits or sequences."""
     v, there = F.col("v"), F.col("v").isNotNull()
-    cell = F.concat_ws(" ", F.lit("row"), F.col("ind") + 1, "name", v)
-    person = F.concat_ws(" ", F.lit("row"), F.col("ind") + 1, "id")
+    cell = F.concat_ws(" ", F.lit("row"), F.col("row") + 1, "name", v)
+    person = F.concat_ws(" ", F.lit("row"), F.col("row") + 1, "id")
     wrong = {
         "bands": {"badBand": there & ~v.isin("0", "1")},
         "haploid": {"twoAllelesHaploid": v.rlike("[/|]")},
@@ -167,7 +170,7 @@ def issues(sheet: DataFrame, kind: str) -> DataFrame:
         split = sheet.select("*", F.explode(split_genotype(v)).alias("allele"))
         odd = mixed_codes(sheet.select(F.col("name").alias("locus"), split_genotype(v).alias("g")).where("g IS NOT NULL").select("locus", F.col("g")[0].alias("a1"), F.col("g")[1].alias("a2")))
         found.append(split.join(odd.select(F.col("locus").alias("name"), "allele"), ["name", "allele"], "left_semi").select(F.lit("mixedCodes").alias("issue"), "ind", "col", cell.alias("example")).distinct())
-    people = sheet.groupBy("file", "ind", "id", "pop", "lat", "lon").agg(F.count("v").alias("scored"))
+    people = sheet.groupBy("file", "row", "ind", "id", "pop", "lat", "lon").agg(F.count("v").alias("scored"))
     again = people.where("id IS NOT NULL").withColumn("times", F.count("*").over(Window.partitionBy("file", "id"))).where("times > 1")
     outside = F.coalesce(~F.col("lat").between(-90, 90), F.lit(False)) | F.coalesce(~F.col("lon").between(-180, 180), F.lit(False))
     of_people = {"emptyRow": people.where("scored = 0"), "dupId": again, "noPop": people.where("pop IS NULL"), "coordRange": people.where(outside)}
