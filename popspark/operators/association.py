@@ -165,7 +165,7 @@ def _measured(geno: DataFrame, replicates: int, pairwise: bool, pooled: bool) ->
     def named(a: pa.Table, b: pa.Table) -> pa.Table:
         return run(a, b.rename_columns([c.removeprefix("u_") for c in b.column_names]))
 
-    done = kept(first.groupBy(*keys).cogroup(units.groupBy(*(f"u_{k}" for k in keys))).applyInArrow(named, "name string, b int, people bigint, kinds array<struct<nth:int,code:int,a:string,b:string,n:bigint>>, measures array<double>, tables binary"))
+    done = kept(first.repartition(GROUPS, *keys).groupBy(*keys).cogroup(units.repartition(GROUPS, *(f"u_{k}" for k in keys)).groupBy(*(f"u_{k}" for k in keys))).applyInArrow(named, "name string, b int, people bigint, kinds array<struct<nth:int,code:int,a:string,b:string,n:bigint>>, measures array<double>, tables binary"))
 
     def joined(rows: pa.Table) -> pa.Table:
         x = classes_of(rows["kinds"][0].as_py(), rows["people"][0].as_py())

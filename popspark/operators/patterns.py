@@ -89,7 +89,7 @@ def bootstrap_dxy(sites: DataFrame, patterns: DataFrame, replicates: int = 1000)
         sums = np.vstack([w[None] @ d, sums]) if part == 0 else sums
         return pa.table({"b": pa.array(b, pa.int32()), "sums": pa.array(sums.tolist(), pa.list_(pa.float64()))})
 
-    made = units.groupBy("chunk", "part").applyInArrow(run, "b int, sums array<double>")
+    made = units.repartition(GROUPS, "chunk", "part").groupBy("chunk", "part").applyInArrow(run, "b int, sums array<double>")
     d = made.select("b", F.posexplode("sums").alias("k", "v")).groupBy("b", "k").agg((F.sum("v") / total).alias("d"))
     d = kept(d.select("b", (F.col("k") / width).cast("int").alias("x"), (F.col("k") % width).alias("y"), "d"))
     own = d.where("x = y").select("b", "x", F.col("d").alias("own"))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from popspark.plans.working import kept
 
 #: Individuals of a chunk (about), most chunks of a case, cells of counts in a block, groups of work that a test aims at.
+#: Work is dealt to that many tasks by number, as its rows are too few bytes for Spark to split them by size.
 CHUNK, CHUNKS, CELLS, GROUPS = 8192, 256, 1 << 20, 64
 NEAR = 1e-12
 
@@ -215,6 +216,7 @@ def permuted_counts(members: DataFrame, coded: Coded, replicates: int, labels: i
 
     keys = ["name", "block", "chunk", "part"]
     units = units.toDF("name", "block", "loci", "design", "chunks", "chunk", "part", "parts")
+    rows, units = rows.repartition(GROUPS, *keys), units.repartition(GROUPS, *keys)
     return rows.groupBy(*keys).cogroup(units.groupBy(*keys)).applyInArrow(lambda a, b: run(a, b) if b.num_rows and a.num_rows else out.empty_table(), "name string, block int, b int, loci array<int>, counts binary")
 
 
@@ -233,7 +235,7 @@ def statistics(counts: DataFrame, labels: int, cases: int, parts: Callable[[str,
             made += parts(rows["name"][0].as_py(), b, Alleles(both.sum(axis=2), both[:, :, 1], locus))
         return pa.table({"name": [m[0] for m in made], "b": pa.array([m[1] for m in made], pa.int32()), "parts": pa.array([m[2].tolist() for m in made], pa.list_(pa.float64()))})
 
-    grouped = counts.withColumn("slice", F.col("b") % slices).groupBy("name", "block", "slice")
+    grouped = counts.withColumn("slice", F.col("b") % slices).repartition(GROUPS, "name", "block", "slice").groupBy("name", "block", "slice")
     per_block = grouped.applyInArrow(run, "name string, b int, parts array<double>")
     added = per_block.select("name", "b", F.posexplode("parts").alias("k", "v")).groupBy("name", "b", "k").agg(F.sum("v").alias("v"))
     return added.groupBy("name", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("parts"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from popspark.dataset import Dataset, from_tables, relation
 from popspark.functions.special import chi2_p
-from popspark.operators import association, family, haplotypes, matrices, multiple, neutrality, patterns, permutation, resampling
+from popspark.operators import association, family, haplotypes, matrices, multiple, neutrality, patterns, permutation, resampling, spatial
 from popspark.plans.compose import r, statement
 
 
@@ -121,6 +121,14 @@ def theta_without_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Dataset(spark, geno=family.without_loci(relation(spark, sf_dir, "geno"), suspect)).result("theta_multilocus")
 
 
+def correlogram_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.correlogram(spatial.genotype_scores(relation(spark, sf_dir, "geno")), relation(spark, sf_dir, "places"), 999)[0]
+
+
+def kinship_slope_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.correlogram(spatial.genotype_scores(relation(spark, sf_dir, "geno")), relation(spark, sf_dir, "places"), 499)[1]
+
+
 #: DuckDB SQL written apart from the Spark code.
 SQL = {
     "haplotype_em": haplotypes.duck_sql(),
@@ -133,4 +141,4 @@ SQL = {
     ),
 }
 
-OTHER = {f.__name__: f for f in (hwe_exact, hwe_p_values, genic_differentiation, adjusted_p, fisher_combined, null_alleles_em, permuted_theta, amova_tests, pairwise_tests, multilocus_ld, pairwise_ld, dxy_bootstrap, sequence_distances, hwe_family, hwe_by_population, hwe_by_locus, theta_without_nulls, theta_bootstrap, mantel_distance, fu_fs, pcoa_populations, neighbour_joining, upgma)}
+OTHER = {f.__name__: f for f in (hwe_exact, hwe_p_values, genic_differentiation, adjusted_p, fisher_combined, null_alleles_em, permuted_theta, amova_tests, pairwise_tests, multilocus_ld, pairwise_ld, dxy_bootstrap, sequence_distances, hwe_family, hwe_by_population, hwe_by_locus, theta_without_nulls, correlogram_envelope, kinship_slope_test, theta_bootstrap, mantel_distance, fu_fs, pcoa_populations, neighbour_joining, upgma)}
