@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from popspark.dataset import Dataset, from_tables, relation
 from popspark.functions.special import chi2_p
-from popspark.operators import association, family, haplotypes, matrices, multiple, neutrality, patterns, permutation, resampling, spatial
+from popspark.operators import association, family, haplotypes, matrices, multiple, neutrality, patterns, permutation, ranks, resampling, spatial
 from popspark.plans.compose import r, statement
 
 
@@ -129,6 +129,17 @@ def kinship_slope_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.correlogram(spatial.genotype_scores(relation(spark, sf_dir, "geno")), relation(spark, sf_dir, "places"), 499)[1]
 
 
+def heterozygosity_signed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether expected exceeds observed heterozygosity over the loci of a population."""
+    cells = relation(spark, sf_dir, "cell_stats").select(F.col("pop").alias("key"), F.round(F.col("he") - F.col("ho"), 9).alias("v"))
+    return _rounded(ranks.signed_rank(cells), "key", "n").withColumnRenamed("key", "pop")
+
+
+def trait_hpd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest intervals of 95 % of each trait's values."""
+    return ranks.hpd(relation(spark, sf_dir, "traits").select(F.col("trait").alias("key"), "v")).withColumnRenamed("key", "trait")
+
+
 #: DuckDB SQL written apart from the Spark code.
 SQL = {
     "haplotype_em": haplotypes.duck_sql(),
@@ -139,6 +150,12 @@ SQL = {
         FROM sites AS x JOIN sites AS y ON x.site = y.site AND x.ind % 100 = 0 AND (x.ind < y.ind OR y.ind % 100 <> 0) AND x.ind <> y.ind GROUP BY x.ind, y.ind) AS t""",
         "duckdb",
     ),
+    "trait_hpd": statement(
+        """SELECT trait, n, low, high FROM (SELECT x.trait, x.n, x.v AS low, y.v AS high, row_number() OVER (PARTITION BY x.trait ORDER BY y.v - x.v, x.v) AS first
+        FROM spread AS x JOIN spread AS y ON x.trait = y.trait AND y.k = x.k + greatest(1, CAST(floor(0.95e0 * x.n) AS BIGINT)) - 1) AS s WHERE first = 1""",
+        "duckdb",
+        {"spread": "SELECT trait, v, row_number() OVER (PARTITION BY trait ORDER BY v) AS k, count(*) OVER (PARTITION BY trait) AS n FROM traits"},
+    ),
 }
 
-OTHER = {f.__name__: f for f in (hwe_exact, hwe_p_values, genic_differentiation, adjusted_p, fisher_combined, null_alleles_em, permuted_theta, amova_tests, pairwise_tests, multilocus_ld, pairwise_ld, dxy_bootstrap, sequence_distances, hwe_family, hwe_by_population, hwe_by_locus, theta_without_nulls, correlogram_envelope, kinship_slope_test, theta_bootstrap, mantel_distance, fu_fs, pcoa_populations, neighbour_joining, upgma)}
+OTHER = {f.__name__: f for f in (hwe_exact, hwe_p_values, genic_differentiation, adjusted_p, fisher_combined, null_alleles_em, permuted_theta, amova_tests, pairwise_tests, multilocus_ld, pairwise_ld, dxy_bootstrap, sequence_distances, hwe_family, hwe_by_population, hwe_by_locus, theta_without_nulls, correlogram_envelope, kinship_slope_test, heterozygosity_signed_rank, trait_hpd, theta_bootstrap, mantel_distance, fu_fs, pcoa_populations, neighbour_joining, upgma)}
