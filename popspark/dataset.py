@@ -24,9 +24,13 @@ class Dataset:
         return self.spark.sql(statement(QUERIES[name], "spark", views), **{f"{k}_df": v for k, v in self.relations.items()})
 
 
+#: Distances between individuals, as registered queries: ids that this divides, against all.
+EVERY = 100
+
+
 def from_tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An operator's result over the adapter views of the tables in ``sf_dir``."""
-    return _over_tables(spark, sf_dir, statement(QUERIES[name], "spark"))
+    return _over_tables(spark, sf_dir, statement(QUERIES[name], "spark", every=EVERY))
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,4 +50,4 @@ def _named(sql: str, table: str) -> str:
 
 
 def duck_sql(name: str) -> str:
-    return statement(QUERIES[name], "duckdb")
+    return statement(QUERIES[name], "duckdb", every=EVERY)

@@ -78,7 +78,7 @@ step(
     "pair_types",
     """SELECT i, j, n, ti / nullif(n, 0) AS p, tv / nullif(n, 0) AS q FROM (SELECT x.ind AS i, y.ind AS j, count(concat_bases) * 1e0 AS n, count(CASE WHEN concat_bases IN ('AG', 'GA', 'CT', 'TC') THEN 1 END) AS ti,
     count(CASE WHEN x.base <> y.base AND concat_bases NOT IN ('AG', 'GA', 'CT', 'TC') THEN 1 END) AS tv
-    FROM four_bases AS x JOIN four_bases AS y ON x.site = y.site AND x.ind < y.ind GROUP BY x.ind, y.ind) AS t""".replace("concat_bases", "x.base || y.base"),
+    FROM four_bases AS x JOIN four_bases AS y ON x.site = y.site AND $asked(x ; y)$ GROUP BY x.ind, y.ind) AS t""".replace("concat_bases", "x.base || y.base"),
 )
 query("k2p_distance", f"""SELECT i, j, {r("CASE WHEN n = 0 THEN 0e0 WHEN 1 - 2 * p - q > 0 AND 1 - 2 * q > 0 THEN -0.5e0 * ln(1 - 2 * p - q) - 0.25e0 * ln(1 - 2 * q) ELSE 3e0 END")} AS k2p FROM pair_types""")
 query(

@@ -21,9 +21,9 @@ query("trait_correlation", f"""SELECT pop, t1, t2, {r("corr(x, y)")} AS pearson,
 step("met", "SELECT locus, pop, allele, count(*) * 1e0 AS n FROM hap WHERE pop IS NOT NULL AND allele IS NOT NULL GROUP BY locus, pop, allele")
 step("met_a", "SELECT locus, sum(n * n) AS s FROM (SELECT locus, pop, sum(n) AS n FROM met GROUP BY locus, pop) AS x GROUP BY locus")
 step("met_b", "SELECT locus, sum(n * n) AS s FROM (SELECT locus, allele, sum(n) AS n FROM met GROUP BY locus, allele) AS x GROUP BY locus")
-step("met_all", "SELECT m.locus, m.n, (m.s - m.n) / 2 AS both, (a.s - m.n) / 2 AS a, (b.s - m.n) / 2 AS b, m.n * (m.n - 1) / 2 AS pairs FROM (SELECT locus, sum(n) AS n, sum(n * n) AS s FROM met GROUP BY locus) AS m JOIN met_a AS a ON a.locus = m.locus JOIN met_b AS b ON b.locus = m.locus")
+step("met_all", "SELECT m.locus, m.n, (m.s - m.n) / 2 AS shared, (a.s - m.n) / 2 AS a, (b.s - m.n) / 2 AS b, m.n * (m.n - 1) / 2 AS pairs FROM (SELECT locus, sum(n) AS n, sum(n * n) AS s FROM met GROUP BY locus) AS m JOIN met_a AS a ON a.locus = m.locus JOIN met_b AS b ON b.locus = m.locus")
 query(
     "partition_agreement",
-    f"""SELECT locus, CAST(n AS BIGINT) AS n, {r("CASE WHEN (a + b) / 2 - a * b / pairs = 0 THEN 1e0 ELSE (both - a * b / pairs) / ((a + b) / 2 - a * b / pairs) END")} AS rand_adjusted,
-    {r("CASE WHEN a > 0 AND b > 0 THEN both / sqrt(a * b) ELSE 0e0 END")} AS fowlkes_mallows FROM met_all WHERE pairs > 0""",
+    f"""SELECT locus, CAST(n AS BIGINT) AS n, {r("CASE WHEN (a + b) / 2 - a * b / pairs = 0 THEN 1e0 ELSE (shared - a * b / pairs) / ((a + b) / 2 - a * b / pairs) END")} AS rand_adjusted,
+    {r("CASE WHEN a > 0 AND b > 0 THEN shared / sqrt(a * b) ELSE 0e0 END")} AS fowlkes_mallows FROM met_all WHERE pairs > 0""",
 )

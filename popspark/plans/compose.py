@@ -31,7 +31,9 @@ def series(low: str, high: str) -> str:
     return f"$series({low} ; {high})$"
 
 
-def _series_for(engine: str, sql: str) -> str:
+def _series_for(engine: str, sql: str, every: int = 1) -> str:
+    first = r"\1.ind < \2.ind" if every == 1 else rf"\1.ind % {every} = 0 AND \1.ind <> \2.ind AND (\1.ind < \2.ind OR \2.ind % {every} <> 0)"
+    sql = re.sub(r"\$asked\((\w+) ; (\w+)\)\$", first, sql)
     made = r"explode(sequence(\1, \2))" if engine == "spark" else r"unnest(range(\1, \2 + 1))"
     sql = re.sub(r"\$at\((.*?)\)\$", r"element_at(\1)" if engine == "spark" else r"list_extract(\1)", sql)
     sql = re.sub(r"\$q\((.*?), ([0-9.]+)\)\$", r"percentile(\1, \2)" if engine == "spark" else r"quantile_cont(\1, \2)", sql)
@@ -44,8 +46,11 @@ def _series_for(engine: str, sql: str) -> str:
     return re.sub(r"\$series\(([^;]*?) ; ([^;]*?)\)\$", made, sql)
 
 
-def statement(select: str, engine: str = "spark", given: dict[str, str] | None = None) -> str:
-    """One statement with all steps that ``select`` names, directly or through others; ``given`` replaces steps."""
+def statement(select: str, engine: str = "spark", given: dict[str, str] | None = None, every: int = 1) -> str:
+    """One statement with all steps that ``select`` names, directly or through others; ``given`` replaces steps.
+
+    ``every``: pairs of individuals (``$asked(x ; y)$``) are all pairs, or those of the ids that it divides with all others.
+    """
     known = STEPS | (given or {})
     order: list[str] = []
 
@@ -58,4 +63,4 @@ def statement(select: str, engine: str = "spark", given: dict[str, str] | None =
 
     need(select)
     text = "WITH " + ",\n".join(f"{w} AS ({known[w]})" for w in order) + "\n" + select if order else select
-    return _series_for(engine, text)
+    return _series_for(engine, text, every)

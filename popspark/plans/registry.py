@@ -150,6 +150,17 @@ SQL = {
         FROM sites AS x JOIN sites AS y ON x.site = y.site AND x.ind % 100 = 0 AND (x.ind < y.ind OR y.ind % 100 <> 0) AND x.ind <> y.ind GROUP BY x.ind, y.ind) AS t""",
         "duckdb",
     ),
+    "heterozygosity_signed_rank": statement(
+        f"""SELECT pop, n, {r("w / 2")} AS w, {r("avg(CASE WHEN x >= w THEN 1e0 ELSE 0e0 END)")} AS p_excess, {r("avg(CASE WHEN x <= w THEN 1e0 ELSE 0e0 END)")} AS p_deficit,
+        {r("least(1e0, 2 * least(avg(CASE WHEN x >= w THEN 1e0 ELSE 0e0 END), avg(CASE WHEN x <= w THEN 1e0 ELSE 0e0 END)))")} AS p_two
+        FROM (SELECT pop, n, w, list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN ranks[i] ELSE 0 END)) AS x
+        FROM (SELECT *, unnest(range(0, CAST(power(2, n) AS BIGINT))) AS mask FROM signed) AS m) AS s GROUP BY pop, n, w""",
+        "duckdb",
+        {
+            "differing": "SELECT pop, round(he - ho, 9) AS v FROM cell_stats WHERE round(he - ho, 9) <> 0",
+            "signed": "SELECT pop, count(*) AS n, list(k) AS ranks, sum(CASE WHEN v > 0 THEN k ELSE 0 END) * 1e0 AS w FROM (SELECT pop, v, 2 * rank() OVER (PARTITION BY pop ORDER BY abs(v)) + count(*) OVER (PARTITION BY pop, abs(v)) - 1 AS k FROM differing) AS x GROUP BY pop HAVING count(*) BETWEEN 4 AND 20",
+        },
+    ),
     "trait_hpd": statement(
         """SELECT trait, n, low, high FROM (SELECT x.trait, x.n, x.v AS low, y.v AS high, row_number() OVER (PARTITION BY x.trait ORDER BY y.v - x.v, x.v) AS first
         FROM spread AS x JOIN spread AS y ON x.trait = y.trait AND y.k = x.k + greatest(1, CAST(floor(0.95e0 * x.n) AS BIGINT)) - 1) AS s WHERE first = 1""",
