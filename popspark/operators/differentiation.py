@@ -1,6 +1,6 @@
 """Hardy-Weinberg, F-statistics, AMOVA and multiple testing."""
 
-from popspark.plans.compose import query, r, step
+from popspark.plans.compose import query, r, series, step
 
 query("genotype_table", "SELECT pop, locus, least(a1, a2) AS a, greatest(a1, a2) AS b, count(*) AS n FROM geno GROUP BY pop, locus, least(a1, a2), greatest(a1, a2)")
 step("genotypes", "SELECT pop, locus, least(a1, a2) AS a, greatest(a1, a2) AS b, count(*) AS n FROM geno GROUP BY pop, locus, least(a1, a2), greatest(a1, a2)")
@@ -122,3 +122,14 @@ step("hap_var", "SELECT m.locus, w.r, w.nb, w.nc, m.pb, (m.cp - w.r * w.nb * m.p
 step("hap_parts", "SELECT locus, sum(nb / nc * (s2 - (pb * (1 - pb) - (r - 1) / r * s2) / (nb - 1))) AS a, sum(nb / (nb - 1) * (pb * (1 - pb) - (r - 1) / r * s2)) AS b FROM hap_var GROUP BY locus")
 query("haploid_theta_by_locus", f"""SELECT locus, {r("a")} AS a, {r("b")} AS b, {r("a / nullif(a + b, 0)")} AS theta FROM hap_parts""")
 query("haploid_theta", f"""SELECT {r("theta")} AS theta, {r("CASE WHEN theta > 0 THEN (1 - theta) / (2 * theta) END")} AS nm FROM (SELECT sum(a) / nullif(sum(a + b), 0) AS theta FROM hap_parts) AS x""")
+
+#: Degrees of freedom of the hierarchical design with complete data, and in how many ways the populations can be shared among regions of these sizes (regions of one size are interchangeable).
+step("design_pops", "SELECT pop, min(region) AS region, count(DISTINCT ind) AS n FROM geno WHERE pop IS NOT NULL GROUP BY pop HAVING count(DISTINCT ind) >= 2")
+step("design_regions", "SELECT region, count(*) AS n FROM design_pops WHERE region IS NOT NULL GROUP BY region")
+step("log_factorials", f"SELECT part, sum(ln(i)) AS v FROM (SELECT 'all' AS part, {series('1', 'n')} AS i FROM (SELECT count(*) AS n FROM design_pops) AS p UNION ALL SELECT 'sizes', {series('1', 'n')} FROM design_regions UNION ALL SELECT 'alike', {series('1', 'n')} FROM (SELECT count(*) AS n FROM design_regions GROUP BY n) AS r) AS x GROUP BY part")
+query(
+    "amova_design",
+    """SELECT n_inds, n_pops, n_regions, n_regions - 1 AS df_regions, n_pops - n_regions AS df_pops, n_inds - n_pops AS df_individuals, n_inds AS df_within, 2 * n_inds - 1 AS df_total,
+    CAST(round(exp((SELECT v FROM log_factorials WHERE part = 'all') - (SELECT v FROM log_factorials WHERE part = 'sizes') - (SELECT v FROM log_factorials WHERE part = 'alike'))) AS DOUBLE) AS arrangements
+    FROM (SELECT CAST(sum(n) AS BIGINT) AS n_inds, count(*) AS n_pops, (SELECT count(*) FROM design_regions) AS n_regions FROM design_pops) AS d""",
+)

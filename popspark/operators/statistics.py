@@ -1,6 +1,6 @@
 """Descriptive statistics of traits."""
 
-from popspark.plans.compose import query, r, step
+from popspark.plans.compose import query, r, series, step
 
 query("trait_quantiles", f"""SELECT pop, trait, {r("$q(v, 0.25)$")} AS q1, {r("$q(v, 0.5)$")} AS median, {r("$q(v, 0.75)$")} AS q3 FROM traits GROUP BY pop, trait""")
 step("medians", "SELECT pop, trait, $q(v, 0.5)$ AS m FROM traits GROUP BY pop, trait")
@@ -27,3 +27,15 @@ query(
     f"""SELECT locus, CAST(n AS BIGINT) AS n, {r("CASE WHEN (a + b) / 2 - a * b / pairs = 0 THEN 1e0 ELSE (shared - a * b / pairs) / ((a + b) / 2 - a * b / pairs) END")} AS rand_adjusted,
     {r("CASE WHEN a > 0 AND b > 0 THEN shared / sqrt(a * b) ELSE 0e0 END")} AS fowlkes_mallows FROM met_all WHERE pairs > 0""",
 )
+#: Gaussian kernel density of each trait on POINTS points from its least to its greatest value, with the usual rule for the width.
+POINTS = 64
+step("kernel_width", "SELECT trait, n, low, high, CASE WHEN h > 0 THEN h ELSE 1e0 END AS h FROM (SELECT trait, n, low, high, 0.9e0 * least(sd, CASE WHEN iqr > 0 THEN iqr / 1.34e0 ELSE sd END) * power(n, -0.2e0) AS h FROM (SELECT trait, count(*) * 1e0 AS n, min(v) AS low, max(v) AS high, coalesce(stddev_samp(v), 0e0) AS sd, $q(v, 0.75)$ - $q(v, 0.25)$ AS iqr FROM traits WHERE v IS NOT NULL GROUP BY trait) AS x) AS y")
+step("kernel_grid", f"SELECT trait, n, h, i, low + (high - low) * i / ({POINTS - 1} * 1e0) AS x FROM (SELECT trait, n, h, low, high, {series('0', str(POINTS - 1))} AS i FROM kernel_width) AS g")
+query("trait_density", f"""SELECT g.trait, g.i AS point, {r("max(g.x)")} AS x, {r("sum(exp(-0.5e0 * (g.x - t.v) * (g.x - t.v) / (g.h * g.h))) / max(g.n * g.h * sqrt(2 * pi()))")} AS density FROM kernel_grid AS g JOIN traits AS t ON t.trait = g.trait AND t.v IS NOT NULL GROUP BY g.trait, g.i""")
+#: Classes of a histogram by three rules: Sturges, Freedman and Diaconis, square root.
+query(
+    "trait_bins",
+    """SELECT trait, CAST(n AS BIGINT) AS n, CAST(greatest(3, ceil(log2(n) + 1)) AS BIGINT) AS sturges, CAST(greatest(3, ceil(sqrt(n))) AS BIGINT) AS root,
+    CAST(CASE WHEN iqr > 0 THEN greatest(3, least(60, ceil((high - low) / (2 * iqr / cbrt(n))))) ELSE 10 END AS BIGINT) AS freedman_diaconis
+    FROM (SELECT trait, count(*) * 1e0 AS n, min(v) AS low, max(v) AS high, $q(v, 0.75)$ - $q(v, 0.25)$ AS iqr FROM traits WHERE v IS NOT NULL GROUP BY trait) AS x""",
+)

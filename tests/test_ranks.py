@@ -81,3 +81,23 @@ def test_partitions_equal_pairs(spark):
     both, n = (x & y).sum(), len(pairs)
     expected = x.sum() * y.sum() / n
     assert (r.n, r.rand_adjusted, r.fowlkes_mallows) == pytest.approx((60, (both - expected) / ((x.sum() + y.sum()) / 2 - expected), both / math.sqrt(x.sum() * y.sum())), abs=1e-6)
+
+
+def test_density_and_bins(spark):
+    g = np.random.default_rng(6)
+    v = g.gamma(2, 3, 80)
+    data = Dataset(spark, traits=spark.createDataFrame([(i, "P", "ear", float(x)) for i, x in enumerate(v)], "ind bigint, pop string, trait string, v double"))
+    q1, q3 = np.quantile(v, (0.25, 0.75))
+    h = 0.9 * min(v.std(ddof=1), (q3 - q1) / 1.34) * 80**-0.2
+    for r in data.result("trait_density").collect():
+        x = v.min() + (v.max() - v.min()) * r.point / 63
+        assert (r.x, r.density) == pytest.approx((x, np.exp(-0.5 * ((x - v) / h) ** 2).sum() / (80 * h * math.sqrt(2 * math.pi))), abs=2e-6)
+    (b,) = data.result("trait_bins").collect()
+    assert (b.n, b.sturges, b.root, b.freedman_diaconis) == (80, 8, 9, math.ceil((v.max() - v.min()) / (2 * (q3 - q1) / 80 ** (1 / 3))))
+
+
+def test_amova_design(spark):
+    rows = [(10 * p + i, f"P{p}", "RRSST"[p], "L", 1, 2) for p in range(5) for i in range(2 + p)] + [(999, "Z", "S", "L", 1, 1)]
+    (d,) = Dataset(spark, geno=spark.createDataFrame(rows, "ind bigint, pop string, region string, locus string, a1 bigint, a2 bigint")).result("amova_design").collect()
+    # Five populations in regions of 2, 2 and 1: 5! / (2! 2! 1!) / 2!.
+    assert (d.n_inds, d.n_pops, d.n_regions, d.df_regions, d.df_pops, d.df_individuals, d.df_total, d.arrangements) == (20, 5, 3, 2, 2, 15, 39, 15.0)
