@@ -309,9 +309,12 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, batches: int = BA
     family = Family(spark)
     for b in range(batches):
         family.add(found.where(F.pmod("text_hash", F.lit(batches)) == b))
-    held = stored(found.join(family.twice(), "core", "left_semi"), "held")
+    # Stored first: with a plain table on the other side Spark can split a gram that has many anchors.
+    twice = stored(family.twice(), "twice")
     family.close()
+    held = stored(found.join(twice, "core", "left_semi"), "held")
     discard(found)
+    discard(twice)
     kinds = stored(held.groupBy("core", "o1", "o2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "x", "lo", "hi")).alias("one")), "kinds")
     whole = held.join(kinds.where("n > 1").select("core", "o1", "o2"), ["core", "o1", "o2"], "left_semi").select("doc_id", "text_hash", (F.col("x") - F.col("hi")).alias("begin"), (F.col("x") - F.col("lo") + length).alias("end"))
     edge = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).where("kinds > 1 AND singles > 0").select("core", (F.col("kinds") > HOT).alias("hot"))
