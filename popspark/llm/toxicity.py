@@ -77,7 +77,9 @@ def sampled(docs: DataFrame, labels: DataFrame, categories: list[str], most: int
             yield pa.record_batch([b.column(0), b.column(2), pa.array(slots, pa.list_(pa.int32())), *b.columns[3:]], names=["doc_id", "fold", "slots", *categories])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(rows.mapInArrow(run, ", ".join([f"doc_id {kind}, fold int, slots array<int>", *[f"`{c}` double" for c in categories]])), "labelled")
+    read = rows.mapInArrow(run, ", ".join([f"doc_id {kind}, fold int, slots array<int>", *[f"`{c}` double" for c in categories]]))
+    # Documents that share a doc_id have its labels each, so the rows are bounded once more after the join.
+    return stored(read.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", *[f"`{c}`" for c in categories], F.xxhash64("slots")).limit(most), "labelled")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
