@@ -42,7 +42,7 @@ LENGTH = 200
 #: Batches that the query deals the documents to.
 BATCHES = 4
 #: Window starts that a task looks at together, stretches that it compares together, kinds of stretches that make a gram hot.
-SLAB, GROUP, HOT = 1 << 20, 8192, 8192
+SLAB, GROUP, HOT = 1 << 18, 4096, 8192
 
 ANCHOR = "doc_id long, text_hash long, x int, lo short, hi short, core long, o1 long, o2 long"
 SPAN = "doc_id long, text_hash long, begin int, end int"
