@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,8 +29,9 @@ from pyspark.sql import DataFrame
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    # A run of digits is entered at its start only: what fails there fails further on.
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 
@@ -114,23 +116,20 @@ DIGIT_WORDS = {
 TIMES = {"double": 2, "triple": 3}
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _ITEM = rf"(?:(?:{'|'.join(TIMES)})[ -])?{_WORD}\b|[0-9]+\b"
-#: At least three items with one spelled digit or a spelled plus among them; a sign between items stays.
-SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,-]{{1,2}})?(?:{_ITEM})(?:[ ,-]{{1,2}}(?:{_ITEM})|[ ]?(?:\.|dot|point)[ ]?(?:{_ITEM})){{2,}}", re.I)
-#: Items that follow each other in such a run.
-SPELLED_ITEMS = frozenset([*DIGIT_WORDS, *TIMES, "dot", "point"])
+#: At least three items with one spelled digit or a spelled plus among them; a sign between items stays. For folded text.
+SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,-]{{1,2}})?(?:{_ITEM})(?:[ ,-]{{1,2}}(?:{_ITEM})|[ ]?(?:\.|dot|point)[ ]?(?:{_ITEM})){{2,}}")
 SPELLED_PART = re.compile(rf"(?P<plus>plus[ ,-]{{1,2}})|(?:(?P<times>{'|'.join(TIMES)})[ -])?(?P<word>{_WORD})\b|(?P<digits>[0-9]+)|(?P<dot>[ ]?(?:\.|dot|point)[ ]?)|(?P<gap>[ ,-]+)", re.I)
 
 _AT = r"\s*[\[({<]\s*(?:at|arroba|@)\s*[\])}>]\s*|\s+(?:at|arroba)\s+|\s+@\s*|@\s+"
 _DOT = r"\s*[\[({<]\s*(?:dot|punto|point|punkt|\.)\s*[\])}>]\s*|\s+(?:dot|punto|point|punkt)\s+"
-#: A name, an at sign in some guise, and a host whose parts meet at dots in some guise; one guise at least.
-DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])(?P<name>[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*)(?P<at>@|{_AT})(?P<host>[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+)", re.I
-)
+NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_%+-")
+DOT_WORDS = ("dot", "punto", "point", "punkt")
+#: After a name, an at sign in some guise, and a host whose parts meet at dots in some guise. For folded text.
+AT_HOST = re.compile(rf"(?<=[a-z0-9_%+-])(?P<at>@|{_AT})(?P<host>[a-z0-9-]++(?:(?:\.|{_DOT})[a-z0-9-]+)+)")
 #: After a plain "at", the host of an address with plain dots.
 PLAIN_HOST = re.compile(r"at\s+[A-Za-z0-9-]+\.[A-Za-z0-9-]", re.I)
 #: Words of which an address in disguise has one, if it has no sign and no plain "at".
 SIGN_WORDS = ("dot", "punto", "point", "punkt", "arroba")
-TOKEN = re.compile(r"\w+")
 #: Letters that the patterns take for i, s and k, besides their own lower case.
 FOLDED = str.maketrans("\u0130\u0131\u017f\u212a", "iisk")
 
@@ -183,12 +182,8 @@ def homoglyphs(text: str) -> list[tuple[int, int, str]]:
 
 
 def spelled_digits(text: str) -> list[tuple[int, int, str]]:
-    # A run has two items next to each other; looking for them is much cheaper than for the run.
-    words = TOKEN.findall(folded(text))
-    if b"\x01\x01" not in bytes([w in SPELLED_ITEMS or w.isdigit() for w in words]):
-        return []
     edits: list[tuple[int, int, str]] = []
-    for run in SPELLED.finditer(text):
+    for run in SPELLED.finditer(folded(text)):
         parts = list(SPELLED_PART.finditer(text, run.start(), run.end()))
         if not any(p["word"] or p["plus"] for p in parts):
             continue
@@ -204,6 +199,58 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _before_space(low: str, end: int) -> int:
+    while end and low[end - 1].isspace():
+        end -= 1
+    return end
+
+
+def _dot_before(low: str, end: int) -> int:
+    """Where the dot in some guise that ends at ``end`` begins; -1 if there is none."""
+    if end and low[end - 1] == ".":
+        return end - 1
+    at = _before_space(low, end)
+    bracketed = at > 0 and low[at - 1] in "])}>"
+    if not bracketed and at == end:
+        return -1
+    at = _before_space(low, at - 1) if bracketed else at
+    size = next((len(w) for w in (*DOT_WORDS, *(["."] if bracketed else [])) if low.endswith(w, 0, at)), 0)
+    if not size:
+        return -1
+    begin = _before_space(low, at - size)
+    if bracketed:
+        return _before_space(low, begin - 1) if begin and low[begin - 1] in "[({<" else -1
+    return begin if begin < at - size else -1
+
+
+def _name_before(low: str, end: int, done: int) -> int:
+    """The first place, not before ``done``, where a name of parts and dots that ends at ``end`` may begin; -1 if none."""
+    first = -1
+    while True:
+        begin = end
+        while begin > done and low[begin - 1] in NAME_CHARS:
+            begin -= 1
+        if begin == end:
+            return first
+        if not begin or low[begin - 1] not in NAME_CHARS and low[begin - 1] != ".":
+            first = begin
+        end = _dot_before(low, begin)
+        if end < 0:
+            return first
+
+
+def addresses(low: str) -> Iterator[tuple[int, re.Match]]:
+    """Start of the name, and at sign and host, of each address, leftmost first and apart; read outward from the at signs."""
+    done = pos = 0
+    while m := AT_HOST.search(low, pos):
+        begin = _name_before(low, m.start(), done)
+        if begin < 0:
+            pos = m.start() + 1
+        else:
+            yield begin, m
+            done = pos = m.end()
+
+
 def at_dot(text: str) -> list[tuple[int, int, str]]:
     """Edits that undo disguises of "@" and "." in addresses.
 
@@ -214,11 +261,11 @@ def at_dot(text: str) -> list[tuple[int, int, str]]:
     if not ("@" in low or any(c in low for c in "[({<") or any(w in low for w in SIGN_WORDS) or PLAIN_HOST.search(low)):
         return []
     edits: list[tuple[int, int, str]] = []
-    for m in DISGUISED.finditer(text):
+    for begin, m in addresses(low):
         host_dots = list(DOTS.finditer(text, *m.span("host")))
-        if m["at"].strip().isalpha() and all(d[0] == "." for d in host_dots) and m["name"].isalpha():
+        if m["at"].strip().isalpha() and all(d[0] == "." for d in host_dots) and text[begin : m.start()].isalpha():
             continue
-        edits += [(*d.span(), ".") for d in DOTS.finditer(text, *m.span("name"))]
+        edits += [(*d.span(), ".") for d in DOTS.finditer(text, begin, m.start())]
         edits.append((*m.span("at"), "@"))
         edits += [(*d.span(), ".") for d in host_dots]
     return [(a, b, new) for a, b, new in edits if text[a:b] != new]
@@ -239,10 +286,13 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     out = rewritten(text)
     if out.text == text:
         return base, base
+    # Spans of a kind are apart and ascend, so the last one that starts before b tells.
+    own = [[s for s in base if s.kind == k] for k in range(len(KINDS))]
     more = []
     for s in detect(out.text):
         a, b = out.source(s.start, s.end)
-        if not any(o.kind == s.kind and o.start < b and a < o.end for o in base):
+        before = bisect_left(own[s.kind], b, key=lambda o: o.start)
+        if not before or own[s.kind][before - 1].end <= a:
             more.append(Span(a, s.kind, b))
     return base, sorted([*base, *more])
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -186,15 +187,57 @@ def test_license_scan(spark):
     assert got[3].license is None and got[4].n_units == 0 and got[5].licenses == ""
 
 
+# The patterns that base spans are defined by.
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
 def test_pii_base_spans_equal_plain_patterns():
     rnd = random.Random(6)
     parts = ["a.b@c.de", "x@y", "@", "1.2.3.4", "999.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 12345678", "+1", "0" * 15, " ", ".", "-", "a", "7", "\n", "\u00e9", "<b>", "+", "%"]
     for _ in range(3000):
         text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
-        want = sorted((m.start(), k, m.end()) for k, kind in enumerate(pii.KINDS) for m in re.finditer(pii.PATTERNS[kind].pattern, text) if pii.valid(kind, m[0]))
+        want = sorted((m.start(), k, m.end()) for k, kind in enumerate(pii.KINDS) for m in re.finditer(PLAIN[kind], text) if pii.valid(kind, m[0]))
         assert [tuple(x) for x in pii.detect(text)] == want
 
 
+def test_pii_addresses_read_outward_equal_one_plain_pattern():
+    dot = rf"(?:\.|{pii._DOT})"
+    plain = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{dot}[A-Za-z0-9_%+-]+)*(?:@|{pii._AT})[A-Za-z0-9-]+(?:{dot}[A-Za-z0-9-]+)+", re.I)
+    rnd = random.Random(8)
+    parts = ["a", "b1", "dot", "point", "at", "arroba", " ", "  ", "\n", ".", "@", "[", "]", "(", ")", "-", "_", "DOT", "At", "\u017f", "\u0130"]
+    met = 0
+    for _ in range(20_000):
+        text = "".join(rnd.choice(parts) + rnd.choice(["", "", " "]) for _ in range(rnd.randint(1, 18)))
+        want = [m.span() for m in plain.finditer(text)]
+        assert [(begin, m.end()) for begin, m in pii.addresses(pii.folded(text))] == want, text
+        met += len(want)
+    assert met > 200
+
+
+def test_pii_added_spans_equal_a_plain_overlap_test():
+    rnd = random.Random(9)
+    parts = ["a@b.co", "x (at) y dot com", "1.2.3.4", "one dot two dot three dot four", "plus one two three four five six seven eight nine zero", "4111 1111 1111 1111", " ", ", ", "; "]
+    for _ in range(500):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12)))
+        base, every = pii.all_spans(text)
+        out = pii.rewritten(text)
+        mapped = [pii.Span(*(a := out.source(s.start, s.end))[:1], s.kind, a[1]) for s in pii.detect(out.text)]
+        more = [] if out.text == text else [s for s in mapped if not any(o.kind == s.kind and o.start < s.end and s.start < o.end for o in base)]
+        assert every == sorted([*base, *more])
+
+
+@pytest.mark.parametrize("text", ["1.2 " + "7" * 1_000_000, "a dot " * 100_000, "a at " * 100_000, "a" + " " * 300_000 + "b @ c.d", "a@b.co " * 20_000 + "x (at) y dot com " * 20_000])
+def test_pii_long_texts_take_time_in_proportion(text):
+    start = time.process_time()
+    pii.all_spans(text)
+    assert time.process_time() - start < 5
+
+
 @pytest.mark.parametrize(
     ("text", "span"),
     [
@@ -202,6 +245,7 @@ def test_pii_base_spans_equal_plain_patterns():
         ("write to jane at example dot\torg today", "jane at example dot\torg"),
         ("write to jane at example dot\norg", "jane at example dot\norg"),
         ("ana arroba9 x", None),
+        ("server one dottwo dotthree dotfour", "one dottwo dotthree dotfour"),
         ("ana.b arroba correo.example hoy", "ana.b arroba correo.example"),
         ("dial plus one (two) then plus one two three four five \u017fix seven eight nine zero one", "plus one two three four five \u017fix seven eight nine zero one"),
     ],
