@@ -209,7 +209,7 @@ def test_pii_addresses_read_outward_equal_one_plain_pattern():
     dot = rf"(?:\.|{pii._DOT})"
     plain = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{dot}[A-Za-z0-9_%+-]+)*(?:@|{pii._AT})[A-Za-z0-9-]+(?:{dot}[A-Za-z0-9-]+)+", re.I)
     rnd = random.Random(8)
-    parts = ["a", "b1", "dot", "point", "at", "arroba", " ", "  ", "\n", ".", "@", "[", "]", "(", ")", "-", "_", "DOT", "At", "\u017f", "\u0130"]
+    parts = ["a", "b1", "c.d", " at ", " dot ", "dot", "point", "at", "arroba", " ", "  ", "\n", ".", "@", "[", "]", "(", ")", "-", "_", "DOT", "At", "\u017f", "\u0130"]
     met = 0
     for _ in range(20_000):
         text = "".join(rnd.choice(parts) + rnd.choice(["", "", " "]) for _ in range(rnd.randint(1, 18)))
