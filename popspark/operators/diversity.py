@@ -54,20 +54,12 @@ query(
     WHERE n_pops >= 4 AND n_common > 0""",
 )
 step("least_copies", "SELECT CAST(min(2 * n) AS INT) AS g FROM cells")
-#: Chance that a sample of g copies misses an allele, as a product of g factors.
-step(
-    "missed",
-    f"""SELECT pop, locus, allele, exp(sum(ln(greatest(2e0 * inds - n - j, 0.5e0) / (2e0 * inds - j)))) * min(CASE WHEN 2 * inds - n - j > 0 THEN 1 ELSE 0 END) AS q
-    FROM (SELECT pop, locus, allele, n, inds, {series("0", "g - 1")} AS j FROM freqs CROSS JOIN least_copies) AS x GROUP BY pop, locus, allele""",
-)
-query("rarefied_richness", f"""SELECT pop, locus, {r("sum(1 - q)")} AS ar FROM missed GROUP BY pop, locus""")
+#: Chance that a sample of g copies misses an allele, as a product of g factors within the row.
+_MISSED = "CASE WHEN 2 * inds - n >= g THEN exp($folded(ln(greatest(2e0 * inds - n - j, 0.5e0) / (2e0 * inds - j)) ; g)$) ELSE 0e0 END"
+step("richness", f"SELECT pop, locus, sum(1 - {_MISSED}) AS ar FROM freqs CROSS JOIN least_copies GROUP BY pop, locus")
+query("rarefied_richness", f"""SELECT pop, locus, {r("ar")} AS ar FROM richness""")
 step("curve_sizes", f"SELECT g FROM (SELECT 2 + step * greatest(1, CAST(floor(most / 40e0 + 0.5e0) AS INT)) AS g, most FROM (SELECT most, {series('0', '100')} AS step FROM (SELECT CAST(least(min(2 * n), 200) AS INT) AS most FROM cells) AS m) AS s) AS z WHERE g <= most")
-query(
-    "rarefaction_curve",
-    f"""SELECT pop, g, {r("avg(ar)")} AS ar FROM (SELECT pop, locus, g, sum(1 - q) AS ar FROM (
-    SELECT pop, locus, allele, g, exp(sum(ln(greatest(2e0 * inds - n - j, 0.5e0) / (2e0 * inds - j)))) * min(CASE WHEN 2 * inds - n - j > 0 THEN 1 ELSE 0 END) AS q
-    FROM (SELECT pop, locus, allele, n, inds, g, {series("0", "g - 1")} AS j FROM freqs CROSS JOIN curve_sizes) AS x GROUP BY pop, locus, allele, g) AS y GROUP BY pop, locus, g) AS z GROUP BY pop, g""",
-)
+query("rarefaction_curve", f"""SELECT pop, g, {r("avg(ar)")} AS ar FROM (SELECT pop, locus, g, sum(1 - {_MISSED}) AS ar FROM freqs CROSS JOIN curve_sizes GROUP BY pop, locus, g) AS z GROUP BY pop, g""")
 step("band_cells", "SELECT pop, band, count(*) AS n, avg(x * 1e0) AS f, avg(1e0 - x) AS absent FROM bands GROUP BY pop, band")
 step("null_q", "SELECT pop, band, n, f, absent, CASE WHEN absent = 0 THEN 0e0 ELSE least(1e0, sqrt(absent) * (1 + (1 - absent) / (8e0 * n * absent))) END AS q FROM band_cells")
 query(

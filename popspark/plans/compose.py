@@ -2,7 +2,7 @@
 
 An operator is a SELECT over named steps (common table expressions). The statements
 stay in the SQL that Spark and DuckDB share; ``series``, ``$at(list, i)$`` and
-``$q(value, share)$`` (type 7 quantile), ``$joined(value ; key)$`` (a group's values as one text, by key) ``$pattern(a ; b)$`` (a group's pairs of values in any order, as a key) and ``$draw(text ; n)$`` (a whole number from 0 to n - 1 that the text decides) cover the places where they differ. ``statement`` lists the steps that a SELECT needs, in order.
+``$q(value, share)$`` (type 7 quantile), ``$joined(value ; key)$`` (a group's values as one text, by key) ``$pattern(a ; b)$`` (a group's pairs of values in any order, as a key) and ``$draw(text ; n)$`` (a whole number from 0 to n - 1 that the text decides) and ``$folded(expression of j ; n)$`` (its sum over j from 0 to n - 1, n at least 1) cover the places where they differ. ``statement`` lists the steps that a SELECT needs, in order.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ def _series_for(engine: str, sql: str, every: int = 1) -> str:
     sql = re.sub(r"\$joined\((\w+) ; (\w+)\)\$", joined, sql)
     drawn = r"CAST(conv(substring(md5(\1), 1, 12), 16, 10) AS BIGINT) % (\2)" if engine == "spark" else r"CAST(concat('0x', substring(md5(\1), 1, 12)) AS BIGINT) % (\2)"
     sql = re.sub(r"\$draw\((.*?) ; (.*?)\)\$", drawn, sql)
+    folded = r"aggregate(sequence(0, CAST(\2 AS INT) - 1), 0e0, (s, j) -> s + \1)" if engine == "spark" else r"list_sum(list_transform(range(0, CAST(\2 AS INT)), lambda j: \1))"
+    sql = re.sub(r"\$folded\((.*?) ; (\w+)\)\$", folded, sql)
     summed = r"concat(bit_xor(xxhash64(\1, \2)), ' ', bit_xor(xxhash64(\2, \1, 5)))" if engine == "spark" else r"concat(bit_xor(hash(concat(\1, ' ', \2))), ' ', bit_xor(hash(concat(\2, ' ', \1, ' 5'))))"
     sql = re.sub(r"\$pattern\((\w+) ; (\w+)\)\$", summed, sql)
     return re.sub(r"\$series\(([^;]*?) ; ([^;]*?)\)\$", made, sql)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from popspark.dataset import Dataset, from_tables, relation
 from popspark.functions.special import chi2_p
-from popspark.operators import association, family, haplotypes, matrices, multiple, neutrality, patterns, permutation, ranks, resampling, spatial
+from popspark.operators import association, family, haplotypes, matrices, multiple, neutrality, patterns, permutation, ranks, resampling, spatial, tables
 from popspark.plans.compose import r, statement
+from popspark.plans.working import kept
 
 
 def hwe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +122,25 @@ def theta_without_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Dataset(spark, geno=family.without_loci(relation(spark, sf_dir, "geno"), suspect)).result("theta_multilocus")
 
 
+def hwe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exact = kept(hwe_exact(spark, sf_dir))
+    kinds = relation(spark, sf_dir, "cell_stats").select("pop", "locus", F.col("na").alias("k"))
+    tests = family.hwe_family(exact, from_tables(spark, sf_dir, "fis_nei_chesser"), null_alleles_em(spark, sf_dir), kinds)
+    return tables.hwe_table(tests, exact, relation(spark, sf_dir, "cell_stats"))
+
+
+def differentiation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.differentiation_table(pairwise_tests(spark, sf_dir), from_tables(spark, sf_dir, "pairwise_gst"), from_tables(spark, sf_dir, "pairwise_theta"))
+
+
+def data_as_analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.data_as_analysed(relation(spark, sf_dir, "geno"), relation(spark, sf_dir, "places"))
+
+
+def nei_distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.distance_matrix(from_tables(spark, sf_dir, "population_distances"), "nei72").withColumnRenamed("name", "pop")
+
+
 def correlogram_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.correlogram(spatial.genotype_scores(relation(spark, sf_dir, "geno")), relation(spark, sf_dir, "places"), 999)[0]
 
@@ -140,8 +160,22 @@ def trait_hpd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.hpd(relation(spark, sf_dir, "traits").select(F.col("trait").alias("key"), "v")).withColumnRenamed("key", "trait")
 
 
-#: DuckDB SQL written apart from the Spark code.
+def _wide(column: str, names: range, value: str, made: str) -> str:
+    return ", ".join(f'min(CASE WHEN {column} = {x} THEN {v} END) AS "{n}"' for x in names for v, n in ((v.strip(), made.format(x, k)) for k, v in enumerate(value.split(","), 1)))
+
+
+#: DuckDB SQL written apart from the Spark code; the tables have seven loci and 25 populations.
 SQL = {
+    "data_as_analysed": statement(
+        f"""SELECT g.*, p.latitude, p.longitude FROM (SELECT ind AS individual, min(pop) AS population, min(region) AS region, {_wide("locus", range(1, 8), "a1, a2", "{0}_{1}")} FROM geno GROUP BY ind) AS g
+        LEFT JOIN (SELECT ind, max(lat) AS latitude, max(lon) AS longitude FROM places GROUP BY ind) AS p ON p.ind = g.individual""",
+        "duckdb",
+    ),
+    "nei_distance_matrix": statement(
+        f"""SELECT x AS pop, {_wide("y", range(25), "d", "{0}")} FROM (SELECT p1 AS x, p2 AS y, round(nei72, 6) + 0e0 AS d FROM pop_distances UNION ALL SELECT p2, p1, round(nei72, 6) + 0e0 FROM pop_distances
+        UNION ALL SELECT pop, pop, 0e0 FROM (SELECT DISTINCT pop FROM cells) AS c) AS m GROUP BY x""",
+        "duckdb",
+    ),
     "haplotype_em": haplotypes.duck_sql(),
     "sequence_distances": statement(
         f"""SELECT i, j, n AS compared, {r("(ti + tv) / nullif(n * 1e0, 0)")} AS p, {r("CASE WHEN n = 0 THEN 0e0 WHEN 1 - (2 * ti + tv) / n > 0 AND 1 - 2 * tv / n > 0 THEN -0.5e0 * ln(1 - (2 * ti + tv) / n) - 0.25e0 * ln(1 - 2 * tv / n) ELSE 3e0 END")} AS k2p
@@ -169,4 +203,4 @@ SQL = {
     ),
 }
 
-OTHER = {f.__name__: f for f in (hwe_exact, hwe_p_values, genic_differentiation, adjusted_p, fisher_combined, null_alleles_em, permuted_theta, amova_tests, pairwise_tests, multilocus_ld, pairwise_ld, dxy_bootstrap, sequence_distances, hwe_family, hwe_by_population, hwe_by_locus, theta_without_nulls, correlogram_envelope, kinship_slope_test, heterozygosity_signed_rank, trait_hpd, theta_bootstrap, mantel_distance, fu_fs, pcoa_populations, neighbour_joining, upgma)}
+OTHER = {f.__name__: f for f in (hwe_exact, hwe_p_values, genic_differentiation, adjusted_p, fisher_combined, null_alleles_em, permuted_theta, amova_tests, pairwise_tests, multilocus_ld, pairwise_ld, dxy_bootstrap, sequence_distances, hwe_family, hwe_by_population, hwe_by_locus, theta_without_nulls, hwe_table, differentiation_table, data_as_analysed, nei_distance_matrix, correlogram_envelope, kinship_slope_test, heterozygosity_signed_rank, trait_hpd, theta_bootstrap, mantel_distance, fu_fs, pcoa_populations, neighbour_joining, upgma)}
