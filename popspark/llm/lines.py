@@ -15,8 +15,7 @@ Candidates come from lists of one kind of posting:
   similarity therefore share one of the first 3 (1 - least) n + 1 distinct runs of each in one
   order of all runs. The order puts frequent runs last and runs of long words first; any order
   would be right. Lines of five and four words also post their runs of two. No pair is missed
-  but those that a posting (size class, 48 parities of words, 16 bits of the line's
-  key) take for one line: two in 65,536 pairs of lines with the same words in another order.
+  unless 64 bits of the keys of two lines agree, which then count as one line of a list.
 
 Lists of at most LIST lines give all pairs that the bounds of size and of differing words
 leave, neither of which loses a pair. Longer lists are first held against one leader. A line
@@ -24,7 +23,8 @@ is verified against one of its candidates first; pairs inside a component need n
 comparison, so a family of thousands costs thousands of comparisons. Then the pairs across
 components, those of the longer lists included, are verified.
 
-Lines without a word are never dropped and never linked. Null texts are empty: one line
+Lines of marks alone are linked with nothing; of those that are equal up to white space the first stays. Blank
+lines are never dropped. Null texts are empty: one line
 without a word. A document is the pair of doc_id and text (by 128 bits); rows that repeat both are
 treated alike. Ids of any type that can be compared; other columns, of any name, pass
 through; ``text`` and ``n_chars`` are rewritten. Rows must come in the same order when a task
@@ -34,7 +34,7 @@ runs again, as they do from files: an occurrence in a posting is named by its ta
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -147,10 +147,10 @@ def _buckets(spark: SparkSession) -> int:
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _parts(texts: pa.Array) -> Iterator[tuple[int, wordarrays.Lines]]:
+def _parts(texts: pa.Array, cut: Callable[[list[str]], wordarrays.Lines] = wordarrays.lines_of) -> Iterator[tuple[int, wordarrays.Lines]]:
     """The lines of ``texts`` a slice at a time, with the number of the slice's first text."""
     for start, some in wordarrays.slices(texts):
-        found = wordarrays.lines_of(some)
+        found = cut(some)
         for a in range(0, len(found.size), MOST_LINES):
             yield start, found.part(a, min(a + MOST_LINES, len(found.size)))
 
@@ -162,16 +162,21 @@ def identified(docs: DataFrame, *columns: Column) -> DataFrame:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, r1, r2, line, k1, k2 (128 bits of the normalised line) of each line with a word; and rows of bucket, runs (all runs of three words)."""
+    """doc_id, r1, r2, line, k1, k2 (128 bits of the normalised line, or of its marks) of each line that isn't blank; and rows of bucket, runs (all runs of three words)."""
     buckets = _buckets(docs.sparkSession)
     names = ["doc_id", "r1", "r2", "line", "k1", "k2", "bucket", "runs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(b: pa.RecordBatch, at: int, x: wordarrays.Lines) -> pa.RecordBatch:
+            k1, k2 = wordarrays.keys(x)
+            rows, n = pa.array(at + x.text), len(x.size)
+            return pa.record_batch([*(b.column(i).take(rows) for i in range(3)), pa.array(x.line.astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+
         for b in batches:
+            for at, x in _parts(b.column(3), wordarrays.mark_lines):
+                yield told(b, at, x)
             for at, x in _parts(b.column(3)):
-                k1, k2 = wordarrays.keys(x)
-                rows, n = pa.array(at + x.text), len(x.size)
-                yield pa.record_batch([*(b.column(i).take(rows) for i in range(3)), pa.array(x.line.astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                yield told(b, at, x)
                 gram = wordarrays.grams(x, 3)[1]
                 dealt = np.sort((((gram >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (gram & np.uint64(0xFFFFFFFF)))
                 cut = np.searchsorted(dealt, np.arange(buckets + 1).astype(np.uint64) << np.uint64(32))
@@ -259,14 +264,14 @@ def meet(docs: DataFrame, rank: np.ndarray, least: float) -> DataFrame:
     spark = docs.sparkSession
     buckets = _buckets(spark)
     shipped = spark.sparkContext.broadcast(rank)
-    names = ["bucket", "at", "token", "line", "tokens", "size", "mark", "k1", "k2"]
+    names = ["bucket", "at", "token", "line", "tokens", "size", "mark", "key", "k1", "k2"]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, at = shipped.value, TaskContext.get().partitionId() << 20
         for b in batches:
             for _, x in _parts(b.column(0)):
                 k1, k2 = wordarrays.keys(x)
-                mark = wordarrays.parity(x) | (k1 << np.uint64(48))
+                mark = wordarrays.parity(x)
                 size = (np.searchsorted(LOW, x.size, "right") - 1).astype(np.uint8)
                 # A line that repeats in the slice posts once.
                 _, one = np.unique(k1 ^ (k2 << np.uint64(1)), return_index=True)
@@ -284,10 +289,10 @@ def meet(docs: DataFrame, rank: np.ndarray, least: float) -> DataFrame:
                 rows = [k for k in range(buckets) if cut[k] < cut[k + 1]]
                 of, n = line[head], len(rows)
                 yield pa.record_batch(
-                    [pa.array(rows, pa.int32()), pa.array([at] * n, pa.int64()), _blobs(token, cut, rows), *(_blobs(v, lines_cut, rows) for v in (of.astype(np.uint16), many.astype(np.uint32), size[of], mark[of])), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+                    [pa.array(rows, pa.int32()), pa.array([at] * n, pa.int64()), _blobs(token, cut, rows), *(_blobs(v, lines_cut, rows) for v in (of.astype(np.uint16), many.astype(np.uint32), size[of], mark[of], k1[of])), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
                     names=names,
                 )
-                yield pa.record_batch([pa.array([at % buckets], pa.int32()), pa.array([at], pa.int64()), *(pa.nulls(1, pa.binary()) for _ in range(5)), pa.array([k1.tobytes()], pa.binary()), pa.array([k2.tobytes()], pa.binary())], names=names)
+                yield pa.record_batch([pa.array([at % buckets], pa.int32()), pa.array([at], pa.int64()), *(pa.nulls(1, pa.binary()) for _ in range(6)), pa.array([k1.tobytes()], pa.binary()), pa.array([k2.tobytes()], pa.binary())], names=names)
                 at += 1
 
     def gather(part: pa.Table) -> pa.Table:
@@ -301,18 +306,18 @@ def meet(docs: DataFrame, rank: np.ndarray, least: float) -> DataFrame:
                 out.append(_found(len(ref), a=ref, k1=k1[i], k2=k2[i]))
         line = read("line", np.uint16)
         ref = np.concatenate([(int(s) << 16) + v.astype(np.int64) for s, v in zip(at, line)] or [np.empty(0, np.int64)])
-        token, many, size, mark = (np.concatenate(read(c, kind)) for c, kind in (("token", np.uint32), ("tokens", np.uint32), ("size", np.uint8), ("mark", np.uint64)))
+        token, many, size, mark, key = (np.concatenate(read(c, kind)) for c, kind in (("token", np.uint32), ("tokens", np.uint32), ("size", np.uint8), ("mark", np.uint64), ("key", np.uint64)))
         entry = np.repeat(np.arange(len(ref), dtype=np.uint32), many)
         order = np.argsort(token, kind="stable")
         token, entry = token[order], entry[order]
         same = token[1:] == token[:-1]
         shared = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]])) if len(token) else np.empty(0, np.int64)
         token, entry = token[shared], entry[shared]
-        order = np.lexsort((mark[entry], size[entry], token))
+        order = np.lexsort((key[entry], size[entry], token))
         token, entry = token[order], entry[order]
-        s, m = size[entry], mark[entry]
+        s, m, k = size[entry], mark[entry], key[entry]
         # The same line from several slices counts once.
-        once = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (s[1:] != s[:-1]) | (m[1:] != m[:-1])])) if len(token) else np.empty(0, np.int64)
+        once = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (k[1:] != k[:-1])])) if len(token) else np.empty(0, np.int64)
         token, entry, s, m = token[once], entry[once], s[once].astype(np.int64), m[once]
         cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, np.int64)
         length = np.diff(cut)
@@ -333,7 +338,7 @@ def meet(docs: DataFrame, rank: np.ndarray, least: float) -> DataFrame:
         give_back()
         return pa.concat_tables([pa.table(t) for t in out])
 
-    posted = docs.select(text_or_empty().alias("text")).mapInArrow(frugal(post), "bucket int, at bigint, token binary, line binary, tokens binary, size binary, mark binary, k1 binary, k2 binary")
+    posted = docs.select(text_or_empty().alias("text")).mapInArrow(frugal(post), "bucket int, at bigint, token binary, line binary, tokens binary, size binary, mark binary, key binary, k1 binary, k2 binary")
     return posted.groupBy("bucket").applyInArrow(gather, FOUND)
 
 
@@ -508,7 +513,7 @@ def _cut(docs: DataFrame, least: float) -> DataFrame:
     gone = dropped_lines(docs, least)
     rows = identified(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.split(text_or_empty(), "\n", -1).alias("ls"))
     both = rows.join(bounded(gone, BROADCAST_ROWS), ["r1", "r2"], "left")
-    kept = F.expr("array_join(filter(ls, (x, i) -> NOT array_contains(drop, i)), '\\n')")
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(ls) - 1), drop), i -> ls[i]), '\\n')")
     return both.select(
         "row",
         F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(kept).alias("text_kept"),
@@ -530,7 +535,7 @@ def deduped(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def with_text_left(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The columns of ``docs`` with the kept lines as ``text``; documents that lost every line with a word go."""
+    """The columns of ``docs`` with the kept lines as ``text``; documents that lost a line and have no word left go."""
     left = (F.col("n_dropped") == 0) | F.col("text_kept").rlike(r"[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]")
     return _cut(docs, least).where(left).select(_columns(docs))
 

@@ -1,7 +1,8 @@
 """Words of many texts as arrays: a task's texts are cut and hashed together by numpy, never word by word.
 
 A word is a run of characters outside the ASCII white space and ``SIGNS``, in lower case:
-marks alone, such as the bars of a table's row, are no words.
+marks alone, such as the bars of a table's row, are no words. Lines of marks alone are
+cut apart from the others, at white space only (``mark_lines``).
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ M1, M2, M3 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3
 
 _GAP = np.zeros(256, bool)
 _GAP[list(b" \t\n\x0b\x0c\r" + SIGNS.encode())] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\x0b\x0c\r")] = True
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
@@ -64,22 +67,48 @@ class Lines(NamedTuple):
         return Lines(self.text[a:b], self.line[a:b], self.first[a:b] - lo, self.size[a:b], self.hash[lo:hi], self.width[lo:hi])
 
 
-def lines_of(texts: list[str]) -> Lines:
-    raw = b"\n".join([*(t.lower().encode() for t in texts), b" " * 7])
-    buf = np.frombuffer(raw, np.uint8)[:-8]
+def _runs(buf: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of the runs outside ``gap``, and the number of runs before each line, and in all."""
     inside = np.zeros(len(buf) + 2, bool)
-    np.logical_not(_GAP[buf], out=inside[1:-1])
+    np.logical_not(gap[buf], out=inside[1:-1])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edge[::2], edge[1::2]
-    at = np.concatenate([[0], np.searchsorted(begin, np.flatnonzero(buf == 10)), [len(begin)]])
-    size = np.diff(at)
+    return begin, end, np.concatenate([[0], np.searchsorted(begin, np.flatnonzero(buf == 10)), [len(begin)]])
+
+
+def _raw(texts: list[str]) -> tuple[bytes, np.ndarray]:
+    raw = b"\n".join([*(t.lower().encode() for t in texts), b" " * 7])
+    return raw, np.frombuffer(raw, np.uint8)[:-8]
+
+
+def _numbered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For every line the number of its text and its own in the text."""
     lines = np.array([t.count("\n") + 1 for t in texts], np.int64)
     text = np.repeat(np.arange(len(texts)), lines)
-    line = np.arange(len(text)) - np.repeat(np.cumsum(lines) - lines, lines)
+    return text, np.arange(len(text)) - np.repeat(np.cumsum(lines) - lines, lines)
+
+
+def lines_of(texts: list[str]) -> Lines:
+    raw, buf = _raw(texts)
+    begin, end, at = _runs(buf, _GAP)
+    size = np.diff(at)
+    text, line = _numbered(texts)
     told = np.flatnonzero(size)
     return Lines(text[told], line[told], at[told], size[told], _hashed(raw, begin, end - begin), end - begin)
 
 
+def mark_lines(texts: list[str]) -> Lines:
+    """The lines that have marks and no word; runs of marks stand for their words."""
+    raw, buf = _raw(texts)
+    begin, end, at = _runs(buf, _SPACE)
+    size = np.diff(at)
+    told = (size > 0) & (np.diff(_runs(buf, _GAP)[2]) == 0)
+    kept = np.repeat(told, size)
+    begin, end, size = begin[kept], end[kept], size[told]
+    text, line = _numbered(texts)
+    return Lines(text[told], line[told], np.cumsum(size) - size, size, _hashed(raw, begin, end - begin), end - begin)
+
+
 def slices(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """The texts of an Arrow column, about SLICE bytes at a time, with the place of the first."""
     upto = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))

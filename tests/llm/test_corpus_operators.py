@@ -88,15 +88,20 @@ def test_sketch_bounds_the_difference():
         assert jaccard.apart(jaccard.sketch(a), jaccard.sketch(b)) <= len(np.setxor1d(a, b))
 
 
+def of_line(line):
+    """What makes a line equal to another: its words, or its marks; empty if blank."""
+    return lines.normalised(line) or " ".join(x for x in re.split("[ \t\x0b\x0c\r]+", line) if x)
+
+
 def kept_by_brute_force(rows, least=0.8):
-    """(doc_id, kept text) of each row: all pairs of lines by edit similarity alone."""
+    """(doc_id, kept text) of each row: all pairs of lines by edit similarity alone; lines of marks by equality."""
     norms, first = [], {}
     for d, t in sorted({(r[0], r[1] or "") for r in rows}, key=lambda x: (x[0] is None, x[0] or 0)):
         for k, line in enumerate(t.split("\n")):
-            if norm := lines.normalised(line):
+            if norm := of_line(line):
                 first.setdefault(norm, (d is None, d or 0, k))
-    norms = [x.split() for x in first]
-    top = by_links(len(norms), [(i, j) for i in range(len(norms)) for j in range(i) if lines.similar(norms[i], norms[j], least)])
+    norms = [x.split(" ") if lines.normalised(x) else None for x in first]
+    top = by_links(len(norms), [(i, j) for i in range(len(norms)) for j in range(i) if norms[i] and norms[j] and lines.similar(norms[i], norms[j], least)])
     kept = {}
     for i, at in enumerate(first.values()):
         kept[top[i]] = min(kept.get(top[i], at), at)
@@ -104,7 +109,7 @@ def kept_by_brute_force(rows, least=0.8):
     out = Counter()
     for d, t, *_ in rows:
         all_lines = (t or "").split("\n")
-        left = [line for k, line in enumerate(all_lines) if not (norm := lines.normalised(line)) or kept[top[place[norm]]] == (d is None, d or 0, k)]
+        left = [line for k, line in enumerate(all_lines) if not (norm := of_line(line)) or kept[top[place[norm]]] == (d is None, d or 0, k)]
         out[d, "\n".join(left) if len(left) < len(all_lines) else t] += 1
     return out
 
@@ -119,6 +124,26 @@ def test_line_dedup(spark, corpus):
         lines.line_dedup(docs, 0.7)
 
 
+def test_lines_of_marks_stay_once(spark):
+    rows = [(1, "-----\nalpha beta gamma\n\n| --- | ----- |\n}"), (2, "----\n-----\ndelta\n \n|\t---  | ----- |\r\n}\n}"), (3, "-----"), (4, "\n \n"), (5, "\u2014\u2014"), (6, "\u2014\u2014"), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = lines.deduped(docs).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == kept_by_brute_force(rows)
+    assert {r.doc_id: r.text for r in got} == {1: rows[0][1], 2: "----\ndelta\n ", 3: "", 4: "\n \n", 5: "\u2014\u2014", 6: "", 7: ""}
+
+
+def test_lines_of_the_same_words_in_another_order_post_apart(spark):
+    """Their size and parities agree, so only their keys tell them apart in a list."""
+    rnd = random.Random(15)
+    rows, shared = [], words(rnd, 9)
+    for _ in range(40):
+        rest = list(shared)
+        rnd.shuffle(rest)
+        rows.append((len(rows), " ".join(["one", "two", "three", *rest])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter((r.doc_id, r.text) for r in lines.deduped(docs).collect()) == kept_by_brute_force(rows)
+
+
 @pytest.mark.parametrize("least", [0.8, 0.9])
 def test_line_dedup_finds_every_near_line(spark, least):
     rnd = random.Random(12)
