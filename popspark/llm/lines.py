@@ -15,7 +15,7 @@ Candidates come from lists of one kind of posting:
   similarity therefore share one of the first 3 (1 - least) n + 1 distinct runs of each in one
   order of all runs. The order puts frequent runs last and runs of long words first; any order
   would be right. Lines of five and four words also post their runs of two. No pair is missed
-  unless 64 bits of the keys of two lines agree, which then count as one line of a list.
+  unless 48 bits of the keys of two lines agree, besides size class and parities: they then count as one line of a list.
 
 Lists of at most LIST lines give all pairs that the bounds of size and of differing words
 leave, neither of which loses a pair. Longer lists are first held against one leader. A line
@@ -271,7 +271,8 @@ def meet(docs: DataFrame, rank: np.ndarray, least: float) -> DataFrame:
         for b in batches:
             for _, x in _parts(b.column(0)):
                 k1, k2 = wordarrays.keys(x)
-                mark = wordarrays.parity(x)
+                # 16 bits of the key beside the parities, 32 others on their own.
+                mark, key = wordarrays.parity(x) | (k1 << np.uint64(48)), (k1 >> np.uint64(32)).astype(np.uint32)
                 size = (np.searchsorted(LOW, x.size, "right") - 1).astype(np.uint8)
                 # A line that repeats in the slice posts once.
                 _, one = np.unique(k1 ^ (k2 << np.uint64(1)), return_index=True)
@@ -289,7 +290,7 @@ def meet(docs: DataFrame, rank: np.ndarray, least: float) -> DataFrame:
                 rows = [k for k in range(buckets) if cut[k] < cut[k + 1]]
                 of, n = line[head], len(rows)
                 yield pa.record_batch(
-                    [pa.array(rows, pa.int32()), pa.array([at] * n, pa.int64()), _blobs(token, cut, rows), *(_blobs(v, lines_cut, rows) for v in (of.astype(np.uint16), many.astype(np.uint32), size[of], mark[of], k1[of])), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+                    [pa.array(rows, pa.int32()), pa.array([at] * n, pa.int64()), _blobs(token, cut, rows), *(_blobs(v, lines_cut, rows) for v in (of.astype(np.uint16), many.astype(np.uint32), size[of], mark[of], key[of])), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
                     names=names,
                 )
                 yield pa.record_batch([pa.array([at % buckets], pa.int32()), pa.array([at], pa.int64()), *(pa.nulls(1, pa.binary()) for _ in range(6)), pa.array([k1.tobytes()], pa.binary()), pa.array([k2.tobytes()], pa.binary())], names=names)
@@ -306,18 +307,18 @@ def meet(docs: DataFrame, rank: np.ndarray, least: float) -> DataFrame:
                 out.append(_found(len(ref), a=ref, k1=k1[i], k2=k2[i]))
         line = read("line", np.uint16)
         ref = np.concatenate([(int(s) << 16) + v.astype(np.int64) for s, v in zip(at, line)] or [np.empty(0, np.int64)])
-        token, many, size, mark, key = (np.concatenate(read(c, kind)) for c, kind in (("token", np.uint32), ("tokens", np.uint32), ("size", np.uint8), ("mark", np.uint64), ("key", np.uint64)))
+        token, many, size, mark, key = (np.concatenate(read(c, kind)) for c, kind in (("token", np.uint32), ("tokens", np.uint32), ("size", np.uint8), ("mark", np.uint64), ("key", np.uint32)))
         entry = np.repeat(np.arange(len(ref), dtype=np.uint32), many)
         order = np.argsort(token, kind="stable")
         token, entry = token[order], entry[order]
         same = token[1:] == token[:-1]
         shared = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]])) if len(token) else np.empty(0, np.int64)
         token, entry = token[shared], entry[shared]
-        order = np.lexsort((key[entry], size[entry], token))
+        order = np.lexsort((key[entry], mark[entry], size[entry], token))
         token, entry = token[order], entry[order]
         s, m, k = size[entry], mark[entry], key[entry]
         # The same line from several slices counts once.
-        once = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (k[1:] != k[:-1])])) if len(token) else np.empty(0, np.int64)
+        once = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (s[1:] != s[:-1]) | (m[1:] != m[:-1]) | (k[1:] != k[:-1])])) if len(token) else np.empty(0, np.int64)
         token, entry, s, m = token[once], entry[once], s[once].astype(np.int64), m[once]
         cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, np.int64)
         length = np.diff(cut)
