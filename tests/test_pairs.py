@@ -33,6 +33,14 @@ def told(df):
     return sorted((tuple(r) for r in df.collect()), key=lambda r: [(x is not None, round(x, 4) if isinstance(x, float) else x) for x in r])
 
 
+def test_near_clones(spark):
+    """One genotype in 19 of 20 loci, in 4 of 4; not in 3 of 3, nor across populations."""
+    many = [(i, p, "R", l, 1, 2 if (i, l) != (2, 20) else 3) for i, p in ((1, "A"), (2, "A"), (3, "B")) for l in range(1, 21)]
+    few = [(i, "C", "R", l, *(a[::-1] if i == 5 else a)) for i, k in ((4, 4), (5, 4), (6, 3)) for l, a in zip(range(k), [(1, 2), (2, 2), (1, 3), (3, 3)])]
+    geno = spark.createDataFrame(many + few, "ind bigint, pop string, region string, locus int, a1 bigint, a2 bigint")
+    assert told(Dataset(spark, geno=geno).result("near_clones")) == [(1, 2, 20, 0.95), (4, 5, 4, 1.0)]
+
+
 @pytest.mark.parametrize("small", [1024, 6])
 @pytest.mark.parametrize("name", sorted(pairs.PAIRS))
 def test_blocks_equal_the_sql(odd, monkeypatch, name, small):
@@ -46,6 +54,22 @@ def test_blocks_equal_the_sql(odd, monkeypatch, name, small):
     assert odd.result(name).columns == odd.sql(QUERIES[name]).columns
 
 
+@pytest.mark.parametrize("small", [1024, 4])
+@pytest.mark.parametrize("name", sorted(pairs.MADE))
+def test_mismatches_equal_the_sql(spark, monkeypatch, name, small):
+    monkeypatch.setattr(pairs, "SMALL", small)
+    monkeypatch.setattr(pairs, "SITES", 4)
+    g = np.random.default_rng(3)
+    pop = lambda i: [None, "A", "B", "C"][min(i % 7, 3)]
+    rows = [(i, pop(i), s, "ACGT"[int(g.integers(4)) * int(g.random() < 0.3)]) for i in range(40) for s in range(1, 10)]
+    # Site 10: one sequence twice, one not at all.
+    rows += [(i, pop(i), 10, "AC"[i % 2]) for i in [*range(39), 3]]
+    data = Dataset(spark, sites=spark.createDataFrame(rows, "ind bigint, pop string, site int, base string"))
+    want = told(data.sql(QUERIES[name]))
+    assert len(want) >= 3
+    assert told(data.result(name)) == want
+
+
 def test_the_registered_pairs_are_all_pairs():
     for name in ("individual_distances", "loiselle_kinship", "band_distances", "gower", "haploid_p_distance", "k2p_distance"):
         assert "% 100" not in duck_sql(name)
