@@ -15,14 +15,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from popspark.operators.permutation import CHUNK, CHUNKS, GROUPS, NEAR, shuffled
+from popspark.operators.permutation import CHUNK, GROUPS, NEAR, shuffled
 from popspark.plans.working import kept
 
 #: Individuals of a population that is tested by itself, at least.
 LEAST = 5
+#: Genotype classes that are broadcast, at most.
+KINDS = 1 << 18
+#: Individuals of a chunk, at most (about), and of those whose classes are counted at once.
+LARGE, BLOCK = 1 << 20, 1 << 15
 
 
 class Classes(NamedTuple):
@@ -77,8 +82,11 @@ def tables(codes: np.ndarray, width: int) -> np.ndarray:
     """pairs of loci x classes x classes, from the classes of individuals (loci x individuals)."""
     a, b = np.triu_indices(len(codes), 1)
     cells = width * width
-    at = codes[a] * width + codes[b] + (np.arange(len(a)) * cells)[:, None]
-    return np.bincount(at.ravel(), minlength=len(a) * cells).reshape(len(a), width, width)
+    first, out = (np.arange(len(a)) * cells)[:, None], np.zeros(len(a) * cells, np.int64)
+    for s in range(0, codes.shape[1], BLOCK):
+        some = codes[:, s : s + BLOCK]
+        out += np.bincount((some[a] * width + some[b] + first).ravel(), minlength=len(out))
+    return out.reshape(len(a), width, width)
 
 
 def products(x: Classes, n: np.ndarray) -> np.ndarray:
@@ -109,22 +117,28 @@ def measures(x: Classes, n: np.ndarray, pairwise: bool) -> list[float | None]:
 
 def _measured(geno: DataFrame, replicates: int, pairwise: bool, pooled: bool) -> tuple[DataFrame, DataFrame]:
     """(scope, b, n, measures) of the data (b = 0) and the replicates, and the loci by number."""
-    geno = kept(geno.where("a1 IS NOT NULL AND a2 IS NOT NULL").select("ind", "pop", "locus", F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b")))
-    kinds = geno.select("locus", "a", "b").distinct()
+    geno = geno.where("a1 IS NOT NULL AND a2 IS NOT NULL").select("ind", "pop", "locus", F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"))
+    numbers = kept(geno.groupBy("pop", "locus", "a", "b").agg(F.count("*").alias("n")))
+    kinds = numbers.select("locus", "a", "b").distinct()
     loci = kinds.select("locus").distinct().withColumn("nth", F.row_number().over(Window.orderBy("locus")) - 1)
-    kinds = kinds.withColumn("code", F.row_number().over(Window.partitionBy("locus").orderBy("a", "b"))).join(loci, "locus")
-    scope = F.col("pop").cast("string")
-    scopes = F.explode(F.array(scope, F.lit(None).cast("string")) if pooled else F.array(scope)).alias("scope")
-    coded = geno.join(kinds, ["locus", "a", "b"]).select("ind", scopes, "nth", "code", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
-    coded = coded.withColumn("name", F.coalesce(F.concat(F.lit("="), "scope"), F.lit("*"))).drop("scope")
-    inds = coded.select("name", "ind").distinct()
-    chunks = F.greatest(F.lit(1), F.least(F.lit(CHUNKS), (F.col("people") / CHUNK).cast("int")))
-    size = kept(inds.groupBy("name").agg(F.count("*").alias("people")).where(F.col("people") >= LEAST).withColumn("chunks", chunks))
-    number = size.count()
-    held = coded.join(size, "name").withColumn("chunk", F.pmod(F.xxhash64("ind", F.lit(11)), "chunks").cast("int"))
-    packed = held.groupBy("name", "chunk", "ind").agg(F.collect_list(F.struct("nth", "code")).alias("own"))
-    sizes = held.select("name", "chunk", "ind").distinct().groupBy("name", "chunk").count().groupBy("name").agg(F.collect_list(F.struct("chunk", "count")).alias("sizes"))
-    counts = held.groupBy("name", "nth", "code", "a", "b").agg(F.count("*").alias("n"))
+    kinds = kept(kinds.withColumn("code", F.row_number().over(Window.partitionBy("locus").orderBy("a", "b"))).join(loci, "locus"))
+    width = 1 + (kinds.agg(F.max("code")).first()[0] or 0)
+    scope = F.concat(F.lit("="), F.col("pop").cast("string"))
+    of = ["name", "nth", "code", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")]
+    counts = numbers.join(kinds, ["locus", "a", "b"]).withColumn("name", F.explode(F.array(*([scope, F.lit("*")] if pooled else [scope])))).where("name IS NOT NULL").groupBy(*of).agg(F.sum("n").alias("n"))
+    # A row per individual, grouped where the genotypes lie; a locus and its class are one number.
+    coded = geno.join(F.broadcast(kinds) if kinds.count() <= KINDS else kinds, ["locus", "a", "b"]).select("ind", "pop", (F.col("nth") * width + F.col("code")).cast("int").alias("at"))
+    people = coded.where("pop IS NOT NULL").groupBy("pop", "ind").agg(F.collect_list("at").alias("own")).select(scope.alias("name"), "ind", "own")
+    if pooled:
+        people = people.unionByName(coded.groupBy("ind").agg(F.collect_list("at").alias("own")).select(F.lit("*").alias("name"), "ind", "own"))
+    people = kept(people)
+    size = kept(people.groupBy("name").agg(F.count("*").alias("people")).where(F.col("people") >= LEAST))
+    number, total = size.agg(F.count("*"), F.coalesce(F.sum("people"), F.lit(1))).first()
+    # Every chunk gives tables of every replicate, so there are no more chunks than keep the tasks busy, or than their size allows.
+    share = F.greatest(F.ceil(F.col("people") * 2 * GROUPS / total), F.ceil(F.col("people") / LARGE))
+    size = size.withColumn("chunks", F.greatest(F.lit(1), F.least(share, F.col("people") / CHUNK)).cast("int"))
+    packed = people.join(F.broadcast(size.select("name", "chunks")), "name").select("name", F.pmod(F.xxhash64("ind", F.lit(11)), "chunks").cast("int").alias("chunk"), "own")
+    sizes = packed.groupBy("name", "chunk").count().groupBy("name").agg(F.collect_list(F.struct("chunk", "count")).alias("sizes"))
     design = counts.groupBy("name").agg(F.collect_list(F.struct("nth", "code", "a", "b", "n")).alias("kinds")).join(sizes, "name").join(size, "name")
     parts = F.greatest(F.lit(1), F.least(F.lit(max(1, replicates)), (F.lit(GROUPS / max(1, number)) / F.col("chunks")).cast("int")))
     units = design.withColumn("parts", parts).select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -135,22 +149,22 @@ def _measured(geno: DataFrame, replicates: int, pairwise: bool, pooled: bool) ->
             return schema.empty_table()
         u = unit.to_pylist()[0]
         x = classes_of(u["kinds"], u["people"])
-        width, loci_ = x.n.shape[1], len(x.n)
+        wide, loci_ = x.n.shape[1], len(x.n)
         sizes_ = np.zeros(u["chunks"], np.int64)
         for s in u["sizes"]:
             sizes_[s["chunk"]] = s["count"]
         out = []
 
         def add(b: int, codes: np.ndarray) -> None:
-            n = tables(codes, width)
+            n = tables(codes, wide)
             whole = u["chunks"] == 1
             out.append({"name": u["name"], "b": b, "people": u["people"], "kinds": None if whole else u["kinds"], "measures": measures(x, n, pairwise) if whole else None, "tables": None if whole else n.astype(np.int32).tobytes()})
 
         if u["part"] == 0:
             codes = np.zeros((loci_, people.num_rows), np.int64)
-            for i, own in enumerate(people["own"].to_pylist()):
-                for s in own:
-                    codes[s["nth"], i] = s["code"]
+            own = people["own"].combine_chunks()
+            at = own.flatten().to_numpy()
+            codes[at // width, pc.list_parent_indices(own).to_numpy()] = at % width
             add(0, codes)
         mine = range(u["part"], replicates, u["parts"])
         streams = [shuffled(x.n[l], sizes_, u["chunk"], len(mine), u["name"], l, u["part"]) for l in range(loci_)]

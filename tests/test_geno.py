@@ -35,3 +35,15 @@ def test_counts_of_genotypes_give_the_steps(spark):
         plain = spark.sql(statement(f"SELECT * FROM {name}", "spark", {"geno": "SELECT * FROM {g}"}), g=geno)
         assert same(Dataset(spark, geno=geno).sql(f"SELECT * FROM {name}"), plain)
     assert genotype_kinds(geno).agg(F.sum("n")).first()[0] == len(rows)
+
+
+def test_linkage_counts_an_individual_without_population_once(spark):
+    from popspark.operators.association import multilocus_ld, pairwise_ld
+
+    def geno(other):
+        rows = [(i, "A" if i < 12 else other, "R", l, (i * 7 + k) % 3, (i * i + k) % 3) for i in range(24) for k, l in enumerate(("L1", "L2", "L3"))]
+        return spark.createDataFrame(rows, "ind int, pop string, region string, locus string, a1 int, a2 int")
+
+    for test in (multilocus_ld, pairwise_ld):
+        none, told = ({tuple(r)[:-1] for r in test(geno(p), 9).collect() if r.pop in (None, "A")} for p in (None, "Z"))
+        assert none == told and len(none) > 1
