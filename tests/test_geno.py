@@ -47,3 +47,16 @@ def test_linkage_counts_an_individual_without_population_once(spark):
     for test in (multilocus_ld, pairwise_ld):
         none, told = ({tuple(r)[:-1] for r in test(geno(p), 9).collect() if r.pop in (None, "A")} for p in (None, "Z"))
         assert none == told and len(none) > 1
+
+
+def test_sequences_asked_meet_all_others_in_blocks(spark, monkeypatch):
+    from popspark.operators import patterns
+
+    sites = spark.createDataFrame([(i, "P", s, "ACGT-"[(i * i + i * s + s) % 5]) for i in range(30) for s in range(12)], "ind bigint, pop string, site int, base string")
+    columns = spark.sql(statement("SELECT * FROM patterns", "spark", {"sites": "SELECT * FROM {s}"}), s=sites)
+    whole = patterns.sequence_distances(sites, columns).collect()
+    monkeypatch.setattr(patterns, "BLOCK", 2)
+    got = patterns.sequence_distances(sites, columns, 10)
+    assert got.count() == 3 + 3 * 27
+    told = {frozenset(r[:2]): r[2:] for r in whole}
+    assert all(told[frozenset(r[:2])] == r[2:] for r in got.collect())
