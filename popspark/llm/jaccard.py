@@ -7,7 +7,8 @@ Index: shingles have one order everywhere, frequent ones last. Two sets can only
 the threshold if they share a shingle among the first n - ceil(t n) + 1 of each, so
 only those are posted, with their place in the set. Lists of one entry are dropped.
 List entries are skipped by size, and by position: a shared shingle at places i and j
-leaves at most 1 + min(n - i, m - j) - 1 more to share.
+leaves at most 1 + min(n - i, m - j) - 1 more to share. What passes is held against
+parities of both sets that the entries carry; only pairs left by these leave their task.
 
 Set relations: in each list the members are first held against the list's leader, the
 set that shares most with others. A set that is highly similar to its leader takes over
@@ -28,11 +29,13 @@ is the smallest doc_id that is not null. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,20 +55,19 @@ FAMILY_BLOCK = 2000
 #: Bytes of shingles of a family that a task compares with as many others.
 FAMILY_BYTES = 32 << 20
 
-_words: dict[bytes, int] = {}
-M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-
+#: Bytes of texts that are hashed at a time (about); longer words are hashed one by one.
+PIECE, LONG = 1 << 20, 64
+#: Entries of a list that a task compares with as many others, and pairs that it holds.
+LIST_BLOCK, PAIRS = 2000, 1 << 19
+#: Bytes of the parities that a list's entry carries.
+BRIEF = 64
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_words) > 600_000:
-        _words.clear()
-    get, out = _words.get, []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _words[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: The first k of eight bytes.
+HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -75,16 +77,58 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """The ascending distinct shingle hashes of a text."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h, k = word_hashes(words), min(size, len(words))
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``data`` begin, and their hashes, eight bytes at a time over all words."""
+    n = len(data)
+    low = np.full(n + 8, 32, np.uint8)
+    low[:n] = LOWER[np.frombuffer(data, np.uint8)]
+    space = SPACE[low]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.concatenate([[0], edges])
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray((n + 1,), "<u8", low, 0, (1,))
+    h = mixed((eight[start] & HEAD[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * M3))
+    k, more = 8, np.flatnonzero((size > 8) & (size <= LONG))
+    while len(more):
+        h[more] = mixed(h[more] * M2 + (eight[start[more] + k] & HEAD[np.minimum(size[more] - k, 8)]))
+        k += 8
+        more = more[size[more] > k]
+    for i in np.flatnonzero(size > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(low[start[i] : start[i] + size[i]].tobytes())
+    return start, h
+
+
+def joined(h: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each run of k words."""
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
         out = out * (M1, M2, M3)[i % 3] + h[i : len(h) - k + 1 + i]
-    return np.unique(mixed(out))
+    return mixed(out)
+
+
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The ascending distinct shingle hashes of each text; texts are hashed about ``PIECE`` bytes at a time."""
+    held = texts.fill_null("").cast(pa.large_binary())
+    ends = np.cumsum(pc.binary_length(held).to_numpy())
+    at = 0
+    while at < len(held):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + PIECE, "right")))
+        # A blank parts the texts.
+        start, h = hashed_words(b" ".join(held.slice(at, to - at).to_pylist()))
+        first = np.searchsorted(start, np.concatenate([[0], ends[at:to] - before + np.arange(1, to - at + 1)]))
+        runs = joined(h, size) if len(h) >= size else None
+        for a, b in itertools.pairwise(first.tolist()):
+            own = runs[a : b - size + 1] if b - a >= size else joined(h[a:b], b - a) if b > a else h[:0]
+            own.sort()
+            yield own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+        at = to
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """The ascending distinct shingle hashes of a text."""
+    return next(shingle_sets(pa.array([text], pa.string()), size))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -97,6 +141,10 @@ def sketch(hashes: np.ndarray) -> bytes:
     The number of bits is a power of two about the size of the set; a longer sketch folds to a shorter one by exclusive or.
     """
     bits = 64 if len(hashes) == 0 else max(64, 1 << int(len(hashes) - 1).bit_length())
+    return parities(hashes, bits)
+
+
+def parities(hashes: np.ndarray, bits: int) -> bytes:
     at = ((hashes * M2) >> np.uint64(17)) & np.uint64(bits - 1)
     return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -128,28 +176,28 @@ def _dealt(values: dict[str, np.ndarray], bucket: np.ndarray, n: int) -> Iterato
 
 
 def _sizes_and_counts(texts: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
-    """Rows of two kinds: sid, n, sketch of each text; bucket, shingles, counts of the shingles that could be posted."""
+    """Rows of two kinds: sid, n, sketch, brief (parities) of each text; bucket, shingles, counts of the shingles that could be posted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sid", "n", "sketch", "bucket", "shingles", "counts"]
+        names = ["sid", "n", "sketch", "brief", "bucket", "shingles", "counts"]
         for b in batches:
-            sizes, sketches, low = [], [], [np.empty(0, np.uint64)]
-            for t in b.column(1):
-                h = shingles(t.as_py(), size)
+            sizes, sketches, briefs, low = [], [], [], [np.empty(0, np.uint64)]
+            for h in shingle_sets(b.column(1), size):
                 sizes.append(len(h))
                 sketches.append(sketch(h))
+                briefs.append(parities(h, 8 * BRIEF))
                 low.append(h[: 2 * prefix_length(len(h), percent)] >> np.uint64(16))
             k = b.num_rows
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(briefs, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
             values, counts = np.unique(np.concatenate(low), return_counts=True)
             rows = list(_dealt({"v": values, "c": counts.astype(np.uint32)}, (values % np.uint64(buckets)).astype(np.int32), buckets))
             k = len(rows)
             yield pa.record_batch(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1]["v"] for r in rows], pa.binary()), pa.array([r[1]["c"] for r in rows], pa.binary())],
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1]["v"] for r in rows], pa.binary()), pa.array([r[1]["c"] for r in rows], pa.binary())],
                 names=names,
             )
 
-    return texts.select("sid", "text").mapInArrow(frugal(run), "sid bigint, n bigint, sketch binary, bucket int, shingles binary, counts binary")
+    return texts.select("sid", "text").mapInArrow(frugal(run), "sid bigint, n bigint, sketch binary, brief binary, bucket int, shingles binary, counts binary")
 
 
 def _frequent(counted: DataFrame) -> np.ndarray:
@@ -188,8 +236,7 @@ def index_lists(texts: DataFrame, hot: np.ndarray, size: int, percent: int, buck
         hot_sorted, hot_rank = shipped.value
         for b in batches:
             token, sid, n, pos = ([np.empty(0, kind)] for kind in (np.uint64, np.int64, np.uint32, np.uint32))
-            for s, t in zip(b.column(0).to_pylist(), b.column(1)):
-                h = shingles(t.as_py(), size)
+            for s, h in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), size), strict=True):
                 p = prefix_length(len(h), percent) if len(h) else 0
                 token.append(ordered(h, hot_sorted, hot_rank)[:p])
                 sid.append(np.full(p, s, np.int64))
@@ -215,7 +262,7 @@ def sets_of(need: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in b.column(1)], pa.binary())], names=["sid", "set"])
+            yield pa.record_batch([b.column(0), pa.array([h.tobytes() for h in shingle_sets(b.column(1), size)], pa.binary())], names=["sid", "set"])
 
     return texts.join(bounded(need, BROADCAST_IDS), "sid", "left_semi").select("sid", "text").mapInArrow(frugal(make), "sid bigint, set binary")
 
@@ -256,7 +303,7 @@ def component_labels(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = distinct_texts(docs)
     counted = stored(_sizes_and_counts(texts, size, percent, buckets), "counts")
-    sizes = stored(counted.where("sid IS NOT NULL").select("sid", "n", "sketch"), "sizes")
+    sizes = stored(counted.where("sid IS NOT NULL").select("sid", "n", "sketch", "brief"), "sizes")
     hot = _frequent(counted)
     discard(counted)
     lists = index_lists(texts, hot, size, percent, buckets)
@@ -294,14 +341,11 @@ def component_labels(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple
     close = stored(family_links(members, percent), "close")
     discard(members)
     # ... and all others wherever they meet in a list, if size and position allow.
-    listed = stored(left.join(lead.select("sid", "family"), "sid", "left"), "open-lists")
-    one, two = listed.select("token", "sid", "n", "pos", "label", "family"), listed.select("token", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"), F.col("family").alias("family2"))
+    listed = left.join(lead.select("sid", "family"), "sid", "left").join(sizes.select("sid", "brief"), "sid")
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / (100 + percent))
-    room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    other = F.coalesce(F.col("family") != F.col("family2"), F.lit(True))
-    across = one.join(two, "token").where((F.col("sid") < F.col("sid2")) & (F.col("label") != F.col("label2")) & other & fits & (room >= need))
-    pairs = across.groupBy("sid", "sid2").agg(F.first("n").alias("n"), F.first("n2").alias("n2"))
-    pairs = stored(pairs.select(F.col("sid").alias("a"), F.col("sid2").alias("b"), "n", "n2"), "across")
+    across = across_families(stored(listed, "open-lists"), percent)
+    pairs = across.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("n2").alias("n2"))
+    pairs = stored(pairs, "across")
     side = lambda c: sizes.select(F.col("sid").alias(c), F.col("sketch").alias(f"s{c}"))
     differ = F.pandas_udf(_sketch_bound, "bigint")
     passed = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", differ("sa", "sb"))
@@ -315,6 +359,66 @@ def component_labels(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple
     return texts, every.select("sid", "n", F.coalesce("label", "sid").alias("label"))
 
 
+def across_families(listed: DataFrame, percent: int) -> DataFrame:
+    """a < b, n, n2: pairs of a list that size, position and parities let reach the threshold, of two labels and not of one family.
+
+    ``listed`` has token, sid, n, pos, label, family (may be null), brief. Long lists are cut into blocks, and a group takes two;
+    the lists of a partition come sorted, so a task reads them one behind the other.
+    """
+    size = listed.groupBy("token").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("k"))
+    rows = listed.join(size, "token").withColumn("own", F.pmod(F.xxhash64("sid", F.lit(5)), F.col("k")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    names = ["token", "i", "j", "own", "sid", "n", "pos", "label", "family", "brief"]
+    rows = rows.select("token", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), *names[3:])
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, i, j, own, sid, n, pos, label = (t[c].to_numpy().astype(np.int64) for c in names[:8])
+        family = t["family"].fill_null(-1).to_numpy()
+        brief = np.frombuffer(b"".join(t["brief"].to_pylist()), np.uint64).reshape(len(sid), -1)
+        change = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        cut = np.concatenate([[0], change, [len(sid)]])
+        after = np.repeat(cut[1:], np.diff(cut)) - np.arange(len(sid)) - 1
+        total = np.concatenate([[0], np.cumsum(after)])
+        at = 0
+        while at < len(sid):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
+            x = np.repeat(np.arange(at, to), after[at:to])
+            y = x + 1 + np.arange(len(x)) - (total[x] - total[at])
+            at = to
+            ok = (label[x] != label[y]) & ((family[x] != family[y]) | (family[x] < 0)) & ((i[x] == j[x]) | (own[x] != own[y]))
+            x, y = x[ok], y[ok]
+            least = -(-percent * (n[x] + n[y]) // (100 + percent))
+            ok = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= least)
+            x, y, least = x[ok], y[ok], least[ok]
+            apart = np.bitwise_count(brief[x] ^ brief[y]).sum(axis=1, dtype=np.int64)
+            ok = (n[x] + n[y] - apart >= 2 * least) & (sid[x] != sid[y])
+            x, y = x[ok], y[ok]
+            a, b = np.where(sid[x] < sid[y], x, y), np.where(sid[x] < sid[y], y, x)
+            # A pair meets in many lists.
+            _, first = np.unique(np.stack([sid[a], sid[b]]), axis=1, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
+            a, b = a[first], b[first]
+            yield pa.record_batch([pa.array(v) for v in (sid[a], sid[b], n[a], n[b])], names=["a", "b", "n", "n2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            key = np.stack([t[c].to_numpy() for c in names[:3]])
+            # The last group may go on in the next batch.
+            last = np.flatnonzero((key != key[:, -1:]).any(axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from pairs(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None and held.num_rows:
+            yield from pairs(held)
+
+    sorted_rows = rows.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return sorted_rows.mapInArrow(frugal(run), "a bigint, b bigint, n bigint, n2 bigint")
+
+
 def family_links(members: DataFrame, percent: int) -> DataFrame:
     """a < b: links between sets of one family, as many as join all that belong together.
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -88,6 +89,40 @@ def test_sketch_bounds_the_difference():
         assert jaccard.apart(jaccard.sketch(a), jaccard.sketch(b)) <= len(np.setxor1d(a, b))
 
 
+def test_shingles_of_batches(monkeypatch):
+    texts = ["a b c d e", None, "", " \t", "A B  c\nd e", "a b", "ab", "ab\0 x", "ab x", "w" * 70 + " x y z Q", "W" * 70 + " x y z q", "w" * 71 + " x y z q", "éé É word-of-nine-or-more 日本語の言葉", "no\u00a0break"] * 3
+    for piece in (1 << 20, 8):
+        monkeypatch.setattr(jaccard, "PIECE", piece)
+        got = [x.tolist() for x in jaccard.shingle_sets(pa.array(["left out", *texts])[1:], 4)]
+        runs = []
+        for t in texts:
+            w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+            runs.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+        # Sets are equal just where the runs of words are, and as large.
+        assert [len(x) for x in got] == [len(x) for x in runs]
+        assert [[x == y for y in got] for x in got] == [[x == y for y in runs] for x in runs]
+
+
+def test_pairs_across_families_stay_in_their_task(spark, monkeypatch):
+    """A list of many sets below the threshold gives no pair, and no pair that reaches it is lost, whatever the blocks and batches."""
+    rnd = np.random.default_rng(8)
+    base = rnd.integers(0, 1 << 63, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rnd.choice(base, 60, replace=False), rnd.integers(0, 1 << 63, 30, dtype=np.uint64)])) for _ in range(60)]
+    sets += [np.unique(np.concatenate([x[:-1], base[:1]])) for x in sets[:5]]
+    rows = [(t, s, len(x), 0, s, None if s % 3 else s, jaccard.parities(x, 512)) for t in (7, 8) for s, x in enumerate(sets)]
+    listed = spark.createDataFrame(rows, "token bigint, sid bigint, n bigint, pos bigint, label bigint, family bigint, brief binary")
+    near = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
+    assert len(near) >= 5
+    try:
+        for block, batch in ((2000, 10000), (9, 7)):
+            monkeypatch.setattr(jaccard, "LIST_BLOCK", block)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = {(r.a, r.b) for r in jaccard.across_families(listed, 85).collect()}
+            assert near <= got and len(got) < len(near) + 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def of_line(line):
     """What makes a line equal to another: its words, or its marks; empty if blank."""
     return lines.normalised(line) or " ".join(x for x in re.split("[ \t\x0b\x0c\r]+", line) if x)
