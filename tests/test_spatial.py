@@ -5,7 +5,8 @@ import itertools
 import numpy as np
 import pytest
 
-from popspark.operators import spatial
+from popspark.dataset import QUERIES, Dataset
+from popspark.operators import pairs, ranked, spatial
 
 GENO = "ind bigint, pop string, region string, locus string, a1 bigint, a2 bigint"
 
@@ -107,3 +108,24 @@ def test_few_pairs(spark):
     rows, places = field(9)
     table, line = spatial.correlogram(spatial.genotype_scores(spark.createDataFrame(rows, GENO)), spark.createDataFrame(places, "ind bigint, pop string, lat double, lon double"), 9)
     assert table.count() == 0 and line.count() == 0
+
+
+@pytest.mark.parametrize("places_of", ["apart", "tied", "few"])
+def test_ranked_pairs_equal_the_sql(spark, monkeypatch, places_of):
+    """Blocks, ranges and distances that many pairs share; no step of the Spark form gives a row per pair."""
+    monkeypatch.setattr(pairs, "SMALL", 9)
+    monkeypatch.setattr(ranked, "WIDTH", 1 << 24)
+    rows, places = field(9 if places_of == "few" else 40)
+    if places_of == "tied":
+        places = [(i, p, lat and float(round(lat)), lon and float(round(lon))) for i, p, lat, lon in places]
+    data = Dataset(spark, geno=spark.createDataFrame(rows, GENO), places=spark.createDataFrame(places, "ind bigint, pop string, lat double, lon double"))
+    for name in ("correlogram", "kinship_slope"):
+        want, got = data.sql(QUERIES[name]), data.result(name)
+        assert got.columns == want.columns and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+        want, got = (sorted(tuple(r) for r in x.collect()) for x in (want, got))
+        assert len(got) == len(want) and all(g == pytest.approx(w, abs=2e-6) for g, w in zip(got, want, strict=True))
+    made = []
+    monkeypatch.setattr(ranked, "kept", lambda df: made.append(df) or df)
+    ranked.by_class(data.sql("SELECT * FROM mapped_rows"))
+    n = data.result("kinship_slope").first().n
+    assert places_of != "apart" or made[-1].where("mm IS NOT NULL").count() < n / 10
