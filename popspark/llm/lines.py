@@ -21,7 +21,8 @@ Lists of at most LIST lines give all pairs that the bounds of size and of differ
 leave, neither of which loses a pair. Longer lists are first held against one leader. A line
 is verified against one of its candidates first; pairs inside a component need no
 comparison, so a family of thousands costs thousands of comparisons. Then the pairs across
-components, those of the longer lists included, are verified.
+components are verified, those of the longer lists where the list's lines meet: no pair leaves
+its task but a link that joins two components there.
 
 Lines of marks alone are linked with nothing; of those that are equal up to white space the first stays. Blank
 lines are never dropped. Null texts are empty: one line
@@ -35,6 +36,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -52,7 +54,7 @@ BLOCKS = 2
 #: Lines of a list of which all pairs are formed at once; longer lists have a leader.
 LIST = 16
 #: Rounds of leaders in longer lists; the pairs left over are all compared, so this is a matter of speed only.
-TURNS = 4
+TURNS = 2
 #: Lines of a longer list that a task holds against as many others.
 LIST_BLOCK = 4096
 #: Lines that share one number of postings' blobs.
@@ -235,20 +237,22 @@ def near(i: np.ndarray, j: np.ndarray, size: np.ndarray, mark: np.ndarray, least
     return (HIGH[size[i]] >= least * LOW[size[j]] - 1e-9) & (bits <= 2 * _edits(longer, least) - gap)
 
 
-def pairs_of_runs(key: np.ndarray, size: np.ndarray, mark: np.ndarray, least: float, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): the pairs of entries of equal ``key`` (sorted; sizes ascend in it) that the bounds leave, of different labels."""
-    i, step, out = np.arange(max(0, len(key) - 1)), 1, [np.empty((2, 0), np.int64)]
+def pairs_by_step(key: np.ndarray, size: np.ndarray, mark: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """(i, j): the pairs of entries of equal ``key`` (sorted; sizes ascend in it) that the bounds leave, those of one distance in the order at a time."""
+    i, step = np.arange(max(0, len(key) - 1)), 1
     while len(i):
         j = i + step
         on = (key[i] == key[j]) & (HIGH[size[i]] >= least * LOW[size[j]] - 1e-9)
         i, j = i[on], j[on]
         ok = near(i, j, size, mark, least)
-        if label is not None:
-            ok &= label[i] != label[j]
-        out.append(np.stack([i[ok], j[ok]]))
+        yield np.stack([i[ok], j[ok]])
         step += 1
         i = i[i + step < len(key)]
-    return tuple(np.concatenate(out, axis=1))
+
+
+def pairs_of_runs(key: np.ndarray, size: np.ndarray, mark: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All of ``pairs_by_step`` at once."""
+    return tuple(np.concatenate([np.empty((2, 0), np.int64), *pairs_by_step(key, size, mark, least)], axis=1))
 
 
 FOUND = "a bigint, b bigint, k1 bigint, k2 bigint, token bigint, size int, mark bigint"
@@ -377,9 +381,12 @@ def _apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _verified(pairs: DataFrame, uniq: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """a, b of those pairs (distinct) whose lines have the edit similarity; a wide sketch first drops most of the others without their texts."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), uniq, docs)
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """a, b of those pairs (distinct) whose lines have the edit similarity; a wide sketch first drops most of the others without their texts, which go at the end."""
     side = lambda c, *more: texts.select(F.col("lid").alias(c), *[F.col(m).alias(m + c) for m in more])
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,27 +412,60 @@ def _verified(pairs: DataFrame, uniq: DataFrame, docs: DataFrame, least: float)
     return out
 
 
-def across_lists(entries: DataFrame, least: float) -> DataFrame:
-    """a, b (lines): pairs of different labels within long lists (token, lid, size, mark, label), blocks of which meet in a task."""
-    size = entries.groupBy("token").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    rows = entries.join(size.select("token", "k"), "token").withColumn("own", F.pmod(F.xxhash64("lid"), F.col("k")).cast("int"))
+def _bits(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each line in ``texts``, and 256 bits of it as ``parity`` has 48."""
+    size, bits = [np.empty(0, np.int64)], [np.empty((0, 4), np.uint64)]
+    for _, x in _parts(texts):
+        place = np.repeat(np.arange(len(x.size)), x.size) * 256 + ((wordarrays.counted(x) >> np.uint64(13)) & np.uint64(255)).astype(np.int64)
+        odd = (np.bincount(place, minlength=256 * len(x.size)) & 1).astype(np.uint8)
+        size.append(x.size)
+        bits.append(np.packbits(odd).view(np.uint64).reshape(-1, 4))
+    return np.concatenate(size), np.concatenate(bits)
+
+
+def across_lists(entries: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """a, b (lines): links that join the labels within long lists (token, lid, size, mark, label), blocks of which meet in a task with their texts.
+
+    A pair that shares several lists is looked at in one of them, that of the least number. Lists of one number are one list.
+    """
+    entries = entries.withColumn("token", F.hash("token"))
+    size = entries.groupBy("token").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("k"))
+    rows = entries.join(size, "token").withColumn("own", F.pmod(F.xxhash64("lid"), F.col("k")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Whole lists share groups; a block of a split list is a group of its own.
     bucket = F.when(F.col("k") > 1, F.xxhash64("token", F.least("own", "with"), F.greatest("own", "with"))).otherwise(F.pmod(F.xxhash64("token"), F.lit(4 * parts)))
     rows = rows.select(bucket.alias("bucket"), "token", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "lid", "size", "mark", "label")
+    lists = entries.groupBy("lid").agg(F.collect_set("token").alias("tokens"))
+    told = rows.select("bucket", "lid").distinct().join(texts.select("lid", "t").join(lists, "lid"), "lid")
+    none = [F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in ("bucket", "lid")]
+    both = rows.withColumns({"t": F.lit(None).cast("string"), "tokens": F.lit(None).cast("array<int>")}).unionByName(told.select("bucket", "lid", *none, "t", "tokens"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["token", "i", "j", "size", "lid"])
-        lid, label, mark = (part[c].to_numpy(np.int64) for c in ("lid", "label", "mark"))
+        lines = part[part["t"].notna()].sort_values("lid")
+        part = part[part["t"].isna()].sort_values(["token", "i", "j", "size", "lid"])
+        ids, text, lists = lines["lid"].to_numpy(np.int64), lines["t"].to_list(), lines["tokens"].to_list()
+        n, bits = _bits(pa.array(text, pa.string()))
+        words, held = cache(lambda k: words_by_line(text[k])[0]), cache(lambda k: frozenset(lists[k].tolist()))
+        at = np.searchsorted(ids, part["lid"].to_numpy(np.int64))
+        label = np.unique(part["label"].to_numpy(np.int64), return_inverse=True)[1]
+        token, own, cross = part["token"].to_numpy(), part["own"].to_numpy(), (part["i"] != part["j"]).to_numpy()
         group = part.groupby(["token", "i", "j"], sort=False).ngroup().to_numpy()
-        x, y = pairs_of_runs(group, part["size"].to_numpy(np.int64), mark.view(np.uint64), least, label)
-        own, cross = part["own"].to_numpy(), (part["i"] != part["j"]).to_numpy()
-        ok = ~cross[x] | (own[x] != own[y])
-        both = np.unique(np.stack([np.minimum(lid[x[ok]], lid[y[ok]]), np.maximum(lid[x[ok]], lid[y[ok]])], axis=1), axis=0)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
-
-    return rows.groupBy("bucket").applyInPandas(run, "a bigint, b bigint").distinct()
+        # Labels that links found here have joined have one top.
+        top, out = np.arange(len(label)), []
+        for x, y in pairs_by_step(group, part["size"].to_numpy(np.int64), part["mark"].to_numpy(np.int64).view(np.uint64), least):
+            ok = (top[label[x]] != top[label[y]]) & (~cross[x] | (own[x] != own[y]))
+            x, y = x[ok], y[ok]
+            a, b = at[x], at[y]
+            apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+            left = np.flatnonzero(apart <= 2 * _edits(np.maximum(n[a], n[b]), least) - np.abs(n[a] - n[b]))
+            for u, v, t, p, q in zip(a[left].tolist(), b[left].tolist(), token[x[left]].tolist(), label[x[left]].tolist(), label[y[left]].tolist()):
+                if top[p] != top[q] and min(held(u) & held(v)) == t and similar(words(u), words(v), least):
+                    top[top == top[p]] = top[q]
+                    out.append((ids[u], ids[v]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return both.groupBy("bucket").applyInPandas(run, "a bigint, b bigint")
 
 
 def _mixed(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -477,18 +517,21 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataF
     discard(named)
     # One candidate of each line decides most; then what lies across components is left.
     stars = stored(near_lines.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "stars")
-    links = _verified(stars, uniq, docs, least)
+    links = _verified(stars, _texts(_ends(stars), uniq, docs), least)
     labels = stored(components(links), "labels")
     for turn in range(TURNS):
         entries = stored(_mixed(entries, labels), "open-lists")
-        new = _verified(stored(leaders(entries, turn, least), "leaders"), uniq, docs, least)
+        best = stored(leaders(entries, turn, least), "leaders")
+        new = _verified(best, _texts(_ends(best), uniq, docs), least)
         entries = entries.drop("label")
         if new.isEmpty():
             break
         labels = stored(components(_stars(labels).unionByName(new)), "labels")
-    more = across_lists(_mixed(entries, labels), least).unionByName(near_lines)
-    more = _labelled(_labelled(more, "a", labels, "la"), "b", labels, "lb").where("la <> lb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verified(stored(more, "across"), uniq, docs, least)
+    entries = stored(_mixed(entries, labels), "mixed-lists")
+    rest = _labelled(_labelled(near_lines, "a", labels, "la"), "b", labels, "lb").where("la <> lb").select("a", "b")
+    rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "across")
+    texts = _texts(_ends(rest).unionByName(entries.select("lid")).distinct(), uniq, docs)
+    more = stored(across_lists(entries, texts, least), "links").unionByName(_verified(rest, texts, least))
     labels = stored(components(_stars(labels).unionByName(more)), "labels")
     linked = stored(uniq.join(labels.withColumnRenamed("node", "lid"), "lid").select("k1", "k2", "first", "label"), "linked")
     kept = linked.join(linked.groupBy("label").agg(F.min("first").alias("kept")), "label").select("k1", "k2", F.col("kept").alias("first"))

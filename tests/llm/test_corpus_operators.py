@@ -214,6 +214,28 @@ def test_line_families_over_the_list_bounds(spark, monkeypatch):
     assert Counter((r.doc_id, r.text) for r in lines.deduped(docs).collect()) == kept_by_brute_force(rows)
 
 
+def test_pairs_of_long_lists_stay_in_their_task(spark, monkeypatch):
+    """Lines that share nine words of twelve pass the bounds in great number; no table of pairs is larger than that of lines."""
+    monkeypatch.setattr(lines, "LIST", 4)
+    monkeypatch.setattr(lines, "LIST_BLOCK", 32)
+    made, stored = Counter(), lines.stored
+
+    def counted(df, tag):
+        out = stored(df, tag)
+        made[tag] = max(made[tag], out.count())
+        return out
+
+    monkeypatch.setattr(lines, "stored", counted)
+    rnd = random.Random(16)
+    shared = words(rnd, 9)
+    rows = [(k, " ".join([*shared, *(f"{c}{k}" for c in "xyz")])) for k in range(80)]
+    # Near one of these each: what differs are two words.
+    rows += [(100 + k, " ".join([*shared, f"x{k}", "new", f"other{k}"])) for k in range(0, 80, 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter((r.doc_id, r.text) for r in lines.deduped(docs).collect()) == kept_by_brute_force(rows)
+    assert 0 < max(made["across"], made["links"]) < len(rows), made
+
+
 def test_line_dedup_keeps_any_ids_and_columns(spark):
     long = " ".join(f"w{k}" for k in range(30_000))
     rows = [("b", long, 1, "x"), ("a", long.replace("w77 ", "v77 "), 2, "y"), (None, "Only one line here, of words", 3, None), ("c", "only ONE line here of words\n\u0130stanbul \u03a3\u03a3 x", 4, "z"), ("c", None, 5, "z")]
