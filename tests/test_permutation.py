@@ -198,3 +198,39 @@ def test_multilocus_ld_p(spark):
             new += [(*r[:4], *own[k][4:]) for r, k in zip(own, g.permutation(12))]
         hits += pair_measures(new, loci)[1] >= got.rd - 1e-12
     assert got.p == pytest.approx(hits / 600, abs=0.06)
+
+
+def test_subsets_are_uniform_and_exact():
+    wanted = np.array([0, 2, 5, 1] * 5000)
+    taken = permutation.subsets(5, wanted, np.random.default_rng(3))
+    assert (taken.sum(axis=1) == wanted).all()
+    got = Counter(tuple(np.flatnonzero(r).tolist()) for r in taken[1::4])
+    assert {k: v / 5000 for k, v in got.items()} == pytest.approx({k: 0.1 for k in itertools.combinations(range(5), 2)}, abs=0.02)
+
+
+@pytest.mark.parametrize("block, wide", [(1 << 15, 512), (2, 0)])
+def test_pairs_of_populations_deal_each_individual_once(spark, monkeypatch, block, wide):
+    """Chunks and blocks of a population, and two blocks of loci, against all arrangements; individuals leave for one chunk, not for one a pair."""
+    monkeypatch.setattr(permutation, "CHUNK", 2)
+    monkeypatch.setattr(permutation, "BLOCK", block)
+    monkeypatch.setattr(permutation, "WIDE", wide)
+    monkeypatch.setattr(permutation, "CELLS", 16)
+    rows = small(4, 3, 4, 3)
+    geno = spark.createDataFrame(rows, GENO)
+    inds, pops, _, _ = permutation.populations(geno)
+    coded = permutation.Coded(geno, 2)
+    assert coded.blocks > 1
+    met = []
+    monkeypatch.setattr(permutation, "kept", lambda df: met.append(df) or df)
+    counts = permutation.paired_counts(inds, coded, 50)
+    assert met[0].count() == inds.count() == 12
+    assert counts.where("b = 0").select("name", "block").distinct().count() == 3 * coded.alleles.select("block").distinct().count()
+    got = {(r.p1, r.p2): r for r in permutation.pairwise_tests(geno, 999).collect()}
+    for (p, q), r in got.items():
+        own = [x for x in rows if x[1] in (p, q)]
+        inds_ = sorted({x[0] for x in own})
+        pop_of = {x[0]: x[1] for x in own}
+        values = [permutation.theta_parts(counted(own, dict(zip(inds_, way)))) for way in arrangements([pop_of[i] for i in inds_])]
+        seen = permutation.theta_parts(counted(own, pop_of))
+        assert r.theta == pytest.approx(phi(seen, (0,), (0, 1, 2)), abs=1e-9)
+        assert r.p_theta == pytest.approx(np.mean([phi(v, (0,), (0, 1, 2)) >= r.theta - 1e-12 for v in values]), abs=0.06)
