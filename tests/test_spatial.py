@@ -129,3 +129,22 @@ def test_ranked_pairs_equal_the_sql(spark, monkeypatch, places_of):
     ranked.by_class(data.sql("SELECT * FROM mapped_rows"))
     n = data.result("kinship_slope").first().n
     assert places_of != "apart" or made[-1].where("mm IS NOT NULL").count() < n / 10
+
+
+@pytest.mark.parametrize("rounded", [False, True])
+def test_copies_are_compared_once(spark, monkeypatch, rounded):
+    """Individuals of one place and genotype are one row with a weight; pairs at limits are told apart by ids all the same."""
+    rows, places = field(24)
+    if rounded:
+        places = [(i, p, lat and float(round(lat)), lon and float(round(lon))) for i, p, lat, lon in places]
+    # Copies with ids between and beyond, of alleles in either order.
+    rows = [(4 * i + c, p, r, l, *((a, b) if c % 2 else (b, a))) for i, p, r, l, a, b in rows for c in range(4)]
+    places = [(4 * i + c, *rest) for i, *rest in places for c in range(4)]
+    data = Dataset(spark, geno=spark.createDataFrame(rows, GENO), places=spark.createDataFrame(places, "ind bigint, pop string, lat double, lon double"))
+    for name in ("correlogram", "kinship_slope"):
+        want, got = (sorted(tuple(r) for r in x.collect()) for x in (data.sql(QUERIES[name]), data.result(name)))
+        assert len(got) == len(want) and all(g == pytest.approx(w, abs=2e-6) for g, w in zip(got, want, strict=True))
+    met, meetings = [], ranked.meetings
+    monkeypatch.setattr(ranked, "meetings", lambda df: met.append(df.count()) or meetings(df))
+    ranked.by_class(data.sql("SELECT * FROM mapped_rows"))
+    assert met == [24]
