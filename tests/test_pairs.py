@@ -97,3 +97,17 @@ def test_association_forms_no_pairs(spark):
 def test_the_registered_pairs_are_all_pairs():
     for name in ("individual_distances", "loiselle_kinship", "band_distances", "gower", "haploid_p_distance", "k2p_distance"):
         assert "% 100" not in duck_sql(name)
+
+
+def test_near_clones_compares_copies_once(odd, spark, monkeypatch):
+    """Copies with ids between and beyond, alleles in either order, rows that repeat and null alleles; each set of genotypes meets others once."""
+    geno = [tuple(r) for r in odd.relations["geno"].collect()]
+    geno = [(ind and 10 * ind + c, pop, reg, l, *((a, b) if c % 2 else (b, a))) for ind, pop, reg, l, a, b in geno for c in range(3)]
+    many = [(9000 + i, "A", "R", 10 + l, 1, 2 if (i, l) != (2, 20) else 3) for i in (1, 2, 3) for l in range(1, 21)]
+    data = Dataset(spark, geno=spark.createDataFrame(geno + many, "ind bigint, pop string, region string, locus int, a1 bigint, a2 bigint"))
+    met, meetings = [], pairs.meetings
+    monkeypatch.setattr(pairs, "meetings", lambda df: met.append(df.count()) or meetings(df))
+    want, got = told(data.sql(QUERIES["near_clones"])), told(data.result("near_clones"))
+    assert len(want) >= 60 and [r[:3] for r in got] == [r[:3] for r in want]
+    assert all(g == pytest.approx(w, abs=2e-6) for g, w in zip(got, want, strict=True))
+    assert met[0] <= len({(p, i) for i, p, *_ in geno}) / 3 + 3
