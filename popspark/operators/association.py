@@ -11,6 +11,7 @@ places (``permutation.shuffled``), chunk by chunk where a population is large, a
 
 from __future__ import annotations
 
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -28,6 +29,8 @@ LEAST = 5
 KINDS = 1 << 18
 #: Individuals of a chunk, at most (about), and of those whose classes are counted at once.
 LARGE, BLOCK = 1 << 20, 1 << 15
+#: Cells of a table of several loci, at most.
+SEVERAL = 1 << 15
 
 
 class Classes(NamedTuple):
@@ -78,15 +81,43 @@ def moments(x: Classes) -> tuple[np.ndarray, np.ndarray]:
     return first, second
 
 
+def gathered(loci: int, size: int) -> list[list[int]]:
+    """Sets of ``size`` loci at most that hold every pair of loci; of seven loci, seven sets of three."""
+    left, out = {(a, b) for b in range(loci) for a in range(b)}, []
+    while left:
+        own = list(min(left))
+        while len(own) < min(size, loci):
+            more = {c: sum((min(a, c), max(a, c)) in left for a in own) for c in range(loci) if c not in own}
+            own.append(max(more, key=lambda c: (more[c], -c)))
+        own.sort()
+        left -= {(a, b) for b in own for a in own if a < b}
+        out.append(own)
+    return out
+
+
 def tables(codes: np.ndarray, width: int) -> np.ndarray:
     """pairs of loci x classes x classes, from the classes of individuals (loci x individuals)."""
-    a, b = np.triu_indices(len(codes), 1)
-    cells = width * width
-    first, out = (np.arange(len(a)) * cells)[:, None], np.zeros(len(a) * cells, np.int64)
-    for s in range(0, codes.shape[1], BLOCK):
-        some = codes[:, s : s + BLOCK]
-        out += np.bincount((some[a] * width + some[b] + first).ravel(), minlength=len(out))
-    return out.reshape(len(a), width, width)
+    loci, n = codes.shape
+    # Several loci are counted at once where that takes no more cells than there are individuals.
+    size = max([s for s in (3, 4) if width**s <= min(n, SEVERAL)], default=2)
+    sets = gathered(loci, size)
+    counts = [np.zeros(width ** len(own), np.int64) for own in sets]
+    kind = np.uint16 if width**size <= 1 << 16 else np.int64
+    for s in range(0, n, BLOCK):
+        some = codes[:, s : s + BLOCK].astype(kind)
+        for own, count in zip(sets, counts, strict=True):
+            at = some[own[0]]
+            for l in own[1:]:
+                at = at * kind(width) + some[l]
+            count += np.bincount(at, minlength=len(count))
+    out, seen = np.zeros((loci, loci, width, width), np.int64), set()
+    for own, count in zip(sets, counts, strict=True):
+        wide = count.reshape((width,) * len(own))
+        for x, y in combinations(range(len(own)), 2):
+            if (own[x], own[y]) not in seen:
+                seen.add((own[x], own[y]))
+                out[own[x], own[y]] = wide.sum(axis=tuple(k for k in range(len(own)) if k not in (x, y)))
+    return out[np.triu_indices(loci, 1)]
 
 
 def products(x: Classes, n: np.ndarray) -> np.ndarray:
@@ -158,7 +189,7 @@ def _measured(geno: DataFrame, replicates: int, pairwise: bool, pooled: bool) ->
         def add(b: int, codes: np.ndarray) -> None:
             n = tables(codes, wide)
             whole = u["chunks"] == 1
-            out.append({"name": u["name"], "b": b, "people": u["people"], "kinds": None if whole else u["kinds"], "measures": measures(x, n, pairwise) if whole else None, "tables": None if whole else n.astype(np.int32).tobytes()})
+            out.append({"name": u["name"], "b": b, "people": u["people"], "kinds": None if whole or u["chunk"] else u["kinds"], "measures": measures(x, n, pairwise) if whole else None, "tables": None if whole else n.astype(np.int32).tobytes()})
 
         if u["part"] == 0:
             codes = np.zeros((loci_, people.num_rows), np.int64)
@@ -181,8 +212,12 @@ def _measured(geno: DataFrame, replicates: int, pairwise: bool, pooled: bool) ->
 
     done = kept(first.repartition(GROUPS, *keys).groupBy(*keys).cogroup(units.repartition(GROUPS, *(f"u_{k}" for k in keys)).groupBy(*(f"u_{k}" for k in keys))).applyInArrow(named, "name string, b int, people bigint, kinds array<struct<nth:int,code:int,a:string,b:string,n:bigint>>, measures array<double>, tables binary"))
 
+    classes: dict[str, Classes] = {}
+
     def joined(rows: pa.Table) -> pa.Table:
-        x = classes_of(rows["kinds"][0].as_py(), rows["people"][0].as_py())
+        # The first chunk's row has the classes, which a task makes once for each name.
+        name = rows["name"][0].as_py()
+        x = classes.get(name) or classes.setdefault(name, classes_of(rows["kinds"].drop_null()[0].as_py(), rows["people"][0].as_py()))
         n = sum(np.frombuffer(t.as_buffer(), np.int32).astype(np.int64) for t in rows["tables"]).reshape(-1, x.n.shape[1], x.n.shape[1])
         return pa.table({"name": [rows["name"][0].as_py()], "b": pa.array([rows["b"][0].as_py()], pa.int32()), "people": pa.array([x.people], pa.int64()), "measures": pa.array([measures(x, n, pairwise)], pa.list_(pa.float64()))})
 

@@ -234,3 +234,27 @@ def test_pairs_of_populations_deal_each_individual_once(spark, monkeypatch, bloc
         seen = permutation.theta_parts(counted(own, pop_of))
         assert r.theta == pytest.approx(phi(seen, (0,), (0, 1, 2)), abs=1e-9)
         assert r.p_theta == pytest.approx(np.mean([phi(v, (0,), (0, 1, 2)) >= r.theta - 1e-12 for v in values]), abs=0.06)
+
+
+def test_labels_are_arranged_evenly(monkeypatch):
+    """Labels drawn one by one and mended: exact numbers, every order as likely as another, and no shuffle of all places."""
+    monkeypatch.setattr(permutation, "MANY", 0)
+    g = np.random.default_rng(8)
+    got = Counter(tuple(permutation.arranged(np.array([2, 0, 1, 1]), g).tolist()) for _ in range(12_000))
+    assert set(got) == arrangements([0, 0, 2, 3])
+    assert np.array(list(got.values())) / 12_000 == pytest.approx(1 / 12, abs=0.012)
+    counts = np.array([50_000, 1, 0, 29_999, 20_000])
+    one, two = (permutation.arranged(counts, g) for _ in range(2))
+    assert one.itemsize == 1 and (np.bincount(one, minlength=5) == counts).all()
+    met = np.bincount(one * 5 + two, minlength=25).reshape(5, 5)
+    assert met == pytest.approx(np.outer(counts, counts) / 100_000, abs=700)
+    assert np.bincount(one[:50_000], minlength=5) == pytest.approx(counts / 2, abs=700)
+
+
+def test_tables_count_several_loci_at_once():
+    g = np.random.default_rng(6)
+    assert association.gathered(7, 3) == [[0, 1, 2], [0, 3, 4], [0, 5, 6], [1, 3, 5], [1, 4, 6], [2, 3, 6], [2, 4, 5]]
+    for loci, n, width in ((7, 70_000, 22), (7, 500, 22), (6, 40_000, 5), (5, 3000, 3), (2, 900, 4), (1, 50, 3)):
+        codes = g.integers(0, width, (loci, n)).astype(np.uint8)
+        want = np.array([np.bincount(codes[a].astype(int) * width + codes[b], minlength=width * width).reshape(width, width) for a, b in itertools.combinations(range(loci), 2)]).reshape(-1, width, width)
+        assert (association.tables(codes, width) == want).all()
